@@ -185,10 +185,12 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c != "doc_id"]
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in rest])
     found = near_duplicates(docs.withColumn("__row", row_hash), ("__row",))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("__row").alias("__row"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("__row", "fp")).alias("least"), F.count("*").alias("n"))
+    kept = written(kept.select(F.col("component_id").alias("__id"), F.col("least.__row").alias("__kept"), "n"), "kept")
     left = docs.withColumn("__row", row_hash)
-    out = left.join(kept, left.doc_id.eqNullSafe(kept.component_id) & (left["__row"] == kept["__row"]), "left_semi").drop("__row")
-    return out.dropDuplicates(["doc_id"])
+    out = left.join(kept, left.doc_id.eqNullSafe(kept["__id"]) & (left["__row"] == kept["__kept"]), "left_semi").drop("__row")
+    # rows of one doc_id are rare, and only then is a second shuffle of the texts needed
+    return out if kept.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
 
 
 def op2(docs: DataFrame) -> DataFrame:
