@@ -31,9 +31,10 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(document, position, h1, h2) of every line whose key has a code point."""
-    lines = _identified(docs).select(*DOC, F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("pos", "line"))
-    key = lower_ascii(F.btrim("line", F.lit(ASCII_SPACE)))
-    return lines.select(*DOC, "pos", key.alias("key")).where(F.length("key") > 0).select(*DOC, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
+    stripped = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(ASCII_SPACE)))
+    keys = F.transform(stripped, lower_ascii)  # before the explode, so that a key is made once for its three uses
+    lines = _identified(docs).select(*DOC, F.posexplode(keys).alias("pos", "key")).where(F.length("key") > 0)
+    return lines.select(*DOC, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
 
 
 def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
@@ -43,14 +44,15 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = line_table(docs).repartitionByRange(n, "h1", "h2", *DOC).sortWithinPartitions("h1", "h2", *DOC, "pos")
+    lines = written(line_table(docs), "lines")  # read three times: for the ranges, for the counts and for the bitmaps
+    ranged = lines.repartitionByRange(n, "h1", "h2", *DOC).sortWithinPartitions("h1", "h2", *DOC, "pos")
     first = F.row_number().over(Window.partitionBy("h1", "h2", *DOC).orderBy("pos"))
     seen = ranged.withColumn("is_first", (first == 1).cast("long"))
     place = F.struct(*DOC, "pos")
     often = seen.groupBy("h1", "h2").agg(F.sum("is_first").alias("n_docs"), F.min(place).alias("first_place")).where(F.col("n_docs") >= min_docs)
     often = written(often.select("h1", "h2", "first_place"), "frequent-lines")
     small = often.count() <= BROADCAST_KEYS
-    hit = line_table(docs).join(F.broadcast(often) if small else often, ["h1", "h2"])
+    hit = lines.join(F.broadcast(often) if small else often, ["h1", "h2"])
     if keep_first:
         hit = hit.where(~place.eqNullSafe(F.col("first_place")))
     words = hit.groupBy(*DOC, F.expr("pos div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 32)")).alias("bits"))
