@@ -40,12 +40,18 @@ def quality(text: Column, size: Column) -> Column:
 
 def sized(docs: DataFrame, weight: Column | None = None, seed: str = SEED) -> DataFrame:
     """docs with __size, __key (exponential, divided by weight) and __bucket (a rising function of the key)."""
-    out = docs.withColumn("__size", size_of(F.col("text")))
-    w = quality(F.col("text"), F.col("__size")) if weight is None else weight
-    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("__size").cast("string"))
-    u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 1.0) / float(2**52)
-    out = out.withColumn("__key", -F.log(u) / w)
-    return out.withColumn("__bucket", F.floor(F.lit(BUCKETS) * (F.col("__key") / (F.col("__key") + 2.0))).cast("int"))
+    size, u = F.col("__size"), F.col("__u")
+    w = quality(F.col("text"), size) if weight is None else weight
+    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), size.cast("string"))
+    out = _once(docs, "__size", size_of(F.col("text")))
+    out = _once(out, "__u", (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 1.0) / float(2**52))
+    out = _once(out, "__key", -F.log(u) / w)
+    return _once(out, "__bucket", F.floor(F.lit(BUCKETS) * (F.col("__key") / (F.col("__key") + 2.0))).cast("int")).drop("__u")
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: a later filter or expression can't repeat it, as it comes out of a generator."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
 def plan(marked: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -75,9 +81,8 @@ def plan(marked: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     return written(made.alias("s").join(edge.alias("e"), F.expr("s.source <=> e.source"), "left").select("s.*", "e.edge", "e.edge_before"), "mix-plan")
 
 
-def mix(docs: DataFrame, weight: Column | None = None, seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target, taken, __epochs and __part: each document `__epochs` times whole and its first `__part` words once more."""
-    marked = sized(docs, weight, seed)
+def mix(marked: DataFrame) -> DataFrame:
+    """The rows of sized() with size, source_size, target, taken, __epochs and __part: each document `__epochs` times whole and its first `__part` words once more."""
     sources = plan(marked.select("source", "__bucket", "__size"))
     side = sources.select(F.col("source").alias("__source"), "source_size", "target", "epochs", "budget", "edge", "edge_before")
     if sources.count() <= BROADCAST_SOURCES:
@@ -97,7 +102,7 @@ def take(docs: DataFrame) -> DataFrame:
     # words and the white space after them, up to the last word taken
     cut = F.when(F.col("__part") < F.col("size"), F.expr(r"array_join(slice(split(ltrim(' \t\n\u000B\f\r', text), '[ \t\n\u000B\f\r]+', -1), 1, int(__part)), ' ')")).otherwise(F.col("text"))
     times = F.concat(F.array_repeat(F.col("text"), F.col("__epochs").cast("int")), F.when(F.col("__part") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    base = mix(docs.withColumn("__keep", F.struct(*rest)))
+    base = mix(sized(docs.withColumn("__keep", F.struct(*rest))))
     out = base.where("taken > 0").select("__keep.*", F.explode(times).alias("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -105,7 +110,8 @@ def take(docs: DataFrame) -> DataFrame:
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    return mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+    marked = written(sized(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")  # texts are read once
+    return mix(marked).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
