@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tactus.config import TokenizerConfig
 from tactus.functions.columns import nearest
 from tactus.operators.grid import bar_of, notes_per_bar
 from tactus.plans.vocab import DURATION_NAMES, DURATION_QUARTERS
@@ -90,3 +91,44 @@ def sample_rows(rows: DataFrame, keys: list[str], ratio: float, seed: int, order
     w = Window.partitionBy(*keys)
     rows = rows.withColumns({"__n": F.count("*").over(w), "__r": F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), *order), *order))})
     return rows.where(F.col("__r") <= F.rint(F.col("__n") * ratio)).drop("__n", "__r")
+
+
+def control_tokens(notes: DataFrame, config: TokenizerConfig) -> DataFrame:
+    """(score_id, track_idx, tick, place, head, token) of the controls that the options ask for: a track's at tick 0, a bar's at its first tick."""
+    tpq, bar_ticks = config.tpq, 4 * config.tpq
+    barred = with_bar(notes, tpq)
+    made: list[DataFrame] = []
+
+    def add(rows: DataFrame, place: int, prefix: str, columns: dict[str, str], bar: bool) -> None:
+        head = "ACBar" if bar else "ACTrack"
+        tokens = F.filter(F.array(*[F.concat(F.lit(f"{head}{prefix}{name}_"), F.col(c).cast("string")) for c, name in columns.items()]), lambda x: x.isNotNull())
+        tick = F.col("bar") * bar_ticks if bar else F.lit(0).cast("long")
+        made.append(rows.select(*TRACK, tick.alias("tick"), F.lit(head).alias("head"), F.posexplode(tokens).alias("k", "token")).withColumn("place", F.col("k") + 100 * place).drop("k"))
+
+    polyphony = {"poly_min": "Min", "poly_max": "Max"}
+    flags = {f"has_{n.lower()}": n for n in DURATION_NAMES}
+    lo, hi = config.ac_polyphony_min, config.ac_polyphony_max
+    if config.ac_polyphony_track:
+        add(onset_polyphony(notes, TRACK, lo, hi), 0, "OnsetPolyphony", polyphony, False)
+    if config.ac_note_duration_track:
+        add(note_durations(notes, TRACK, tpq), 1, "NoteDuration", flags, False)
+    if config.ac_note_density_track:
+        add(track_density(notes, tpq, config.ac_note_density_track_min, config.ac_note_density_track_max), 2, "NoteDensity", {"density_min": "Min", "density_max": "Max"}, False)
+    if config.ac_repetition_track:
+        found = repetition(notes, tpq, config.ac_repetition_track_num_bins, config.ac_repetition_track_num_consec_bars)
+        add(found.withColumn("repetition", F.format_number("repetition", 2)), 3, "Repetition", {"repetition": ""}, False)
+    if config.ac_polyphony_bar:
+        add(onset_polyphony(barred, BAR, lo, hi), 4, "OnsetPolyphony", polyphony, True)
+    if config.ac_pitch_class_bar:
+        rows = pitch_classes(barred, BAR)
+        made.append(rows.select(*TRACK, (F.col("bar") * bar_ticks).alias("tick"), F.lit("ACBar").alias("head"), F.concat(F.lit("ACBarPitchClass_"), F.col("pitch_class")).alias("token"), (F.lit(500) + F.col("pitch_class")).alias("place")))
+    if config.ac_note_density_bar:
+        add(note_density(barred, BAR, config.ac_note_density_bar_max), 6, "NoteDensity", {"density": ""}, True)
+    if config.ac_note_duration_bar:
+        add(note_durations(barred, BAR, tpq), 7, "NoteDuration", flags, True)
+    if not made:
+        raise ValueError("no attribute control is on")
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out

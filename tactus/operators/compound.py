@@ -67,12 +67,20 @@ def octuple(score: Score, config: TokenizerConfig) -> DataFrame:
     return notes.select(*STREAM, pos.cast("long").alias("pos"), "tick", F.array(*row).alias("tokens"))
 
 
-def mumidi(score: Score, config: TokenizerConfig) -> DataFrame:
+def _with_chords(notes: DataFrame, chords: DataFrame | None) -> DataFrame:
+    """A column `chord` with the chord that begins at a note's track and tick."""
+    if chords is None:
+        return notes.withColumn("chord", F.lit(None).cast("string"))
+    return notes.join(chords.groupBy("score_id", "track_idx", "tick").agg(F.min("chord").alias("chord")), ["score_id", "track_idx", "tick"], "left")
+
+
+def mumidi(score: Score, config: TokenizerConfig, chords: DataFrame | None = None) -> DataFrame:
     """(score_id, stream, pos, tick, tokens): rows for new bars, positions and programs, then notes; 4/4 only."""
     config = effective("MuMIDI", config)
     score = preprocess(score, config)
     notes = placed_notes(Score(score.notes, score.tempos, tpq=score.tpq), config, True)
     notes = notes.where(F.col("bar") < (config.additional_params.get("max_bar_embedding") or 60))
+    notes = _with_chords(notes, chords)
     w = Window.partitionBy(*STREAM).orderBy(*_order(config, True))
     new_tick = ~F.lag("tick").over(w).eqNullSafe(F.col("tick"))
     notes = notes.withColumns({"new_tick": new_tick, "last_bar": F.coalesce(F.lag("bar").over(w), F.lit(-1)), "new_program": new_tick | ~F.lag("program").over(w).eqNullSafe(F.col("program"))})
@@ -84,15 +92,19 @@ def mumidi(score: Score, config: TokenizerConfig) -> DataFrame:
     bars = F.when(F.col("bar") > F.col("last_bar"), F.transform(F.sequence(F.col("last_bar") + 1, F.col("bar")), lambda b: F.array(F.lit("Bar_None"), _named("BarPosEnc_", b), F.lit("PositionPosEnc_None"), *tempo, *blank))).otherwise(none)
     place = F.when(F.col("new_tick"), F.array(F.array(_named("Position_", F.col("position")), bar, position, *tempo, *blank))).otherwise(none)
     program = F.when(F.col("new_program"), F.array(F.array(t["program"], bar, position, *tempo, *blank))).otherwise(none)
+    # a chord stands before the notes of its track that begin with it
+    first = F.row_number().over(Window.partitionBy(*STREAM, "tick", "track_idx").orderBy("ord")) == 1
+    notes = notes.withColumn("chord", F.when(first, F.col("chord")))
+    chord = F.when(F.col("chord").isNotNull(), F.array(F.array(_named("Chord_", F.col("chord")), bar, position, *tempo, *blank))).otherwise(none)
     note = [t["pitch"], bar, position, *tempo, *([t["velocity"]] if config.use_velocities else []), *([t["duration"]] if config.use_note_durations else [])]
-    return _exploded(notes.withColumn("rows", F.concat(bars, place, program, F.array(F.array(*note)))), w, _order(config, True))
+    return _exploded(notes.withColumn("rows", F.concat(bars, place, program, chord, F.array(F.array(*note)))), w, _order(config, True))
 
 
-def cpword(score: Score, config: TokenizerConfig) -> DataFrame:
+def cpword(score: Score, config: TokenizerConfig, chords: DataFrame | None = None) -> DataFrame:
     """(score_id, stream, pos, tick, tokens): Family, Bar or Position, Pitch, then the used ones of Velocity, Duration, Program, Rest, Tempo, TimeSig."""
     config = effective("CPWord", config)
     score = preprocess(score, config)
-    notes = placed_notes(score, config)
+    notes = _with_chords(placed_notes(score, config), chords)
     w = Window.partitionBy(*STREAM).orderBy(*_order(config))
     ended = F.coalesce(F.max(F.col("tick") + F.col("dur")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     new_tick = ~F.lag("tick").over(w).eqNullSafe(F.col("tick"))
@@ -108,7 +120,7 @@ def cpword(score: Score, config: TokenizerConfig) -> DataFrame:
         gap = F.col("tick") - F.col("ended")
         rests = F.when(F.col("new_tick") & (gap >= min(x for _, x in bins)), F.transform(greedy(gap, bins), lambda r: row(family=metric, rest=r))).otherwise(none)
     bars = F.when(F.col("bar") > F.col("last_bar"), F.transform(F.sequence(F.col("last_bar") + 1, F.col("bar")), lambda b: row(family=metric, place=F.lit("Bar_None"), sig=t["sig"]))).otherwise(none)
-    position = F.when(F.col("new_tick"), F.array(row(family=metric, place=_named("Position_", F.col("position")), tempo=t["tempo"]))).otherwise(none)
+    position = F.when(F.col("new_tick"), F.array(row(family=metric, place=_named("Position_", F.col("position")), tempo=t["tempo"], chord=F.coalesce(_named("Chord_", F.col("chord")), F.lit(IGNORE))))).otherwise(none)
     note = row(family=F.lit("Family_Note"), pitch=t["pitch"], velocity=t["velocity"], duration=t["duration"], program=t["program"])
     return _exploded(notes.withColumn("rows", F.concat(rests, bars, position, F.array(note))), w, _order(config))
 

@@ -125,8 +125,15 @@ def _ticks(value: str, tpb: int) -> int:
     return (beat * res + pos) * tpb // res
 
 
-def walk(tokens: list[str], kind: str, config: TokenizerConfig) -> list[tuple]:
-    """Notes (program, is_drum, tick, dur, pitch, velocity) of one sequence, with rests, time signatures and pitch intervals."""
+EFFECTS = "score_id long, stream int, kind string, program int, tick long, dur long, a int, b int, qpm double"
+
+
+def walk(tokens: list[str], kind: str, config: TokenizerConfig, effects: list | None = None) -> list[tuple]:
+    """Notes (program, is_drum, tick, dur, pitch, velocity) of one sequence, with rests, time signatures and pitch intervals.
+
+    effects, if given, gets (kind, program, tick, dur, a, b, qpm) of tempos, time signatures, pedals and bends.
+    """
+    pedal: dict[int, int] = {}
     tick = end = bar_tick = section_tick = 0
     bar, section_bar, num, den = -1, 0, 4, 4
     tpq, program, out = config.tpq, None, []
@@ -156,8 +163,22 @@ def walk(tokens: list[str], kind: str, config: TokenizerConfig) -> list[tuple]:
             section_tick, section_bar = tick, max(bar, 0)
             bar_tick = tick
             end = max(end, tick)
+            if effects is not None and not (effects and ("time_sig", num, den) in [(e[0], e[4], e[5]) for e in effects if e[0] == "time_sig"][-1:]):
+                effects.append(("time_sig", None, tick, None, num, den, None))
         elif kind_ in ("Tempo", "Pedal", "PedalOff", "PitchBend", "Chord"):
             end = max(end, tick)
+            if effects is not None:
+                if kind_ == "Tempo":
+                    effects.append(("tempo", None, tick, None, None, None, float(value)))
+                elif kind_ == "PitchBend":
+                    effects.append(("bend", program, tick, None, int(value), None, None))
+                elif kind_ == "Pedal" and config.sustain_pedal_duration:
+                    effects.append(("pedal", int(value), tick, _ticks(tokens[i + 1].partition("_")[2], tpb), None, None, None))
+                elif kind_ == "Pedal":
+                    pedal.setdefault(int(value), tick)
+                elif kind_ == "PedalOff" and int(value) in pedal:
+                    begin = pedal.pop(int(value))
+                    effects.append(("pedal", int(value), begin, tick - begin, None, None, None))
         elif kind_ == "Program":
             program = int(value)
         elif kind_ in ("Pitch", "PitchDrum", "PitchIntervalTime", "PitchIntervalChord", "NoteOn", "DrumOn"):
@@ -171,7 +192,7 @@ def walk(tokens: list[str], kind: str, config: TokenizerConfig) -> list[tuple]:
             fields = dict(t.split("_", 1) for t in tokens[i + 1 : i + 3])
             velocity = int(fields.get("Velocity", DEFAULT_VELOCITY))
             drum = kind_ in ("PitchDrum", "DrumOn")
-            if kind_ in ("NoteOn", "DrumOn"):
+            if kind == "MIDILike":
                 open_notes.setdefault((program, drum, pitch), deque()).append((tick, velocity))
             elif "Duration" in fields or not config.use_note_durations:
                 dur = _ticks(fields["Duration"], tpb) if config.use_note_durations else int(config.default_note_duration * tpq)
@@ -199,3 +220,22 @@ def decode_fold(sequences: DataFrame, kind: str, config: TokenizerConfig) -> Dat
             yield out
 
     return sequences.select(*STREAM, "tokens").mapInPandas(run, NOTES)
+
+
+def decode_effects(sequences: DataFrame, kind: str, config: TokenizerConfig) -> DataFrame:
+    """Tempos, time signatures, pedals and bends of (score_id, stream, tokens)."""
+    names = [x.split()[0] for x in EFFECTS.split(", ")]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            rows = []
+            for s, t, tokens in zip(b["score_id"], b["stream"], b["tokens"], strict=True):
+                found: list = []
+                walk(list(tokens), kind, config, found)
+                rows += [(s, t, *e) for e in found]
+            out = pd.DataFrame(rows, columns=names)
+            for c in ("program", "a", "b"):
+                out[c] = out[c].astype("Int32")
+            yield out.astype({"dur": "Int64", "qpm": "float64"})
+
+    return sequences.select(*STREAM, "tokens").mapInPandas(run, EFFECTS)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactus.config import TokenizerConfig
-from tactus.functions.columns import duration_bins, duration_token, greedy
+from tactus.functions.columns import duration_bins, duration_token, greedy, nearest
 from tactus.operators.preprocess import TRACK, preprocess, section_at, sections
 from tactus.plans.vocab import Vocabulary, effective
 from tactus.sources.tables import Score
@@ -74,8 +74,12 @@ def note_events(score: Score, config: TokenizerConfig, kind: str) -> DataFrame:
     return rows.unionByName(notes.select(*common, F.lit(1).alias("part"), end.alias("tick"), _strings(program, off).alias("tokens"), F.lit("NoteOff").alias("head"), end.alias("end")))
 
 
-def events(score: Score, config: TokenizerConfig, kind: str, chords: DataFrame | None = None) -> DataFrame:
-    """All events of all streams: (score_id, stream, place columns, tokens, head, end, ts)."""
+def events(score: Score, config: TokenizerConfig, kind: str, chords: DataFrame | None = None, controls: DataFrame | None = None) -> DataFrame:
+    """All events of all streams: (score_id, stream, place columns, tokens, head, end, ts).
+
+    controls: (score_id, track_idx, tick, place, head, token) of attribute controls, head ACTrack or ACBar; they come
+    first in their track at their tick.
+    """
     one = config.use_programs and config.one_token_stream_for_programs
     out = note_events(score, config, kind)
 
@@ -95,6 +99,8 @@ def events(score: Score, config: TokenizerConfig, kind: str, chords: DataFrame |
     if chords is not None:
         chords = chords.join(programs, list(TRACK)) if config.use_programs and not config.program_changes else chords.withColumn("program", F.lit(None))
         out = out.unionByName(effect(chords, 2, "Chord", _named("Program_", F.col("program")), _named("Chord_", F.col("chord"))))
+    if controls is not None:
+        out = out.unionByName(controls.select(*TRACK, F.lit(None).cast("int").alias("program"), F.col("track_idx").cast("int").alias("track_rank"), F.lit(-1).alias("kind_rank"), F.col("place").cast("long").alias("place"), F.lit(0).alias("part"), "tick", F.array("token").alias("tokens"), "head", F.lit(None).cast("long").alias("end")))
     out = out.withColumn("stream", F.lit(0) if one else F.col("track_idx").cast("int")).drop("track_idx").withColumn("ts", F.lit(None).cast("struct<num:int,den:int>"))
     streams = out.select(*STREAM).distinct()
     for df, rank, head, token in ((score.time_sigs, -2, "TimeSig", None), (score.tempos, -1, "Tempo", None)):
@@ -161,8 +167,6 @@ def _structured(out: DataFrame, config: TokenizerConfig) -> DataFrame:
     w = Window.partitionBy(*STREAM).orderBy(*PLACE)
     gap = (F.col("tick") - F.coalesce(F.lag("tick").over(w), F.lit(0))).cast("int")
     names = dict((t, n) for n, t in duration_bins(config, config.tpb(4)))
-    from tactus.functions.columns import nearest
-
     by_ticks = F.create_map(*[F.lit(x) for t, n in sorted(names.items()) for x in (t, n)])
     out = out.withColumn("gap", gap)
     value = F.when(F.col("gap") == 0, "0.0.1").otherwise(F.element_at(by_ticks, nearest(F.col("gap"), sorted(names), "int")))
@@ -216,22 +220,22 @@ def _barred(out: DataFrame, score: Score, config: TokenizerConfig) -> DataFrame:
         return F.filter(F.array(*items), lambda x: x.isNotNull())
 
     bars = F.when(F.col("new_tick") & (F.col("bar") > F.col("last_bar")), F.flatten(F.transform(F.sequence(F.col("last_bar") + 1, F.col("bar")), one_bar))).otherwise(empty)
-    placed = (F.col("new_tick") | (F.col("last_head") == "TimeSig")) & (F.col("head") != "TimeSig")
+    placed = (F.col("new_tick") | F.col("last_head").isin("TimeSig", "ACBar", "ACTrack")) & ~F.col("head").isin("TimeSig", "ACBar", "ACTrack")
     position = F.when(placed, F.array(_named("Position_", F.floor((F.col("tick") - F.col("bar_tick")) / step).cast("int")))).otherwise(empty)
     return out.withColumn("tokens", F.concat("rests", bars, position, "tokens"))
 
 
-def encode(score: Score, kind: str, config: TokenizerConfig, *, preprocessed: bool = False, base: str = "TSD", chords: DataFrame | None = None) -> DataFrame:
+def encode(score: Score, kind: str, config: TokenizerConfig, *, preprocessed: bool = False, base: str = "TSD", chords: DataFrame | None = None, controls: DataFrame | None = None) -> DataFrame:
     """Token sequences of a one-vocabulary tokenization: (score_id, stream, place columns, tokens), a row an event in order of PLACE."""
     config = effective(kind, config)
     if not preprocessed:
         score = preprocess(score, config)
     if kind == "MMM":
         config = config.copy(one_token_stream_for_programs=False, use_programs=False)
-        return encode(score, base, config, preprocessed=True, chords=chords)
+        return encode(score, base, config, preprocessed=True, chords=chords, controls=controls)
     if kind == "Structured":
         score = Score(score.notes, tpq=score.tpq)
-    out = events(score, config, kind, chords)
+    out = events(score, config, kind, chords, controls)
     if kind in ("TSD", "MIDILike"):
         out = _shifted(out, config, kind)
     elif kind == "Structured":
@@ -266,5 +270,9 @@ def mmm_sequences(score: Score, config: TokenizerConfig, base: str = "TSD") -> D
 
 
 def with_ids(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Token rows with their id."""
-    return rows.withColumn("id", vocabulary.id_of(F.col("token")))
+    """Token rows with their id, null for a token outside the vocabulary.
+
+    A dictionary lookup by hash join; the vocabulary's size follows from the options alone, so it may be broadcast.
+    """
+    ids = vocabulary.table(rows.sparkSession).where("voc = 0").select("token", "id")
+    return rows.join(F.broadcast(ids), "token", "left").select(*rows.columns, "id")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tactus.config import PITCH_CLASSES, TokenizerConfig
-from tactus.plans.vocab import micro_timings
+from tactus.plans.vocab import fine_durations, micro_timings
 
 
 def find_chords(tick: np.ndarray, end: np.ndarray, pitch: np.ndarray, tpb: int, config: TokenizerConfig, beat_res: int = 4, onset_offset: int = 1, most: int = 10) -> list[tuple[int, str]]:
@@ -50,20 +50,11 @@ def chords(notes: DataFrame, config: TokenizerConfig) -> DataFrame:
     return notes.where("not is_drum").select("score_id", "track_idx", "tick", "dur", "pitch", "velocity").groupBy("score_id", "track_idx").applyInPandas(run, "score_id long, track_idx int, tick long, chord string")
 
 
-def _dotted_bins(config: TokenizerConfig, tpq: int) -> list[tuple[int, str]]:
-    """(ticks, `beats.ticks.tpq`) of the durations, in order."""
-    found: dict[int, str] = {}
-    for beat, pos, res in config.durations:
-        sub = pos * tpq // res
-        found.setdefault(beat * tpq + sub, f"{beat}.{sub}.{tpq}")
-    return sorted((t, v) for t, v in found.items() if t > 0)
-
-
 def pertok_tokens(rows: list[tuple], config: TokenizerConfig) -> list[tuple[int, str]]:
     """(tick, token) of one track's notes (tick, dur, pitch, velocity, is_drum) on the fine grid; the error of each time shift is carried on."""
     p = config.additional_params
     tpq = p.get("ticks_per_quarter", 220)
-    bins = _dotted_bins(config, tpq)
+    bins = fine_durations(config)
     ticks = np.array([t for t, _ in bins])
     least, per_bar = ticks.min() / 2, 4 * tpq  # the bar of 4/4 is num * 4 / den quarters
     micro = np.array(micro_timings(config)) if p.get("use_microtiming", True) else None
@@ -122,3 +113,14 @@ def pertok_notes(tokens: list[str], config: TokenizerConfig) -> list[tuple]:
                 fields[k] = v
             out.append((tick + int(fields.get("MicroTiming", 0)), length(fields["Duration"]), int(value), int(fields.get("Velocity", 100)), kind == "PitchDrum"))
     return out
+
+
+def decode_pertok(sequences: DataFrame, config: TokenizerConfig) -> DataFrame:
+    """(score_id, stream, tick, dur, pitch, velocity, is_drum) of (score_id, stream, tokens)."""
+    names = ["score_id", "stream", "tick", "dur", "pitch", "velocity", "is_drum"]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            yield pd.DataFrame([(s, t, *n) for s, t, tokens in zip(b["score_id"], b["stream"], b["tokens"], strict=True) for n in pertok_notes(list(tokens), config)], columns=names)
+
+    return sequences.select("score_id", "stream", "tokens").mapInPandas(run, "score_id long, stream int, tick long, dur long, pitch int, velocity int, is_drum boolean")

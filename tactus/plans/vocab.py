@@ -52,10 +52,14 @@ class Vocabulary:
         on_off = self.kind == "MIDILike" or self.kind == "MMM" and self.base == "MIDILike"
         out = [f"{t}_{p}" for t in (("NoteOn", "NoteOff") if on_off else ("Pitch",)) for p in range(lo, hi + 1)]
         out += [f"Velocity_{v}" for v in c.velocities] if c.use_velocities else []
-        return out + ([] if on_off or not c.use_note_durations else [f"Duration_{dotted(d)}" for d in c.durations])
+        return out + ([] if on_off or not c.use_note_durations else [f"Duration_{d}" for d in self.lengths()])
+
+    def lengths(self) -> list[str]:
+        """Values of Duration and TimeShift."""
+        return [v for _, v in fine_durations(self.config)] if self.kind == "PerTok" else [dotted(d) for d in self.config.durations]
 
     def time_shifts(self) -> list[str]:
-        return [f"TimeShift_{dotted(d)}" for d in self.config.durations]
+        return [f"TimeShift_{d}" for d in self.lengths()]
 
     def positions(self) -> list[str]:
         return [f"Position_{i}" for i in range(self.config.tpb(4) * self.config.max_num if self.config.use_time_signatures else self.config.max_res * 4)]
@@ -299,6 +303,16 @@ DURATION_NAMES = ("Whole", "Half", "Quarter", "Eight", "Sixteenth")
 DURATION_QUARTERS = (4.0, 2.0, 1.0, 0.5, 0.25)
 
 
+def fine_durations(config: TokenizerConfig) -> list[tuple[int, str]]:
+    """(ticks, `beats.ticks.tpq`) of PerTok's durations and time shifts, in order."""
+    tpq = config.additional_params.get("ticks_per_quarter", 220)
+    found: dict[int, str] = {}
+    for beat, pos, res in config.durations:
+        sub = pos * tpq // res
+        found.setdefault(beat * tpq + sub, f"{beat}.{sub}.{tpq}")
+    return sorted((t, v) for t, v in found.items() if t > 0)
+
+
 def micro_timings(config: TokenizerConfig) -> list[int]:
     """Ticks of the MicroTiming tokens."""
     p = config.additional_params
