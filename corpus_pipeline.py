@@ -17,18 +17,20 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tactus.llm import langid, line_dedup, mixing, packing, simhash
-from tactus.llm.common import table, written
+from tactus.llm.common import aside, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sample = langid.training_sample(docs, ~langid.is_held_out(F.col("doc_id")))
-    found = langid.predict_languages(docs, sample, tuple(docs.columns))
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    named, back = aside(docs, ("doc_id", "text"))
+    found = langid.predict_languages(named, sample, tuple(named.columns))
+    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*named.columns).withColumnsRenamed(back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(docs, keep_first=True)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    named, back = aside(docs, ("doc_id", "text"))
+    kept = line_dedup.dedup_lines(named, keep_first=True).select(*named.columns).withColumnsRenamed(back)
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,12 @@ def map_text(docs: DataFrame, value: Column, keep: tuple[str, ...], fields: str,
     return docs.select(*[F.col(f"`{c}`") for c in keep], value.alias("__value")).mapInArrow(run, schema)
 
 
+def aside(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """df with all but the used columns under names that clash with none, and the map back to their own names."""
+    others = [c for c in df.columns if c not in used]
+    return df.withColumnsRenamed({c: f"__aside_{i}" for i, c in enumerate(others)}), {f"__aside_{i}": c for i, c in enumerate(others)}
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, other letters as they are.  lower() is much faster and the same on ASCII text."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactus.llm.common import written
+from tactus.llm.common import aside, written
 
 WEIGHTS, MAX_EPOCHS, SEED = (1, 2, 3), 3, "42"
 BUCKETS, BROADCAST_SOURCES = 1024, 100_000
@@ -97,13 +97,16 @@ def mix(marked: DataFrame) -> DataFrame:
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """The mix itself: docs' columns, a row for each time a document is taken; the document at a source's boundary once with its first words."""
-    rest = [c for c in docs.columns if c != "text"]
+    """The mix itself: docs' columns, a row for each time a document is taken; the document at a source's boundary once with its first words.
+
+    n_chars, if there, becomes the length of the text; other columns stay as they are.
+    """
+    named, back = aside(docs, ("doc_id", "source", "text"))
     # words and the white space after them, up to the last word taken
     cut = F.when(F.col("__part") < F.col("size"), F.expr(r"array_join(slice(split(ltrim(' \t\n\u000B\f\r', text), '[ \t\n\u000B\f\r]+', -1), 1, int(__part)), ' ')")).otherwise(F.col("text"))
     times = F.concat(F.array_repeat(F.col("text"), F.col("__epochs").cast("int")), F.when(F.col("__part") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    base = mix(sized(docs.withColumn("__keep", F.struct(*rest))))
-    out = base.where("taken > 0").select("__keep.*", F.explode(times).alias("text"))
+    taken = mix(sized(named)).where("taken > 0").select(*[c for c in named.columns if c != "text"], F.explode(times).alias("text"))
+    out = taken.withColumnsRenamed(back)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
