@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tactus.llm.common import map_text
 
-SAMPLE_ROWS, SAMPLE_CHARS = 64, 2_000
+SAMPLE_ROWS, SAMPLE_CHARS = 64, 500
 UNDETERMINED = "und"
 #: Symbols of a text that are parsed as one lane; the parse starts anew at each, for all languages alike.
 LANE = 8_192
@@ -113,23 +113,22 @@ class Parser:
         # symbol 0 occurs in no labelled text: a letter that no language knows is a phrase of its own
         self.symbol = (1 + len(own) + np.arange(0x110000) % HASHED).astype(np.int16) if rest else np.zeros(0x110000, dtype=np.int16)
         self.symbol[own] = 1 + np.arange(len(own))
-        tables, roots, at = [], [], 0
+        roots, tables, at = [], [], 0
+        size = np.int32 if 2 * self.k * sum(map(len, texts)) < 2**31 else np.int64
         for t in texts:
-            a = suffix_automaton(self.codes(t).tolist(), self.k)
-            a[a >= 0] += at
+            a = suffix_automaton(self.codes(t).tolist(), self.k).astype(size, copy=False)
+            none = a < 0
+            a += at
+            start = np.where(none[0], at, a[0]) * self.k
+            # next state, as an index of the flat table; where a phrase begins, -1 - the state after its first symbol
+            a *= self.k
+            np.copyto(a, (-1 - start)[None, :].astype(size), where=none)
+            a[0] = -1 - start  # out of the start state, where a lane begins or an unknown letter has led, a phrase begins
             tables.append(a)
             roots.append(at)
             at += len(a)
-        table = np.concatenate(tables) if tables else np.zeros((0, 1), np.int32)
+        self.step = np.concatenate(tables).ravel() if tables else np.zeros(0, size)
         self.roots = np.array(roots, dtype=np.int64)
-        #: next state, as an index of the flat table; where a phrase ends, the state after its next symbol, or'ed with the sign bit
-        flat = table.astype(np.int64)
-        step = flat * self.k
-        for i, r in enumerate(self.roots):
-            rows = slice(r, self.roots[i + 1] if i + 1 < len(self.roots) else len(flat))
-            start = np.where(flat[r] >= 0, flat[r], r) * self.k
-            step[rows] = np.where(flat[rows] >= 0, step[rows], -1 - start[None, :])
-        self.step = step.ravel().astype(np.int32 if step.size < 2**31 else np.int64)
         self.bits = np.array([np.log2(max(2, len(t))) for t in texts])
 
     def codes(self, text: str) -> np.ndarray:
@@ -150,14 +149,14 @@ class Parser:
         flat = np.concatenate(coded)
         live = np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right")  # lanes longer than each step
         state = np.repeat(self.roots[:, None] * self.k, len(lanes), axis=1)
-        count = np.ones(state.shape, dtype=np.int64)
+        count = np.zeros(state.shape, dtype=np.int64)
         for t in range(int(long[0])):
             n = int(live[t])
             c = flat[start[:n] + t]
             to = self.step[state[:, :n] + c]
-            ends = to < 0
-            state[:, :n] = np.where(ends, -1 - to, to)
-            count[:, :n] += ends
+            begins = to < 0
+            state[:, :n] = np.where(begins, -1 - to, to)
+            count[:, :n] += begins
         np.add.at(out, text, count.T)
         return out, size
 
