@@ -38,22 +38,51 @@ def nearest(value: Column, bins: Sequence[float], kind: str = "long", upper_tie:
     return pick(0, len(bins) - 1).cast(kind)
 
 
-def greedy(ticks: Column, bins: list[tuple[str, int]]) -> Column:
-    """Ticks as the fewest values, largest first: array of bin names.  What is left below the smallest bin is dropped.
+def nearest_whole(value: Column, bins: Sequence[int], kind: str = "long") -> Column:
+    """nearest() of whole numbers from 0 on, by a table up to the largest bin."""
+    top = max(bins)
+    table = [min(bins, key=lambda b: (abs(b - v), -b)) for v in range(top + 1)]
+    return lookup(table, F.least(F.greatest(value, F.lit(0)), F.lit(top))).cast(kind)
 
-    bins: (name, ticks), any order; of equal ticks the first counts.
-    """
+
+def lookup(values: Sequence, index: Column) -> Column:
+    """values[index]: a literal array, so one step a row; null outside it."""
+    plain = lambda v: F.array(*map(F.lit, v)) if v else F.array().cast("array<string>")
+    return F.get(F.array(*[plain(v) if isinstance(v, (list, tuple)) else F.lit(v) for v in values]), index.cast("int"))
+
+
+def _greedy_table(bins: list[tuple[str, int]]) -> tuple[str, int, list[list[str]], list[int]]:
+    """The largest bin, and for each rest below it the names that it takes and the ticks that are left."""
     seen: dict[int, str] = {}
     for name, size in bins:
         seen.setdefault(size, name)
-    table = F.array(*[F.struct(F.lit(seen[s]).alias("name"), F.lit(s).cast("long").alias("size")) for s in sorted(seen, reverse=True)])
-    start = F.struct(ticks.cast("long").alias("left"), F.array().cast("array<string>").alias("out"))
+    sizes = sorted(seen, reverse=True)
+    names, left = [], []
+    for rest in range(sizes[0]):
+        out = []
+        for size in sizes:
+            while rest >= size:
+                out.append(seen[size])
+                rest -= size
+        names.append(out)
+        left.append(rest)
+    return seen[sizes[0]], sizes[0], names, left
+
+
+def greedy(ticks: Column, bins: list[tuple[str, int]]) -> Column:
+    """Ticks as the fewest values, largest first: array of bin names.  What is left below the smallest bin is dropped.
+
+    bins: (name, ticks), any order; of equal ticks the first counts.  The largest bin is repeated, and what remains below
+    it is a row of a table that is made on the driver.
+    """
+    name, top, names, _ = _greedy_table(bins)
+    return F.concat(F.array_repeat(F.lit(name), F.floor(ticks / top).cast("int")), lookup(names, F.pmod(ticks, F.lit(top))))
 
-    def step(at: Column, b: Column) -> Column:
-        n = F.floor(at["left"] / b["size"]).cast("int")
-        return F.struct((at["left"] - n * b["size"]).alias("left"), F.concat(at["out"], F.array_repeat(b["name"], n)).alias("out"))
 
-    return F.aggregate(table, start, step)["out"]
+def greedy_length(ticks: Column, bins: list[tuple[str, int]]) -> Column:
+    """Ticks that greedy() covers."""
+    _, top, _, left = _greedy_table(bins)
+    return ticks - lookup(left, F.pmod(ticks, F.lit(top)))
 
 
 def duration_bins(config: TokenizerConfig, tpb: int, prefix: str = "", rest: bool = False) -> list[tuple[str, int]]:
@@ -65,7 +94,7 @@ def duration_bins(config: TokenizerConfig, tpb: int, prefix: str = "", rest: boo
 def duration_token(dur: Column, config: TokenizerConfig, tpb: int, prefix: str = "Duration_") -> Column:
     """Token of a duration that is one of the bins; of two with the same ticks the later, as in a dictionary that is filled in order."""
     names = dict((t, n) for n, t in duration_bins(config, tpb, prefix))
-    return F.element_at(F.create_map(*[F.lit(x) for t, n in sorted(names.items()) for x in (t, n)]), dur.cast("int"))
+    return lookup([names.get(t) for t in range(max(names) + 1)], dur)
 
 
 def token_ticks(value: Column, tpb: Column | int) -> Column:

@@ -126,6 +126,6 @@ def cpword(score: Score, config: TokenizerConfig, chords: DataFrame | None = Non
 
 
 def _exploded(notes: DataFrame, w, order: list[str]) -> DataFrame:  # noqa: ANN001
-    rows = notes.select(*STREAM, *order, F.posexplode("rows").alias("k", "tokens"))
-    pos = F.row_number().over(Window.partitionBy(*STREAM).orderBy(*order, "k")) - 1
-    return rows.select(*STREAM, pos.cast("long").alias("pos"), "tick", "tokens")
+    at = F.coalesce(F.sum(F.size("rows")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = notes.withColumn("at", at).select(*STREAM, "at", "tick", F.posexplode("rows").alias("k", "tokens"))
+    return rows.select(*STREAM, (F.col("at") + F.col("k")).alias("pos"), "tick", "tokens")

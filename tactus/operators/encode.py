@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactus.config import TokenizerConfig
-from tactus.functions.columns import duration_bins, duration_token, greedy, nearest
+from tactus.functions.columns import duration_bins, duration_token, greedy, greedy_length, lookup
 from tactus.operators.preprocess import TRACK, preprocess, section_at, sections
 from tactus.plans.vocab import Vocabulary, effective
 from tactus.sources.tables import Score
@@ -142,8 +142,7 @@ def _rests(config: TokenizerConfig) -> tuple[Column, Column]:
         return F.when((F.col("tick") != F.col("prev")) & (gap >= min(t for _, t in bins)), greedy(gap, bins)).otherwise(F.array().cast(STRINGS))
 
     def length(tpb: int) -> Column:
-        sizes = F.create_map(*[F.lit(x) for n, t in duration_bins(config, tpb, "Rest_", rest=True) for x in (n, t)])
-        return F.aggregate("rests", F.lit(0), lambda a, r: a + F.coalesce(sizes[r], F.lit(0)))
+        return greedy_length(F.col("tick") - F.col("ended"), duration_bins(config, tpb, "Rest_", rest=True))
 
     reached = F.when(F.size("rests") > 0, F.col("ended") + _by_den(config, length)).otherwise(F.col("prev"))
     return _by_den(config, tokens), reached
@@ -167,9 +166,11 @@ def _structured(out: DataFrame, config: TokenizerConfig) -> DataFrame:
     w = Window.partitionBy(*STREAM).orderBy(*PLACE)
     gap = (F.col("tick") - F.coalesce(F.lag("tick").over(w), F.lit(0))).cast("int")
     names = dict((t, n) for n, t in duration_bins(config, config.tpb(4)))
-    by_ticks = F.create_map(*[F.lit(x) for t, n in sorted(names.items()) for x in (t, n)])
+    # the nearest bin of every gap up to the largest; beyond it the largest
+    bins, top = sorted(names), max(names)
+    near = ["0.0.1"] + [names[min(bins, key=lambda b: (abs(b - g), -b))] for g in range(1, top + 1)]
     out = out.withColumn("gap", gap)
-    value = F.when(F.col("gap") == 0, "0.0.1").otherwise(F.element_at(by_ticks, nearest(F.col("gap"), sorted(names), "int")))
+    value = lookup(near, F.least("gap", F.lit(top)))
     return out.withColumn("tokens", F.concat(F.array(_named("TimeShift_", value)), "tokens"))
 
 
@@ -219,7 +220,12 @@ def _barred(out: DataFrame, score: Score, config: TokenizerConfig) -> DataFrame:
             items.append(F.when(~own, F.concat(F.lit("TimeSig_"), at["num"], F.lit("/"), at["den"])))
         return F.filter(F.array(*items), lambda x: x.isNotNull())
 
-    bars = F.when(F.col("new_tick") & (F.col("bar") > F.col("last_bar")), F.flatten(F.transform(F.sequence(F.col("last_bar") + 1, F.col("bar")), one_bar))).otherwise(empty)
+    missing = F.col("new_tick") & (F.col("bar") > F.col("last_bar"))
+    if not numbered and not ends and score.time_sigs is None:
+        made = F.array_repeat(F.lit("Bar_None"), (F.col("bar") - F.col("last_bar")).cast("int"))
+    else:
+        made = F.flatten(F.transform(F.sequence(F.col("last_bar") + 1, F.col("bar")), one_bar))
+    bars = F.when(missing, made).otherwise(empty)
     placed = (F.col("new_tick") | F.col("last_head").isin("TimeSig", "ACBar", "ACTrack")) & ~F.col("head").isin("TimeSig", "ACBar", "ACTrack")
     position = F.when(placed, F.array(_named("Position_", F.floor((F.col("tick") - F.col("bar_tick")) / step).cast("int")))).otherwise(empty)
     return out.withColumn("tokens", F.concat("rests", bars, position, "tokens"))
@@ -248,10 +254,13 @@ def encode(score: Score, kind: str, config: TokenizerConfig, *, preprocessed: bo
 
 
 def token_rows(encoded: DataFrame) -> DataFrame:
-    """(score_id, stream, pos, tick, token), pos from 0 in each stream."""
-    flat = encoded.select(*STREAM, *PLACE, F.posexplode("tokens").alias("k", "token"))
-    pos = F.row_number().over(Window.partitionBy(*STREAM).orderBy(*PLACE, "k")) - 1
-    return flat.select(*STREAM, pos.cast("long").alias("pos"), "tick", "token")
+    """(score_id, stream, pos, tick, token), pos from 0 in each stream.
+
+    Positions are running sums over events, which are in order already, so the tokens are never sorted.
+    """
+    before = Window.partitionBy(*STREAM).orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    at = encoded.withColumn("at", F.coalesce(F.sum(F.size("tokens")).over(before), F.lit(0)))
+    return at.select(*STREAM, "at", "tick", F.posexplode("tokens").alias("k", "token")).select(*STREAM, (F.col("at") + F.col("k")).alias("pos"), "tick", "token")
 
 
 def sequences(encoded: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactus.config import DEFAULT_TEMPO, TokenizerConfig
-from tactus.functions.columns import duration_bins, half_even, nearest, regrid
+from tactus.functions.columns import duration_bins, half_even, nearest, nearest_whole, regrid
 from tactus.sources.tables import Score
 
 TRACK = ("score_id", "track_idx")
@@ -19,11 +19,11 @@ def in_pitch_range(notes: DataFrame, config: TokenizerConfig) -> DataFrame:
 
 
 def nearest_velocity(velocity: Column, config: TokenizerConfig) -> Column:
-    return nearest(velocity, config.velocities, "int")
+    return nearest_whole(velocity, config.velocities, "int")
 
 
 def nearest_duration(dur: Column, config: TokenizerConfig, tpb: int) -> Column:
-    return nearest(dur, sorted({t for _, t in duration_bins(config, tpb)}), "long")
+    return nearest_whole(dur, sorted({t for _, t in duration_bins(config, tpb)}))
 
 
 def sections(time_sigs: DataFrame, config: TokenizerConfig) -> DataFrame:

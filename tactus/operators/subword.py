@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIRST_CHAR = 33
-#: Distinct words that the driver trains on; beyond it the most frequent ones, which is the sample that a model is fitted on.
-MOST_WORDS = 2_000_000
+#: Distinct words that a model is fitted on, the most frequent ones; encoding is of all words.
+MOST_WORDS = 50_000
 
 
 def to_chars(ids: Column) -> Column:
@@ -35,42 +35,60 @@ def word_counts(words: DataFrame, ids: str = "ids") -> DataFrame:
     return words.where(F.size(ids) > 0).groupBy(ids).agg(F.count("*").alias("n"))
 
 
+class _Pairs:
+    """Words as lists of symbols, with counts of symbols and of adjacent pairs, and the words that hold each pair."""
+
+    def __init__(self, words: list[list], freq: list[int]):
+        self.words, self.freq = words, freq
+        self.single: Counter = Counter()
+        self.count: Counter = Counter()
+        self.where: dict[tuple, set[int]] = defaultdict(set)
+        for i in range(len(words)):
+            self._add(i, 1)
+
+    def _add(self, i: int, sign: int) -> None:
+        w, n = self.words[i], sign * self.freq[i]
+        for x in w:
+            self.single[x] += n
+        for p in zip(w, w[1:], strict=False):
+            self.count[p] += n
+            if sign > 0:
+                self.where[p].add(i)
+            else:
+                self.where[p].discard(i)
+                if not self.count[p]:
+                    del self.count[p]
+
+    def merge(self, pair: tuple, new) -> None:  # noqa: ANN001
+        """Only the words that hold the pair are counted anew."""
+        for i in list(self.where[pair]):
+            self._add(i, -1)
+            self.words[i] = merged(self.words[i], pair, new)
+            self._add(i, 1)
+
+
+def merged(ids: list, pair: tuple, new) -> list:  # noqa: ANN001
+    out, k = [], 0
+    while k < len(ids):
+        if k + 1 < len(ids) and (ids[k], ids[k + 1]) == pair:
+            out.append(new)
+            k += 2
+        else:
+            out.append(ids[k])
+            k += 1
+    return out
+
+
 def train_bpe(counts: list[tuple[list[int], int]], base_size: int, vocab_size: int) -> list[tuple[int, int, int]]:
     """Merges (left, right, new id) until the vocabulary has vocab_size ids or no pair is left that occurs twice."""
-    words = [list(w) for w, _ in counts]
-    freq = [n for _, n in counts]
-    pairs: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for i, w in enumerate(words):
-        for p in zip(w, w[1:], strict=False):
-            pairs[p] += freq[i]
-            where[p].add(i)
-    merges, new = [], base_size
-    while new < vocab_size and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] < 2:
+    pairs = _Pairs([list(w) for w, _ in counts], [n for _, n in counts])
+    merges = []
+    for new in range(base_size, vocab_size):
+        n, best = min(((-n, p) for p, n in pairs.count.items()), default=(0, None))
+        if n > -2:
             break
-        for i in list(where[best]):
-            w = words[i]
-            for p in zip(w, w[1:], strict=False):
-                pairs[p] -= freq[i]
-                if pairs[p] <= 0:
-                    del pairs[p]
-                where[p].discard(i)
-            out, k = [], 0
-            while k < len(w):
-                if k + 1 < len(w) and (w[k], w[k + 1]) == best:
-                    out.append(new)
-                    k += 2
-                else:
-                    out.append(w[k])
-                    k += 1
-            words[i] = out
-            for p in zip(out, out[1:], strict=False):
-                pairs[p] += freq[i]
-                where[p].add(i)
-        merges.append((best[0], best[1], new))
-        new += 1
+        pairs.merge(best, new)
+        merges.append((*best, new))
     return merges
 
 
@@ -82,45 +100,20 @@ def apply_bpe(ids: list[int], rank: dict[tuple[int, int], tuple[int, int]]) -> l
         if best is None:
             break
         (_, new), pair = best
-        out, k = [], 0
-        while k < len(ids):
-            if k + 1 < len(ids) and (ids[k], ids[k + 1]) == pair:
-                out.append(new)
-                k += 2
-            else:
-                out.append(ids[k])
-                k += 1
-        ids = out
+        ids = merged(ids, pair, new)
     return ids
 
 
 def train_wordpiece(counts: list[tuple[list[int], int]], base_size: int, vocab_size: int) -> list[tuple[int, ...]]:
     """Pieces of several base ids: pairs of highest count(pair) / (count(left) * count(right)), as merges go on."""
-    words = [[(x,) for x in w] for w, _ in counts]
-    freq = [n for _, n in counts]
+    pairs = _Pairs([[(x,) for x in w] for w, _ in counts], [n for _, n in counts])
     pieces: list[tuple[int, ...]] = []
     while base_size + len(pieces) < vocab_size:
-        single: Counter = Counter()
-        pairs: Counter = Counter()
-        for w, n in zip(words, freq, strict=True):
-            for x in w:
-                single[x] += n
-            for p in zip(w, w[1:], strict=False):
-                pairs[p] += n
-        found = [(-n / (single[a] * single[b]), a, b) for (a, b), n in pairs.items() if n > 1]
-        if not found:
+        found = min(((-n / (pairs.single[a] * pairs.single[b]), a, b) for (a, b), n in pairs.count.items() if n > 1), default=None)
+        if found is None:
             break
-        _, a, b = min(found)
-        for i, w in enumerate(words):
-            out, k = [], 0
-            while k < len(w):
-                if k + 1 < len(w) and w[k] == a and w[k + 1] == b:
-                    out.append(a + b)
-                    k += 2
-                else:
-                    out.append(w[k])
-                    k += 1
-            words[i] = out
+        _, a, b = found
+        pairs.merge((a, b), a + b)
         if a + b not in pieces:
             pieces.append(a + b)
     return pieces

@@ -280,7 +280,7 @@ class Vocabulary:
             g["Pedal"] = {"Duration"}
             g.setdefault("Duration", set()).update(body)
         if c.use_rests:
-            g["Rest"] = heads | times | extra | {"Rest", *ends}
+            g["Rest"] = heads | times | extra | {"Rest", *ends, *(["TimeSig"] if c.use_time_signatures else [])}
             for t in list(g):
                 if t not in ("TimeShift", "Position") and times <= g[t] | {"Bar"}:
                     g[t].add("Rest")
