@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tactus.config import PITCH_CLASSES, TokenizerConfig
-from tactus.plans.vocab import fine_durations, micro_timings
+from tactus.plans.vocab import fine_durations, micro_timings, positions
 
 
 def find_chords(tick: np.ndarray, end: np.ndarray, pitch: np.ndarray, tpb: int, config: TokenizerConfig, beat_res: int = 4, onset_offset: int = 1, most: int = 10) -> list[tuple[int, str]]:
@@ -51,7 +51,10 @@ def chords(notes: DataFrame, config: TokenizerConfig) -> DataFrame:
 
 
 def pertok_tokens(rows: list[tuple], config: TokenizerConfig) -> list[tuple[int, str]]:
-    """(tick, token) of one track's notes (tick, dur, pitch, velocity, is_drum) on the fine grid; the error of each time shift is carried on."""
+    """(tick, token) of one track's notes (tick, dur, pitch, velocity, is_drum) on the fine grid.
+
+    The error of each time shift is carried on; with use_position_toks, places in the bar stand instead of shifts and carry none.
+    """
     p = config.additional_params
     tpq = p.get("ticks_per_quarter", 220)
     bins = fine_durations(config)
@@ -59,14 +62,21 @@ def pertok_tokens(rows: list[tuple], config: TokenizerConfig) -> list[tuple[int,
     least, per_bar = ticks.min() / 2, 4 * tpq  # the bar of 4/4 is num * 4 / den quarters
     micro = np.array(micro_timings(config)) if p.get("use_microtiming", True) else None
     near = lambda v: int(np.abs(ticks - v).argmin())  # noqa: E731  the smaller on ties
-    out, bar, previous = [], -1, 0
+    places = np.array(positions(config)) if p.get("use_position_toks") else None
+    out, bar, previous, placed = [], -1, 0, None
     for tick, dur, pitch, velocity, drum in rows:
         while tick > (bar + 1) * per_bar - least:
             bar += 1
             out.append((bar * per_bar, "Bar_None"))
             previous = max(previous, bar * per_bar)
         shift = tick - previous
-        if shift >= least:
+        if places is not None:
+            at = int(places[np.abs(places - (tick - bar * per_bar)).argmin()])
+            previous = bar * per_bar + at
+            if previous != placed:
+                out.append((tick, f"Position_{at}"))
+                placed = previous
+        elif shift >= least:
             t, name = bins[near(shift)]
             out.append((tick, f"TimeShift_{name}"))
             previous += t
@@ -104,6 +114,8 @@ def pertok_notes(tokens: list[str], config: TokenizerConfig) -> list[tuple]:
             tick = max(tick, bar * 4 * tpq)
         elif kind == "TimeShift":
             tick += length(value)
+        elif kind == "Position":
+            tick = bar * 4 * tpq + int(value)
         elif kind in ("Pitch", "PitchDrum"):
             fields = {}
             for x in tokens[i + 1 : i + 4]:

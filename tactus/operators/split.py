@@ -116,3 +116,11 @@ def merge_per_class(notes: DataFrame, most: int | None = None, filter_pitches: b
     if filter_pitches:
         rows = rows.where(drum | F.col("pitch").between(F.get(low, F.greatest("program", F.lit(0))), F.get(high, F.greatest("program", F.lit(0)))))
     return rows.drop("inst_class")
+
+
+def bar_and_positions(ids: Column, bar_id: int, position_ids: list[int]) -> Column:
+    """struct(bars, positions): how many bars a sequence has, and how many positions after the last of them."""
+    last = F.size(ids) - F.array_position(F.reverse(ids), F.lit(bar_id)).cast("int") + 1
+    bars = F.size(F.filter(ids, lambda i: i == bar_id))
+    after = F.when(bars > 0, F.slice(ids, last + 1, F.size(ids))).otherwise(ids)
+    return F.struct(bars.alias("bars"), F.size(F.filter(after, lambda i: i.isin(*position_ids))).alias("positions"))

@@ -135,7 +135,8 @@ class Vocabulary:
         elif self.kind == "Structured":
             tokens = [*self.notes(), "TimeShift_0.0.1", *self.time_shifts(), *([f"PitchDrum_{p}" for p in range(c.drums_pitch_range[0], c.drums_pitch_range[1] + 1)] if c.use_pitchdrum_tokens else []), *([f"Program_{p}" for p in sorted(c.programs)] if c.use_programs else [])]
         elif self.kind == "PerTok":
-            tokens = [*self.bars(), *self.notes(), *self.time_shifts(), *[f"MicroTiming_{v}" for v in micro_timings(c)], *self.extras()]
+            times = [f"Position_{v}" for v in positions(c)] if c.additional_params.get("use_position_toks") else self.time_shifts()
+            tokens = [*self.bars(), *self.notes(), *times, *[f"MicroTiming_{v}" for v in micro_timings(c)], *self.extras()]
         else:
             tokens = [*self.notes(), *self.time_shifts(), *self.extras()]
         return [list(dict.fromkeys([*special, *tokens, *self._attribute_controls()]))]
@@ -313,6 +314,13 @@ def fine_durations(config: TokenizerConfig) -> list[tuple[int, str]]:
     return sorted((t, v) for t, v in found.items() if t > 0)
 
 
+def positions(config: TokenizerConfig) -> list[int]:
+    """Ticks in the bar of PerTok's Position tokens."""
+    tpq = config.additional_params.get("ticks_per_quarter", 220)
+    steps = sorted({beat * tpq + pos * tpq // res for beat in range(4) for res in config.beat_res.values() for pos in range(res)})
+    return steps
+
+
 def micro_timings(config: TokenizerConfig) -> list[int]:
     """Ticks of the MicroTiming tokens."""
     p = config.additional_params

@@ -10,7 +10,7 @@ import struct
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactus.sources.tables import Score
@@ -214,3 +214,31 @@ def to_files(notes: DataFrame, tpq: int) -> DataFrame:
         return pd.DataFrame({"score_id": [pdf["score_id"].iloc[0]], "content": [build([tuple(map(int, r)) for r in rows], tpq)]})
 
     return notes.groupBy("score_id").applyInPandas(run, "score_id long, content binary")
+
+
+def write_files(files: DataFrame, folder: str, name: str = "score_id") -> DataFrame:
+    """(path, bytes) of files (`name`, content) written below a folder that all executors reach, by any file system that Arrow knows.
+
+    A file is written under its own name, so a task that runs twice writes the same file again.
+    """
+
+    def run(batches):  # noqa: ANN001, ANN202
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            paths = []
+            for key, content in zip(b[name], b["content"], strict=True):
+                with store.open_output_stream(f"{root}/{key}.mid") as f:
+                    f.write(bytes(content))
+                paths.append(f"{folder}/{key}.mid")
+            yield pd.DataFrame({"path": paths, "bytes": [len(c) for c in b["content"]]})
+
+    return files.select(name, "content").mapInPandas(run, "path string, bytes long")
+
+
+def valid_files(rows: DataFrame, valid: Column | None = None) -> DataFrame:
+    """Rows of the files that were parsed, and of which `valid`, an aggregate over a file's rows, holds.  Files are never deleted."""
+    good = rows.groupBy("path").agg(F.max((F.col("kind") == "error").cast("int")).alias("bad"), (F.lit(True) if valid is None else valid).alias("ok"))
+    return rows.join(good.where("bad = 0 and ok").select("path"), "path", "left_semi")

@@ -113,8 +113,23 @@ class Tokenizer:
 
     def errors(self, sequences: DataFrame) -> DataFrame:
         """(score_id, stream, n_tokens, n_errors, ratio) of (score_id, stream, tokens)."""
+        if self.kind in MULTI:
+            rows = sequences.select("score_id", "stream", F.posexplode("tokens").alias("pos", "tokens"))
+            if self.kind == "CPWord":
+                return validate.error_ratio(validate.family_rows(rows), self.vocabulary)
+            place, bar = (1, 2) if self.kind == "Octuple" else (2, 1)
+            found = validate.row_errors(rows, place, bar).withColumnRenamed("n_rows", "n_tokens")
+            return found.withColumn("ratio", F.col("n_errors") / F.col("n_tokens"))
+        if self.kind == "MMM":
+            tracks = decode.split_mmm(sequences).where(~F.col("token").startswith("Program_"))
+            return validate.error_ratio(tracks, Vocabulary(self.base, self.config)).groupBy("score_id").agg(F.lit(0).alias("stream"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_errors").alias("n_errors")).withColumn("ratio", F.col("n_errors") / F.col("n_tokens"))
         rows = sequences.select("score_id", "stream", F.posexplode("tokens").alias("pos", "token"))
-        return validate.error_ratio(rows, self.vocabulary)
+        found = validate.error_ratio(rows, self.vocabulary)
+        if self.kind != "MIDILike":
+            return found
+        pairs = validate.on_off_errors(rows)
+        errors = F.col("n_errors") + F.coalesce(F.col("orphan_offs") + F.col("open_notes"), F.lit(0))
+        return found.join(pairs, ["score_id", "stream"], "left").select("score_id", "stream", "n_tokens", errors.alias("n_errors"), (errors / F.col("n_tokens")).alias("ratio"))
 
     # --- subword models
 

@@ -27,6 +27,7 @@ def test_round_trip(spark, score, kind):
     t = Tokenizer(kind, TokenizerConfig(use_programs=kind != "MMM", use_tempos=kind == "REMI", additional_params=LONG if multi else {}))
     seqs = t.encode(score).cache()
     assert seqs.where(F.exists(F.flatten("ids") if t.vocabulary.is_multi else F.col("ids"), lambda i: i.isNull())).isEmpty()
+    assert t.errors(seqs).where("n_errors > 0").isEmpty() and t.errors(seqs).count() == seqs.count()
     found = t.decode(seqs)
     if kind == "PerTok":
         assert found.notes.count() == score.notes.where("(is_drum and pitch between 27 and 88) or (not is_drum and pitch between 21 and 109)").count()
@@ -85,6 +86,30 @@ def test_splitting_for_training(spark, score):
     assert [r["ids"] for r in t.samples(df, 4).collect()] == [[1, 5, 6, 7], [5, 6, 7], [5, 6, 2]]
 
 
+def test_pertok_positions(spark, score):
+    t = Tokenizer("PerTok", TokenizerConfig(additional_params={"ticks_per_quarter": 220, "max_microtiming_shift": 0.25, "num_microtiming_bins": 110, "use_position_toks": True}))
+    seqs = t.encode(score)
+    assert seqs.where(F.exists("ids", lambda i: i.isNull())).isEmpty()
+    raw = sorted(round(r["tick"] * 220 / 480) for r in score.notes.where("track_idx = 0 and score_id = 1").collect())
+    got = sorted(r["tick"] for r in t.decode(seqs).notes.where("track_idx = 0 and score_id = 1").collect())
+    assert len(raw) == len(got) and max(abs(a - b) for a, b in zip(raw, got, strict=True)) <= 2
+
+
+def test_written_files_and_valid_ones(spark, score, tmp_path):
+    done = midi.write_files(midi.to_files(score.notes, 480), f"file://{tmp_path}/out").collect()
+    assert len(done) == 3
+    rows = midi.read_midi(spark, str(tmp_path / "out"))
+    many = F.count_if(F.col("kind") == "note") > 10**6
+    assert midi.valid_files(rows).count() == rows.count() and midi.valid_files(rows, many).isEmpty()
+
+
+def test_bars_and_positions(spark):
+    from tactus.operators.split import bar_and_positions
+
+    df = spark.createDataFrame([([4, 7, 4, 8, 9, 7],), ([7],), ([],)], "ids array<int>")
+    assert [tuple(r["x"]) for r in df.select(bar_and_positions(F.col("ids"), 4, [7, 8]).alias("x")).collect()] == [(2, 2), (0, 1), (0, 0)]
+
+
 def test_formats():
     assert Tokenizer("TSD").io_format == ("I", "T")
     assert Tokenizer("Octuple", TokenizerConfig(use_programs=True)).io_format == ("T", "C")
