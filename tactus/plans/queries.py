@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tactus.config import TokenizerConfig
-from tactus.operators import attributes, augment, batch, compound, decode, encode, folds, grid, preprocess, split, validate
+from tactus.operators import attributes, augment, batch, compound, decode, encode, folds, grid, preprocess, split, tracks, validate
 from tactus.operators.subword import SubwordModel
 from tactus.plans.vocab import Vocabulary
 from tactus.sources import midi
@@ -420,6 +420,31 @@ SELECT score_id, min(track_idx) AS track_idx, CAST(CASE WHEN cl = 16 THEN -1 ELS
 )
 
 
+register("score_programs", f"""WITH {RAW}, t AS (SELECT DISTINCT score_id, track_idx, program, is_drum FROM raw)
+SELECT score_id, string_agg(program || CASE WHEN is_drum THEN 'd' ELSE '' END, ' ' ORDER BY track_idx) AS programs FROM t GROUP BY score_id""")(
+    lambda s, sf: tracks.programs(notes_view(s, sf)).select("score_id", F.array_join(F.transform("programs", lambda p: F.concat(p["program"], F.when(p["is_drum"], "d").otherwise(""))), " ").alias("programs"))
+)
+register("empty_tracks", f"""WITH {RAW}, late AS (SELECT * FROM raw WHERE tick > 424000 AND pitch > 60)
+SELECT DISTINCT score_id, track_idx FROM raw WHERE NOT EXISTS (SELECT 1 FROM late WHERE late.score_id = raw.score_id AND late.track_idx = raw.track_idx)""")(
+    lambda s, sf: tracks.empty_tracks(notes_view(s, sf).select("score_id", "track_idx").distinct(), Score(notes_view(s, sf).where("tick > 424000 and pitch > 60")))
+)
+register("octuple_errors", f"""WITH {N} SELECT score_id, CAST(0 AS INTEGER) AS stream, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_errors FROM n GROUP BY score_id""")(
+    lambda s, sf: validate.row_errors(compound.octuple(score_tables(s, sf, True), WIDE), 1, 2).withColumn("n_errors", F.col("n_errors").cast("long"))
+)
+register("split_by_ticks", f"WITH {RAW} SELECT score_id, track_idx, CAST(CASE WHEN tick >= 300000 THEN 2 WHEN tick >= 200000 THEN 1 ELSE 0 END AS INTEGER) AS part, CASE WHEN tick >= 300000 THEN tick - 300000 WHEN tick >= 200000 THEN tick - 200000 ELSE tick END AS tick, pitch FROM raw")(
+    lambda s, sf: split.per_ticks(notes_view(s, sf), [300_000, 200_000]).select("score_id", "track_idx", "part", F.col("tick").cast("long").alias("tick"), "pitch")
+)
+register("repeated_notes", f"""WITH {REMI}, t AS (SELECT * FROM ({exploded('e', 'ord')})), m AS (SELECT *, sum(CASE WHEN token LIKE 'Bar%' OR token LIKE 'Position%' THEN 1 ELSE 0 END) OVER (PARTITION BY score_id, stream ORDER BY pos ROWS UNBOUNDED PRECEDING) AS moment FROM t),
+r AS (SELECT score_id, stream, token, count(*) - 1 AS again FROM m WHERE token LIKE 'Pitch%' GROUP BY score_id, stream, moment, token)
+SELECT score_id, stream, CAST(sum(again) AS BIGINT) AS errors FROM r GROUP BY ALL""")(
+    lambda s, sf: validate.repeated_notes(tokens(s, sf, "REMI"))
+)
+register("sampled_bars")(lambda s, sf: attributes.sample_rows(attributes.with_bar(notes(s, sf), 8).select(*attributes.BAR).distinct(), ["score_id", "track_idx"], 0.3, 7, ["bar"]))
+register("control_tokens")(
+    lambda s, sf: attributes.control_tokens(notes(s, sf), CONFIG.copy(**{k: True for k in ("ac_polyphony_track", "ac_polyphony_bar", "ac_pitch_class_bar", "ac_note_density_track", "ac_note_density_bar", "ac_note_duration_bar", "ac_note_duration_track", "ac_repetition_track")}))
+)
+
+
 # --- folds, models and files: rows only
 
 register("ts_alignment")(lambda s, sf: preprocess.align_time_signatures(score_tables(s, sf, True).time_sigs, TokenizerConfig(use_time_signatures=True), 480))

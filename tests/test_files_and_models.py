@@ -152,3 +152,19 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.stop()
     got = {(r["start"], r["event_type"], r["n"]) for r in spark.table("bars").collect()}
     assert got == {(r["start"], r["event_type"], r["n"]) for r in windows.tumbling(events).collect()}
+
+
+def test_tracks_and_scores(spark):
+    from tactus.operators import tracks
+    from tactus.sources.tables import NOTES, Score
+
+    notes = spark.createDataFrame([(1, 0, 5, False, 0, 1, 60, 9), (1, 2, -1, True, 4, 1, 36, 9)], NOTES)
+    assert [tuple(p) for p in tracks.programs(notes).collect()[0]["programs"]] == [(5, False), (-1, True)]
+    names = spark.createDataFrame([(1, 2, "drums"), (1, 0, "piano")], "score_id long, track_idx int, name string")
+    merged, name = tracks.merge_tracks(notes, names)
+    assert {r["track_idx"] for r in merged.collect()} == {0} and name.collect()[0]["name"] == "piano / drums"
+    assert tracks.empty_tracks(names.select("score_id", "track_idx").union(spark.createDataFrame([(1, 1)], "score_id long, track_idx int")), Score(notes)).collect()[0]["track_idx"] == 1
+    assert tracks.merge_scores([Score(notes), Score(notes)]).notes.count() == 4
+    with pytest.raises(ValueError, match="different"):
+        tracks.merge_scores([Score(notes), Score(notes, tpq=8)])
+    assert tracks.common_folder(["/a/b/c.mid", "/a/b/d/e.mid"]) == "/a/b"
