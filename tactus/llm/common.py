@@ -15,12 +15,15 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a folder of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tactus-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    if not found:  # the setting can't be changed while Spark runs, so ours is kept here
+        app = spark.sparkContext.applicationId
+        found = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tactus-shared-"))
     return found.rstrip("/")
 
 
@@ -46,23 +49,26 @@ def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def map_text(docs: DataFrame, value: Column, keep: tuple[str, ...], fields: str, start: Callable[[], Callable[[list], dict[str, list]]], step: int = 1_000) -> DataFrame:
+def map_text(docs: DataFrame, value: Column | str, keep: tuple[str, ...], fields: str, start: Callable[[], Callable[[list], dict[str, list]]], step: int = 1_000) -> DataFrame:
     """`keep` columns of docs and the new `fields`, which the function that start() returns in each task makes from `step` values at a time.
 
-    The kept columns pass through as Arrow arrays, so nulls and large integers stay as they are.
+    value: a column, or the name of a kept one, which then travels once.  The kept columns pass through as Arrow arrays,
+    so nulls and large integers stay as they are.
     """
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     schema = (ddl(kept) + ", " if keep else "") + fields
+    at = keep.index(value) if isinstance(value, str) else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
         for b in batches:
             for i in range(0, b.num_rows, step):
                 part = b.slice(i, step)
-                made = make(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, made.values())], names=[*part.schema.names[:-1], *made])
+                made = make(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *map(pa.array, made.values())], names=[*part.schema.names[: len(keep)], *made])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], value.alias("__value")).mapInArrow(run, schema)
+    sent = kept if isinstance(value, str) else docs.select(*[F.col(f"`{c}`") for c in keep], value.alias("__value"))
+    return sent.mapInArrow(run, schema)
 
 
 def aside(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:

@@ -191,7 +191,7 @@ def predict_languages(docs: DataFrame, sample: dict[str, list[str]], keep: tuple
 
         return make
 
-    return map_text(docs, F.col("text"), keep, "lang_pred string, score double", start)
+    return map_text(docs, "text" if "text" in keep else F.col("text"), keep, "lang_pred string, score double", start)
 
 
 def is_held_out(doc_id: Column) -> Column:
