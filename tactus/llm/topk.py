@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tactus.llm.common import written
 
 K, SCALE, EVERY = 20, 64, 20
-#: Pivots a dimension; queries in a block and vectors in a chunk, which bound what a task holds.
-PIVOTS, BLOCK, CHUNK = 16, 4_096, 50_000
+#: Pivots a dimension; components of the queries of a block and of the vectors of a chunk, which bound what a task holds.
+PIVOTS, BLOCK, CHUNK = 16, 262_144, 3_200_000
 #: Relative slack of the bounds for rounding; it only lets more vectors through.
 SLACK = 1e-6
 
@@ -110,8 +110,8 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = K, scale: int = SCAL
         # k + 1 as one of the nearest may be the query's own row; with fewer rows, all are needed
         theta = bounds[k] if len(bounds) > k else np.inf
         reach.setdefault(dim, {})[g] = (theta + u) * (1 + SLACK) + SLACK
-    split = {key: -(-n // BLOCK) for key, (_, n) in groups.items()}
-    chunks = {d: -(-n // CHUNK) for d, n in sizes.items()}
+    split = {(d, g): -(-n * d // BLOCK) for (d, g), (_, n) in groups.items()}
+    chunks = {d: -(-n * d // CHUNK) for d, n in sizes.items()}
 
     def replicate(batches):
         """Each vector with the groups that need it."""
