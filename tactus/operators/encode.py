@@ -46,7 +46,7 @@ def note_pitch(config: TokenizerConfig, on: str = "Pitch", drum: str = "PitchDru
     last_tick, last = F.lag("tick").over(w), F.lag("pitch").over(w)
     chord = last_tick == F.col("tick")
     most = config.max_pitch_interval
-    # the reference of an onset is its first note, or a later one that stands on its own
+    # an onset's anchor is its first note, or a later one that stands on its own
     anchor = F.last(F.when(F.coalesce(~chord | (F.abs(F.col("pitch") - last) > most), F.lit(True)), F.col("pitch")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     near = F.col("tick") - last_tick <= int(config.pitch_intervals_max_time_dist * config.tpb(4))
     step, jump = F.col("pitch") - last, F.col("pitch") - anchor
