@@ -4,9 +4,10 @@ A page's markup becomes text lines, one a block, each marked as inside an <artic
 that are never text (scripts, styles, forms) and elements that say what they are (nav, footer, aside, class or id words
 such as ad, cookie, sidebar, comments) leave no lines.  Pages are then paired with the nearest page of their host in
 order of URL path, their outside lines are aligned by longest common subsequence, and shared lines are deleted, as menus
-and notices repeat from page to page and text does not.  Lines inside an <article> or <main> are kept even if another
-page has them too (quoted passages and mirrors are text).  A page's text is its article lines; if it has none, the
-outside lines that are left.
+and notices repeat from page to page and text does not.  This decides about the outside lines of every page, with or
+without an <article>: a headline or a body outside the container stays.  Lines inside an <article> or <main> are kept
+even if another page has them too (quoted passages and mirrors are text).  A page's text is its article lines and the
+outside lines that are left, in page order.
 
 Pairing: the neighbours of a page are the pages before and after it in order of host, path and page_id; the one of longer
 common path prefix is taken, the one before on ties, the other one if its lines are the same.  A page that is alone of
@@ -23,6 +24,7 @@ import html as html_lib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -234,30 +236,42 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                made = [lines(h or "") for h in part.column(4).to_pylist()]
-                inside, outside = ([[x for x, a in page if a is want] for page in made] for want in (True, False))
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(inside, pa.list_(pa.string())), pa.array(outside, pa.list_(pa.string()))], names=[*part.schema.names[:4], "inside", "outside"])
+                inside, outside, at = [], [], []
+                for h in part.column(4).to_pylist():
+                    page = lines(h or "")
+                    inside.append([x for x, within in page if within])
+                    outside.append([x for x, within in page if not within])
+                    before = accumulate((within for _, within in page), initial=0)
+                    at.append([n for n, (_, within) in zip(before, page, strict=False) if not within])
+                made = [pa.array(inside, pa.list_(pa.string())), pa.array(outside, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *made], names=[*part.schema.names[:4], "inside", "outside", "at"])
 
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|^//", "")
     host = F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.regexp_replace(rest, r"^[^/?#]*", "").alias("path"), "html")
-    parsed = keyed.mapInArrow(parse, "page_id long, url string, host string, path string, inside array<string>, outside array<string>")
+    parsed = keyed.mapInArrow(parse, "page_id long, url string, host string, path string, inside array<string>, outside array<string>, at array<int>")
     parsed = written(parsed.withColumn("row", F.monotonically_increasing_id()), "page-lines")  # written with its row numbers, so that these stay
-    done = parsed.where((F.size("inside") > 0) | (F.size("outside") == 0)).select("page_id", "url", F.array_join("inside", " ").alias("text"))
-    open_ = parsed.where((F.size("inside") == 0) & (F.size("outside") > 0))
-    near = nearest(parsed.select("row", "host", "path", "page_id", (F.size("inside") == 0).alias("open")))
+    done = parsed.where(F.size("outside") == 0).select("page_id", "url", F.array_join("inside", " ").alias("text"))
+    open_ = parsed.where(F.size("outside") > 0)  # at: how many inside lines are before each outside line
+    near = nearest(parsed.select("row", "host", "path", "page_id", (F.size("outside") > 0).alias("open")))
     # the lines of an open page's neighbours, nearest first
     theirs = near.select("row", F.posexplode("near").alias("n", "other")).join(parsed.select(F.col("row").alias("other"), F.col("outside").alias("theirs")), "other")
     theirs = theirs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "theirs"))).alias("theirs"))
-    pairs = open_.join(theirs, "row", "left").select("page_id", "url", "outside", F.transform("theirs", lambda x: x["theirs"]).alias("theirs"))
+    pairs = open_.join(theirs, "row", "left").select("page_id", "url", "inside", "outside", "at", F.transform("theirs", lambda x: x["theirs"]).alias("theirs"))
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for mine, others in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for inside, mine, at, others in zip(*(b.column(c).to_pylist() for c in ("inside", "outside", "at", "theirs")), strict=True):
                 other = next((x for x in others or () if x != mine), None)
                 gone = shared(mine, other) if other else ()
-                texts.append(" ".join(x for i, x in enumerate(mine) if i not in gone))
+                text, n = [], 0
+                for i, (x, k) in enumerate(zip(mine, at, strict=True)):
+                    text += inside[n:k]
+                    n = k
+                    if i not in gone:
+                        text.append(x)
+                texts.append(" ".join(text + inside[n:]))
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return done.unionByName(pairs.mapInArrow(difference, "page_id long, url string, text string"))

@@ -164,6 +164,13 @@ def test_shared_lines_go_and_articles_stay(spark):
     assert found[10] == "Top menu 0 & more Bottom" and found[11] == "" and found[None] == "" and found[12] == "T a b c"
 
 
+def test_outside_lines_of_pages_with_an_article_are_differenced(spark):
+    page = lambda x: f"<div>Top</div><h1>Head {x}</h1><main><p>Teaser {x}</p></main><div>Middle</div><div>Body {x}</div><article><p>Second</p></article><p>Lead {x}</p><div>Bottom</div>"
+    rows = [(i, f"http://h.org/a/{i}", page(i)) for i in range(6)]
+    found = {r["page_id"]: r["text"] for r in html_extract.op4(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Head {i} Teaser {i} Body {i} Second Lead {i}" for i in range(6)}
+
+
 def test_alignment_is_a_common_subsequence():
     rnd = random.Random(9)
     for _ in range(200):
