@@ -167,30 +167,36 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a").distinct())
 
 
-def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, `keep`, fp, component_id) of every row."""
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), root: bool = False) -> DataFrame:
+    """(doc_id, `keep`, fp, component_id) of every row, and if asked for its component's smallest fingerprint, `__root`."""
     made = written(fingerprints(docs, ("doc_id", *keep)), "fingerprints")
     ids = made.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"))
     ids = written(ids, "distinct-fingerprints")
     roots = components(links(ids))
     rooted = ids.join(roots, ids.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component"))
-    named = rooted.join(least, "root").select("fp", "component")
+    named = rooted.join(least, "root").select("fp", "component", F.col("root").alias("__root"))
     component = F.when(F.col("component") != NO_ID, F.col("component"))
-    return made.join(named, "fp").select("doc_id", *keep, "fp", component.alias("component_id"))
+    return made.join(named, "fp").select("doc_id", *keep, "fp", component.alias("component_id"), *(["__root"] if root else []))
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their group: of the smallest doc_id, the one of smallest hash, one of repeated rows."""
+    """One row of docs for each component: of the smallest doc_id, null last, the row of smallest hash, one of repeated rows.
+
+    Components are told apart by their smallest fingerprint, so a doc_id that is null, or repeated with unlike texts,
+    stands for as many rows as it has components.
+    """
     rest = [c for c in docs.columns if c != "doc_id"]
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in rest])
-    found = near_duplicates(docs.withColumn("__row", row_hash), ("__row",))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("__row", "fp")).alias("least"), F.count("*").alias("n"))
-    kept = written(kept.select(F.col("component_id").alias("__id"), F.col("least.__row").alias("__kept"), "n"), "kept")
+    found = near_duplicates(docs.withColumn("__row", row_hash), ("__row",), root=True)
+    rows = found.groupBy("__root", "doc_id", "__row").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__row").alias("kept"), "n")).alias("least")
+    kept = rows.groupBy("__root").agg(least).select(F.col("least.id").alias("__id"), F.col("least.kept").alias("__kept"), F.col("least.n").alias("__n"))
+    kept = written(kept, "kept")
     left = docs.withColumn("__row", row_hash)
-    out = left.join(kept, left.doc_id.eqNullSafe(kept["__id"]) & (left["__row"] == kept["__kept"]), "left_semi").drop("__row")
-    # rows of one doc_id are rare, and only then is a second shuffle of the texts needed
-    return out if kept.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    out = left.join(kept, left.doc_id.eqNullSafe(kept["__id"]) & (left["__row"] == kept["__kept"]), "left_semi")
+    # repeated rows are rare, and only then is a second shuffle of the texts needed
+    return (out if kept.where("__n > 1").isEmpty() else out.dropDuplicates(["doc_id", "__row"])).drop("__row")
 
 
 def op2(docs: DataFrame) -> DataFrame:

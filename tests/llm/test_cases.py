@@ -133,6 +133,13 @@ def test_a_large_group_of_copies(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one_per_group(docs).collect()) == [0, 9000]
 
 
+def test_unlike_documents_of_one_id_or_none_all_stay(spark):
+    texts = ["first words that stand alone here", "second text of quite other words now", "third and last of the unlike ones"]
+    rows = [(None, t, "en", "s", 30) for t in texts[:2] * 3] + [(7, texts[2], "en", "s", 30)] * 2 + [(7, "fourth piece, the same id again", "en", "s", 31)]
+    found = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one_per_group(spark.createDataFrame(rows, DOCS)).collect())
+    assert found == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, "fourth piece, the same id again")])
+
+
 def test_top_k_with_ties_and_odd_vectors(spark):
     rows = [(i, [1.0, float(i % 3)]) for i in range(60)] + [(20, [1.0, 2.0]), (61, None), (62, [1.0, None]), (63, [float("nan"), 1.0]), (64, [float("inf"), 1.0]), (None, [1.0, 1.0]), (65, []), (80, [1.0, 2.0, 3.0])]
     found = topk.op3(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
