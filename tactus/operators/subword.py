@@ -1,8 +1,10 @@
 """Subword models over token ids: byte-pair merges, WordPiece and Unigram, trained on counts of distinct words.
 
-A word is a bar, a beat or a whole sequence of ids, written one letter an id.  Spark counts distinct words; the merge
-loop runs on the driver over that table with an index from pairs to words, so a round touches only the words that hold
-the pair.  Ties: larger count, then smaller left id, then smaller right id.
+A word is a bar, a beat or a whole sequence of ids, written one letter an id.  Models are fitted on all distinct words:
+Spark keeps their table and counts pairs, symbols or substrings of it round by round; the driver sees only counts of
+pairs of the vocabulary.  A BPE round takes all merges that are sure from one count: the next pair in order is, as long as
+it shares no symbol with those before it.  train_bpe(), train_wordpiece() and train_unigram() are the same fits in memory.
+Ties: larger count, then smaller left id, then smaller right id.
 """
 
 from __future__ import annotations
@@ -11,13 +13,17 @@ import json
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIRST_CHAR = 33
-#: Distinct words that a model is fitted on, the most frequent ones; encoding is of all words.
-MOST_WORDS = 50_000
+#: Pairs of one count that come to the driver in a BPE round, the best ones.
+BEST_PAIRS = 1_000
+#: Merges after which the words' table is made anew.
+PENDING = 64
 
 
 def to_chars(ids: Column) -> Column:
@@ -170,6 +176,145 @@ def best_segmentation(ids: list[int], logs: dict[tuple[int, ...], float], longes
     return out[::-1]
 
 
+def _merge_all(x: np.ndarray, merges: list[tuple[int, int, int]]) -> np.ndarray:
+    """x, words one after the other with -1 after each, with the merges done in order, from the left."""
+    for a, b, new in merges:
+        hit = np.flatnonzero((x[:-1] == a) & (x[1:] == b))
+        if a == b and len(hit):  # of a run every second
+            at = np.arange(len(hit))
+            first = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, at, 0))
+            hit = hit[(at - first) % 2 == 0]
+        if len(hit):
+            x[hit] = new
+            x = np.delete(x, hit + 1)
+    return x
+
+
+def _merged_words(batch: pa.RecordBatch, merges: list[tuple[int, int, int]]) -> np.ndarray:
+    ids = batch.column(0)
+    size = np.diff(ids.offsets.to_numpy())
+    values = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return _merge_all(np.insert(values, np.cumsum(size), -1), merges)
+
+
+class _Words:
+    """A persisted table (ids, n) of distinct words, on which merges are done."""
+
+    def __init__(self, words: DataFrame):
+        self.now, self.pending = words.select(F.col("ids").cast("array<int>"), "n").persist(), []
+
+    def merge(self, merges: list[tuple[int, int, int]]) -> None:
+        self.pending += merges
+        if len(self.pending) < PENDING:
+            return
+        done, before = list(self.pending), self.now
+
+        def run(batches):  # noqa: ANN001, ANN202
+            for b in batches:
+                x = _merged_words(b, done)
+                end = np.flatnonzero(x == -1)
+                offsets = np.concatenate([[0], end - np.arange(len(end))])
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x[x >= 0], pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids, b.column(1)], names=["ids", "n"])
+
+        self.now = before.mapInArrow(run, "ids array<int>, n long").persist()
+        self.now.count()
+        before.unpersist()
+        self.pending = []
+
+    def counts(self) -> DataFrame:
+        """(a, b, n) of all adjacent pairs, and (a, -1, n) of all symbols."""
+        merges = list(self.pending)
+
+        def run(batches):  # noqa: ANN001, ANN202
+            for b in batches:
+                x, n = _merged_words(b, merges), b.column(1).to_numpy()
+                if not len(x):
+                    continue
+                word = np.cumsum(x == -1)
+                at = np.flatnonzero(x >= 0)
+                pair = at[x[at + 1] >= 0]
+                left, right = np.concatenate([x[at], x[pair]]), np.concatenate([np.full(len(at), -1), x[pair + 1]])
+                key, inverse = np.unique(left << 32 | right + 1, return_inverse=True)
+                total = np.zeros(len(key), np.int64)
+                np.add.at(total, inverse, n[word[np.concatenate([at, pair])]])
+                yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array((key & 0xFFFFFFFF) - 1), pa.array(total)], names=["a", "b", "n"])
+
+        return self.now.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def fit_bpe(words: DataFrame, base_size: int, vocab_size: int) -> list[tuple[int, int, int]]:
+    """train_bpe() over the table (ids, n)."""
+    table, merges = _Words(words), []
+    while len(merges) < vocab_size - base_size:
+        best = table.counts().where("b >= 0 and n > 1").orderBy(F.col("n").desc(), "a", "b").limit(BEST_PAIRS).collect()
+        found, touched = [], set()
+        for r in best[: vocab_size - base_size - len(merges)]:
+            if touched & {r["a"], r["b"]}:
+                break
+            touched |= {r["a"], r["b"]}
+            found.append((r["a"], r["b"], base_size + len(merges) + len(found)))
+        if not found:
+            break
+        merges += found
+        table.merge(found)
+    table.now.unpersist()
+    return merges
+
+
+def fit_wordpiece(words: DataFrame, base_size: int, vocab_size: int) -> list[tuple[int, ...]]:
+    """train_wordpiece() over the table (ids, n)."""
+    table, pieces = _Words(words), []
+    ids: dict[tuple[int, ...], int] = {}
+    made: dict[int, tuple[int, ...]] = {}
+    while base_size + len(pieces) < vocab_size:
+        rows = table.counts().where("b < 0 or n > 1").collect()  # pairs of the vocabulary
+        single = {r["a"]: r["n"] for r in rows if r["b"] < 0}
+        symbol = {x: made.get(x, (x,)) for x in single}
+        found = min(((-r["n"] / (single[r["a"]] * single[r["b"]]), symbol[r["a"]], symbol[r["b"]], r["a"], r["b"]) for r in rows if r["b"] >= 0), default=None)
+        if found is None:
+            break
+        _, left, right, a, b = found
+        piece = left + right
+        if piece not in ids:
+            ids[piece] = base_size + len(pieces)
+            made[ids[piece]] = piece
+            pieces.append(piece)
+        table.merge([(a, b, ids[piece])])
+    table.now.unpersist()
+    return pieces
+
+
+def fit_unigram(words: DataFrame, base_size: int, vocab_size: int, longest: int = 8, rounds: int = 4) -> dict[tuple[int, ...], float]:
+    """train_unigram() over the table (ids, n)."""
+    table = words.select(F.col("ids").cast("array<int>"), "n").persist()
+    parts = f"flatten(transform(sequence(1, size(ids)), i -> transform(sequence(i, least(i + {longest - 1}, size(ids))), j -> slice(ids, i, j - i + 1))))"
+    seen = table.select(F.explode(F.expr(parts)).alias("p"), "n").groupBy("p").agg(F.sum(F.col("n") * F.size("p")).alias("n")).persist()
+    singles = {tuple(r["p"]): r["n"] for r in seen.where("size(p) = 1").collect()}
+    more = {tuple(r["p"]): r["n"] for r in seen.where("size(p) > 1").orderBy(F.col("n").desc(), "p").limit(4 * vocab_size).collect()}
+    seen.unpersist()
+    weight = {p: float(x) for p, x in {**singles, **more}.items()}
+    for r in range(rounds):
+        total = sum(weight.values())
+        logs = {p: math.log(x / total) for p, x in weight.items()}
+
+        def use(batches, logs=logs):  # noqa: ANN001, ANN202
+            for b in batches:
+                used: Counter = Counter()
+                for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    for p in best_segmentation(w, logs, longest):
+                        used[p] += n
+                yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in used], pa.list_(pa.int32())), pa.array(list(used.values()), pa.int64())], names=["p", "n"])
+
+        used = {tuple(x["p"]): x["n"] for x in table.mapInArrow(use, "p array<int>, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()}
+        room = max(vocab_size - base_size, 0) if r == rounds - 1 else 2 * vocab_size
+        keep = sorted((p for p in used if len(p) > 1), key=lambda p: (-used[p], p))[:room]
+        weight = {p: float(used.get(p, 0)) + 0.01 for p in [*sorted(singles), *keep]}
+    table.unpersist()
+    total = sum(weight.values())
+    return {p: math.log(x / total) for p, x in weight.items()}
+
+
 class SubwordModel:
     """A trained model; encode() and decode() work on DataFrames with an `ids` column of words."""
 
@@ -180,18 +325,17 @@ class SubwordModel:
     def train(cls, words: DataFrame, kind: str, base_size: int, vocab_size: int, ids: str = "ids") -> SubwordModel:
         if vocab_size <= base_size:
             raise ValueError(f"vocab_size {vocab_size}: more than the {base_size} base ids")
-        rows = word_counts(words, ids).orderBy(F.col("n").desc(), ids).limit(MOST_WORDS).collect()
-        counts = [(list(r[ids]), r["n"]) for r in rows]
+        counts = word_counts(words, ids).select(F.col(f"`{ids}`").alias("ids"), "n")
         if kind == "BPE":
-            merges = train_bpe(counts, base_size, vocab_size)
+            merges = fit_bpe(counts, base_size, vocab_size)
             made = {i: (i,) for i in range(base_size)}
             for a, b, new in merges:
                 made[new] = made[a] + made[b]
             return cls(kind, base_size, [made[new] for *_, new in merges], merges)
         if kind == "WordPiece":
-            return cls(kind, base_size, train_wordpiece(counts, base_size, vocab_size))
+            return cls(kind, base_size, fit_wordpiece(counts, base_size, vocab_size))
         if kind == "Unigram":
-            scores = train_unigram(counts, base_size, vocab_size)
+            scores = fit_unigram(counts, base_size, vocab_size)
             return cls(kind, base_size, [p for p in scores if len(p) > 1], scores=scores)
         raise ValueError(f"{kind}: BPE, WordPiece or Unigram")
 

@@ -473,7 +473,6 @@ def _subword(kind: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         words = _bar_words(spark, sf)
         base = len(Vocabulary("REMI", CONFIG))
-        # the model is fitted on distinct words of scores with an even id, and encodes all
         return SubwordModel.train(words, kind, base, base + 60).encode(words)
 
     return run

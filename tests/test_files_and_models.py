@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tactus.config import TokenizerConfig
 from tactus.operators import batch, folds, split
-from tactus.operators.subword import SubwordModel, apply_bpe, best_segmentation, longest_first, to_chars, train_bpe
+from tactus.operators.subword import SubwordModel, apply_bpe, best_segmentation, fit_bpe, fit_unigram, fit_wordpiece, longest_first, to_chars, train_bpe, train_unigram, train_wordpiece
 from tactus.sources import abc, midi, tokens
 from tactus.streaming import windows
 
@@ -168,3 +168,21 @@ def test_tracks_and_scores(spark):
     with pytest.raises(ValueError, match="different"):
         tracks.merge_scores([Score(notes), Score(notes, tpq=8)])
     assert tracks.common_folder(["/a/b/c.mid", "/a/b/d/e.mid"]) == "/a/b"
+
+
+def test_subword_models_are_fitted_on_all_words(spark):
+    # 60,000 words that occur once; those of a common pair come last in order of ids
+    last = F.when(F.col("id") >= 50_000, F.array(F.lit(252), F.lit(253))).otherwise(F.array((F.col("id") % 241).cast("int"), (F.col("id") % 239).cast("int")))
+    df = spark.range(60_000).select(F.concat(F.array((F.col("id") / 240).cast("int"), (F.col("id") % 240).cast("int")), last).alias("ids"))
+    assert SubwordModel.train(df, "BPE", 254, 255).pieces == [(252, 253)]
+
+
+def test_fits_in_spark_and_in_memory_are_the_same(spark, monkeypatch):
+    from tactus.operators import subword
+
+    monkeypatch.setattr(subword, "PENDING", 5)
+    rnd = random.Random(5)
+    counts = list({tuple(rnd.choices(range(6), [8, 4, 2, 1, 1, 1], k=rnd.randint(1, 12))): rnd.randint(1, 9) for _ in range(300)}.items())
+    df = spark.createDataFrame([(list(w), n) for w, n in counts], "ids array<int>, n long")
+    for fit, train in ((fit_bpe, train_bpe), (fit_wordpiece, train_wordpiece), (fit_unigram, train_unigram)):
+        assert fit(df, 6, 30) == train(counts, 6, 30)
