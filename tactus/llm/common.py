@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,11 +21,20 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a folder of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder.
+
+    Where both are unset and all tasks run in the driver's process (local mode), a temporary folder, deleted at exit; on
+    a cluster that is an error, as its executors share no local folder.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:  # the setting can't be changed while Spark runs, so ours is kept here
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        found = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tactus-shared-"))
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="tactus-shared-")
+            atexit.register(shutil.rmtree, _own[app].removeprefix("file://"), ignore_errors=True)
+        found = _own[app]
     return found.rstrip("/")
 
 

@@ -163,10 +163,17 @@ def test_top_k_of_random_clusters(spark):
         assert [found[q, k + 1] for k in range(20)] == [(i, -x) for x, i in want]
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def texts(spark, rows, **lists):
+    return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES), **lists).collect()}
+
+
 def test_shared_lines_go_and_articles_stay(spark):
     page = lambda x: f"<div>Top menu</div><p>{x} &amp; more</p><div>Bottom</div>"
     rows = [(i, f"http://h.org/a/{i}", page(i)) for i in range(9)] + [(10, "http://alone.org/", page(0)), (11, None, None), (12, "http://h.org/b", "<nav>x</nav><article><h1>T</h1><p>a <b>b</b><p>c<div class='comments'>no</div></article><footer>f</footer>"), (None, "http://h.org/c", "")]
-    found = {r["page_id"]: r["text"] for r in html_extract.op4(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    found = texts(spark, rows)
     assert [found[i] for i in range(9)] == [f"{i} & more" for i in range(9)]
     assert found[10] == "Top menu 0 & more Bottom" and found[11] == "" and found[None] == "" and found[12] == "T a b c"
 
@@ -174,22 +181,77 @@ def test_shared_lines_go_and_articles_stay(spark):
 def test_outside_lines_of_pages_with_an_article_are_differenced(spark):
     page = lambda x: f"<div>Top</div><h1>Head {x}</h1><main><p>Teaser {x}</p></main><div>Middle</div><div>Body {x}</div><article><p>Second</p></article><p>Lead {x}</p><div>Bottom</div>"
     rows = [(i, f"http://h.org/a/{i}", page(i)) for i in range(6)]
-    found = {r["page_id"]: r["text"] for r in html_extract.op4(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert found == {i: f"Head {i} Teaser {i} Body {i} Second Lead {i}" for i in range(6)}
+    assert texts(spark, rows) == {i: f"Head {i} Teaser {i} Body {i} Second Lead {i}" for i in range(6)}
+
+
+def test_differencing_alone_gives_the_text(spark):
+    # pages that differ from their neighbours in text only, with all word and element lists empty
+    page = lambda x: f"<nav><a>Home</a></nav><aside>About us</aside><div class=ad>Buy</div><h1>Head {x}</h1><p class=notice>First {x}<p>Second {x}</p><form>Search</form><footer>End</footer>"
+    rows = [(i, f"http://h.org/{i // 4}/{i}", page(i)) for i in range(8)]
+    none = frozenset()
+    assert texts(spark, rows, dropped=none, names=none, maybe=none) == {i: f"Head {i} First {i} Second {i}" for i in range(8)}
+
 
+def test_class_words_that_may_name_text(spark):
+    # no <article>; real text in notice, share and search, comments in <main>, a share bar that repeats
+    page = lambda x: (
+        f"<header>Site</header><main><h1>Head {x}</h1><p class='notice'>Notice {x}<div class='share'>Shared by {x}</div><div class=search>Found {x}</div><div class=share>Share this</div>"
+        f"<section class='comments'><p>Comment {x}</section><section><h2>Comments</h2><p>More {x}</section><section><h3>{x} comments</h3><p>Third {x}</section></main><p>After {x}</p>"
+    )
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(5)]
+    assert texts(spark, rows) == {i: f"Head {i} Notice {i} Shared by {i} Found {i} After {i}" for i in range(5)}
+    article = lambda x: f"<article><h1>T {x}</h1><p class=notice>Own {x}<p class=notice>Same<p>Quoted<h2>Comments</h2><p>Of the law {x}</article>" + ("<h2>Comments</h2>" if x else "")
+    found = texts(spark, [(0, "http://x.org/0", article(0)), (1, "http://x.org/1", "<article><p class=notice>Same<p>Quoted</article>")])
+    assert found == {0: "T 0 Own 0 Quoted Comments Of the law 0", 1: "Quoted"}
 
-def test_alignment_is_a_common_subsequence():
+
+def test_runs_of_copies_look_past_themselves(spark):
+    page = lambda x: f"<div>Menu</div><p>{x}</p>"
+    rows = [(i, f"http://h.org/{i}", page("copy" if 2 <= i < 7 else i)) for i in range(9)]
+    assert texts(spark, rows) == {i: "copy" if 2 <= i < 7 else str(i) for i in range(9)}
+    hot = [(i, f"http://hot.org/{i}", page("copy" if i % 3 else i)) for i in range(600)]
+    assert texts(spark, hot) == {i: "copy" if i % 3 else str(i) for i in range(600)}
+
+
+def test_forms_inline_names_and_broken_markup():
+    own = lambda page: [x for x, k in html_extract.lines(page) if k != html_extract.GONE]
+    assert own("<form><article><h1>T</h1><p>a</article><input><label>x</label></form>") == ["T", "a", "x"]
+    assert own("<p>a<form><p>Subscribe</p></form><p>b") == ["a", "b"]
+    assert own("<p>one <span class='ad'>buy</span> two") == ["one", "two"]
+    assert own("<p>a<p>b</i></div>c<a href='x>y") == ["a", "b", "c"]
+    for page in ("<div>" * 50_000 + "</span>" * 50_000, "<a '\"" * 200_000, "<p>a" * 50_000, "<span class=ad><div>" * 30_000 + "</span>" * 30_000):
+        html_extract.lines(page)
+
+
+def test_alignment_is_the_longest_common_subsequence(monkeypatch):
     rnd = random.Random(9)
-    for _ in range(200):
-        a, b = ([rnd.choice("abcdef") for _ in range(rnd.randint(0, 12))] for _ in range(2))
-        kept = [a[i] for i in sorted(html_extract.shared(a, b))]
-        it = iter(b)
-        assert all(x in it for x in kept)
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        assert len(kept) == best[-1][-1]
+    for table in (1 << 28, 1, 40):
+        monkeypatch.setattr(html_extract, "TABLE", table)
+        for _ in range(200):
+            a, b = ([rnd.choice("abcdef") for _ in range(rnd.randint(0, 20))] for _ in range(2))
+            kept = [a[i] for i in sorted(html_extract.shared(a, b))]
+            it = iter(b)
+            assert all(x in it for x in kept)
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+            assert len(kept) == best[-1][-1]
+    # no line is unique: the alignment is exact at any size
+    a, b = ([rnd.randrange(300) for _ in range(4000)] for _ in range(2))
+    monkeypatch.setattr(html_extract, "TABLE", 1 << 28)
+    whole = len(html_extract.shared(a, b))
+    monkeypatch.setattr(html_extract, "TABLE", 1 << 16)
+    assert whole == len(html_extract.shared(a, b)) > 300
+
+
+def test_odd_pages(spark):
+    pages = spark.createDataFrame([(None, None, None), (1, "", ""), (1, "", ""), (2, "h.org", "<p>" + "long " * 200_000), (3, "http://h.org/x", "plain"), (3, "http://h.org/x", "plain")], PAGES)
+    clash = pages.withColumns({c: F.lit("x") for c in ("lines", "kinds", "row", "host", "path", "open", "shared", "whole")})
+    for df in (pages, clash):
+        found = sorted((r["page_id"] or 0, r["n_chars"]) for r in html_extract.op4(df).collect())
+        assert found == [(0, 0), (1, 0), (1, 0), (2, 999_999), (3, 5), (3, 5)]
+    assert html_extract.op4(pages.where("false")).count() == 0
 
 
 def test_line_dedup_modes(spark):
