@@ -5,8 +5,15 @@ into the longest phrases that occur in the labelled text; a language that needs
 A phrase costs log2 of the length of the labelled text (a pointer into it), so the cost of a language is
 phrases * log2(length) / symbols, in bits per symbol, and the language of least cost wins.
 
-Training sample (the only bound): at most SAMPLE_ROWS rows a language, those of the smallest hash in
-SAMPLE_ROWS hash classes, and at most SAMPLE_CHARS of each.  Predictions read whole texts.
+Training sample (the only bound): whole rows, at most SAMPLE_ROWS a language, one of each of SAMPLE_ROWS hash classes:
+the one of smallest hash among those of at most SAMPLE_LONGEST code points.  A language whose rows are all longer is
+learned from its shortest row.  Predictions read whole texts.
+
+The automata's edges are in one hash table, (state, letter) to state, so memory follows the number of edges (three a
+letter of labelled text at most) whatever the number of different letters; each letter has a symbol of its own.
+
+Long texts are parsed in lanes of LANE symbols side by side.  A lane is parsed again from the state in which the lane
+before it ends until no lane's first state changes, so the phrases are those of one parse from left to right.
 
 Defined cases: null text, empty text or no letter: `und`, score 0.  No labelled row at all: `und` for all.
 Ties go to the language that sorts first.  Repeated rows each get a row.  Null doc_id: a row with null doc_id.
@@ -21,27 +28,32 @@ from pyspark.sql import functions as F
 
 from tactus.llm.common import map_text
 
-SAMPLE_ROWS, SAMPLE_CHARS = 64, 500
+SAMPLE_ROWS, SAMPLE_LONGEST = 32, 8_192
 UNDETERMINED = "und"
-#: Symbols of a text that are parsed as one lane; the parse starts anew at each, for all languages alike.
+#: Symbols of a lane.
 LANE = 8_192
-#: Letters with a symbol of their own; the others share HASHED symbols.
-OWN, HASHED = 190, 63
 
 
-def training_sample(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
+def training_sample(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_LONGEST) -> dict[str, list[str]]:
     """Labelled text by language: of each of `rows` hash classes the allowed row of smallest hash (partial aggregation, no window)."""
     h = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
-    picked = (
-        docs.where(allowed & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .select("lang", F.substring("text", 1, chars).alias("t"), h.alias("h"))
-        .groupBy("lang", F.pmod("h", F.lit(rows)).alias("class"))
-        .agg(F.min_by("t", "h").alias("t"))
-    )
-    found: dict[str, list[str]] = {}
-    for r in picked.collect():  # languages * rows * chars at most
-        found.setdefault(r["lang"], []).append((r["class"], r["t"]))
-    return {k: [t for _, t in sorted(v)] for k, v in sorted(found.items())}
+    labelled = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    n = F.length("text")
+    # rows that are too long come after all others, the shortest first, and count only where no other row is found
+    over = F.greatest(n - longest, F.lit(0))
+    picked = labelled.select("lang", F.col("text").alias("t"), h.alias("h"), over.alias("over")).groupBy("lang", F.pmod("h", F.lit(rows)).alias("class")).agg(F.min_by("h", F.struct("over", "h")).alias("h"), F.min("over").alias("over"))
+    best: dict[str, dict[int, tuple]] = {}
+    for r in picked.collect():  # languages * rows hashes
+        best.setdefault(r["lang"], {})[r["class"]] = (r["over"], r["h"])
+    chosen = [(k, h) for k, v in best.items() for over, h in ([x for x in v.values() if not x[0]] or [min(v.values())])]
+    if not chosen:
+        return {}
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(chosen, "lang string, h long"))  # as many
+    found: dict[str, dict[int, str]] = {}
+    for r in labelled.select("lang", F.col("text").alias("t"), h.alias("h")).join(wanted, ["lang", "h"]).groupBy("lang", "h").agg(F.min("t").alias("t")).collect():
+        found.setdefault(r["lang"], {})[r["h"]] = r["t"]
+    return {k: [t for _, t in sorted(v.items())] for k, v in sorted(found.items())}
 
 
 def normalise(text: str) -> str:
@@ -66,8 +78,8 @@ def _letters() -> np.ndarray:
     return _cache["letters"]
 
 
-def suffix_automaton(codes: list[int], k: int) -> np.ndarray:
-    """Transitions (states, k) of the suffix automaton of a sequence of symbols; state 0 is the start, -1 is none."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Edges of each state of the suffix automaton of a sequence of symbols; state 0 is the start."""
     nxt, link, length, last = [{}], [-1], [0], 0
     for c in codes:
         cur = len(nxt)
@@ -92,73 +104,113 @@ def suffix_automaton(codes: list[int], k: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), k), -1, dtype=np.int32)
-    for s, m in enumerate(nxt):
-        for c, to in m.items():
-            table[s, c] = to
-    return table
+    return nxt
+
+
+class Edges:
+    """A map from whole numbers to whole numbers by open addressing, looked up many at a time."""
+
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())  # at most half full
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, -1, dtype=np.int64)
+        self.value = np.full(1 << bits, -1, dtype=np.int32)
+        at = self.slot(keys)
+        while len(keys):
+            free = self.key[at] == -1
+            first = np.zeros(len(at), dtype=bool)
+            first[np.unique(np.where(free, at, -1), return_index=True)[1]] = True
+            put = free & first
+            self.key[at[put]], self.value[at[put]] = keys[put], values[put]
+            keys, values, at = keys[~put], values[~put], (at[~put] + 1) & self.last
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * self.MIX >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The values of a flat array of keys, -1 where there is none."""
+        at = self.slot(keys)
+        held, out = self.key[at], self.value[at]
+        other = np.flatnonzero(held != keys)
+        while len(other):
+            other = other[held[other] != -1]  # an empty place has the value -1
+            at[other] = (at[other] + 1) & self.last
+            held[other], out[other] = self.key[at[other]], self.value[at[other]]
+            other = other[held[other] != keys[other]]
+        return out
 
 
 class Parser:
-    """The automata of all languages in one transition table, and the parse of many texts in step."""
+    """The automata of all languages in one table of edges, and the parse of many texts in step."""
 
     def __init__(self, sample: dict[str, list[str]]):
         self.langs = sorted(sample)
         texts = [" " + " ".join(normalise(t).strip() for t in sample[k]) + " " for k in self.langs]
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        seen, n = np.unique(points, return_counts=True)
-        own = seen[np.argsort(-n, kind="stable")][:OWN]
-        rest = len(seen) > OWN
-        self.k = 1 + len(own) + (HASHED if rest else 0)
+        seen = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+        self.k = 1 + len(seen)
         # symbol 0 occurs in no labelled text: a letter that no language knows is a phrase of its own
-        self.symbol = (1 + len(own) + np.arange(0x110000) % HASHED).astype(np.int16) if rest else np.zeros(0x110000, dtype=np.int16)
-        self.symbol[own] = 1 + np.arange(len(own))
-        roots, tables, at = [], [], 0
-        size = np.int32 if 2 * self.k * sum(map(len, texts)) < 2**31 else np.int64
-        for t in texts:
-            a = suffix_automaton(self.codes(t).tolist(), self.k).astype(size, copy=False)
-            none = a < 0
-            a += at
-            start = np.where(none[0], at, a[0]) * self.k
-            # next state, as an index of the flat table; where a phrase begins, -1 - the state after its first symbol
-            a *= self.k
-            np.copyto(a, (-1 - start)[None, :].astype(size), where=none)
-            a[0] = -1 - start  # out of the start state, where a lane begins or an unknown letter has led, a phrase begins
-            tables.append(a)
-            roots.append(at)
-            at += len(a)
-        self.step = np.concatenate(tables).ravel() if tables else np.zeros(0, size)
-        self.roots = np.array(roots, dtype=np.int64)
+        self.symbol = np.zeros(0x110000, dtype=np.int32)
+        self.symbol[seen] = 1 + np.arange(len(seen))
+        keys, values, at = [], [], 0
+        self.begin = np.zeros((len(texts), self.k), dtype=np.int64)  # the state after the first symbol of a phrase
+        for n, t in enumerate(texts):
+            states = suffix_automaton(self.codes(t).tolist())
+            # the start state has no edges here, so that each phrase begins by way of `begin`
+            edges = [(at + s) * self.k + c for s, m in enumerate(states) if s for c in m]
+            keys.append(np.array(edges, dtype=np.int64))
+            values.append(np.array([at + to for s, m in enumerate(states) if s for to in m.values()], dtype=np.int32))
+            self.begin[n] = at
+            for c, to in states[0].items():
+                self.begin[n, c] = at + to
+            at += len(states)
+        self.roots = self.begin[:, 0].copy()
+        self.edges = Edges(np.concatenate(keys), np.concatenate(values)) if keys else None
         self.bits = np.array([np.log2(max(2, len(t))) for t in texts])
 
     def codes(self, text: str) -> np.ndarray:
         return self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def phrases(self, texts: list[str], lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
         """Phrases (texts, languages) and symbols of each text."""
         coded = [self.codes(t) for t in texts]
         size = np.array([len(c) for c in coded], dtype=np.int64)
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
-        lanes = [(i, a, min(LANE, n - a)) for i, n in enumerate(size.tolist()) for a in range(0, n, LANE)]
-        if not lanes or not self.langs:
+        lanes = np.array([(i, a, min(lane, n - a)) for i, n in enumerate(size.tolist()) for a in range(0, n, lane)], dtype=np.int64).reshape(-1, 3)
+        if not len(lanes) or not self.langs:
             return out, size
-        lanes.sort(key=lambda x: -x[2])
-        text = np.array([x[0] for x in lanes])
-        long = np.array([x[2] for x in lanes])
-        start = (np.cumsum(size) - size)[text] + np.array([x[1] for x in lanes])
-        flat = np.concatenate(coded)
-        live = np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right")  # lanes longer than each step
-        state = np.repeat(self.roots[:, None] * self.k, len(lanes), axis=1)
+        flat, first = np.concatenate(coded), np.cumsum(size) - size
+        text, at, long = lanes[:, 0], first[lanes[:, 0]] + lanes[:, 1], lanes[:, 2]
+        begin = np.repeat(self.roots[:, None], len(lanes), axis=1)
+        end, count = self.walk(flat, at, long, begin)
+        follows = np.flatnonzero(lanes[:, 1] > 0)  # lanes that go on where the lane before them ends
+        while len(follows):
+            follows = follows[(end[:, follows - 1] != begin[:, follows]).any(axis=0)]
+            begin[:, follows] = end[:, follows - 1]
+            if len(follows):
+                end[:, follows], count[:, follows] = self.walk(flat, at[follows], long[follows], begin[:, follows])
+                follows = follows + 1
+                follows = follows[follows < len(lanes)]
+                follows = follows[lanes[follows, 1] > 0]
+        np.add.at(out, text, count.T)
+        return out, size
+
+    def walk(self, flat: np.ndarray, at: np.ndarray, long: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State after each lane (languages, lanes), and the phrases that begin in it."""
+        order = np.argsort(-long, kind="stable")
+        at, long, state = at[order], long[order], begin[:, order]
         count = np.zeros(state.shape, dtype=np.int64)
+        live = np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right")  # lanes longer than each step
         for t in range(int(long[0])):
             n = int(live[t])
-            c = flat[start[:n] + t]
-            to = self.step[state[:, :n] + c]
+            c = flat[at[:n] + t]
+            to = self.edges((state[:, :n] * self.k + c).ravel()).reshape(state.shape[0], n)
             begins = to < 0
-            state[:, :n] = np.where(begins, -1 - to, to)
+            state[:, :n] = np.where(begins, self.begin[:, c], to)
             count[:, :n] += begins
-        np.add.at(out, text, count.T)
-        return out, size
+        back = np.argsort(order)
+        return state[:, back], count[:, back]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         clean = [normalise(t).strip() if t else "" for t in texts]
@@ -178,7 +230,7 @@ class Parser:
 def predict_languages(docs: DataFrame, sample: dict[str, list[str]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns of docs with lang_pred and score; only `text` is an input of the prediction."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(sample)  # languages * SAMPLE_ROWS * SAMPLE_CHARS at most
+    known = spark.sparkContext.broadcast(sample)  # languages * SAMPLE_ROWS * SAMPLE_LONGEST at most, or a row a language
 
     def start():
         key = hash(tuple((k, *v) for k, v in known.value.items()))

@@ -73,35 +73,60 @@ def test_language_cases(odd):
 def test_suffix_automaton_accepts_all_and_only_substrings():
     rnd = random.Random(2)
     codes = [rnd.randint(0, 2) for _ in range(60)]
-    a = langid.suffix_automaton(codes, 3)
+    a = langid.suffix_automaton(codes)
     inside = {tuple(codes[i:j]) for i in range(60) for j in range(i + 1, min(60, i + 6) + 1)}
     for _ in range(500):
         word = tuple(rnd.randint(0, 2) for _ in range(rnd.randint(1, 6)))
         s = 0
         for c in word:
-            s = a[s, c] if s >= 0 else -1
+            s = a[s].get(c, -1) if s >= 0 else -1
         assert (s >= 0) == (word in inside)
 
 
-def test_phrases_by_brute_force():
+def test_edges_find_all_and_only_their_keys():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 5_000, 3_000))
+    e = langid.Edges(keys, np.arange(len(keys), dtype=np.int32))
+    every = np.arange(6_000)
+    want = np.full(6_000, -1)
+    want[keys] = np.arange(len(keys))
+    assert (e(every) == want).all()
+
+
+def longest_match_phrases(text, known):
+    i = phrases = 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i : i + k + 1] in known:
+            k += 1
+        i += k if text[i] in known else 1
+        phrases += 1
+    return phrases
+
+
+@pytest.mark.parametrize("letters", ["abcdxyz ", "".join(map(chr, range(0x4E00, 0x5200))) + " "])
+def test_phrases_by_brute_force(letters):
     rnd = random.Random(4)
-    sample = {"x": ["abcab dab"], "y": ["zzz yxz"]}
+    make = lambda n: "".join(rnd.choices(letters, k=n))
+    sample = {"x": ["abcab dab", make(400)], "y": ["zzz yxz", make(300)]}
     p = langid.Parser(sample)
-    texts = ["".join(rnd.choice("abcdxyz ") for _ in range(rnd.randint(1, 50))) for _ in range(40)]
+    # texts of pieces of the samples, so that phrases are long, and cross the ends of lanes
+    pool = sample["x"][1] + sample["y"][1]
+    texts = ["".join(pool[(at := rnd.randrange(600)) : at + rnd.randint(1, 40)] + make(1) for _ in range(rnd.randint(1, 12))) for _ in range(40)]
     texts = [langid.normalise(t).strip() or "a" for t in texts]
-    counts, size = p.phrases(texts)
-    for t, row, n in zip(texts, counts, size, strict=True):
-        assert n == len(t)
-        for lang, got in zip(p.langs, row, strict=True):
-            known = " " + " ".join(sample[lang]) + " "
-            i = phrases = 0
-            while i < len(t):
-                k = 1
-                while i + k < len(t) and t[i : i + k + 1] in known:
-                    k += 1
-                i += k if t[i] in known else 1
-                phrases += 1
-            assert got == phrases
+    for lane in (langid.LANE, 7, 1, 50):
+        counts, size = p.phrases(texts, lane)
+        for t, row, n in zip(texts, counts, size, strict=True):
+            assert n == len(t)
+            assert row.tolist() == [longest_match_phrases(t, " " + " ".join(langid.normalise(x).strip() for x in sample[lang]) + " ") for lang in p.langs]
+
+
+def test_training_sample_takes_whole_rows(spark):
+    long = "x" * (langid.SAMPLE_LONGEST + 1)
+    rows = [(i, f"word {i}", "en", "s", 1) for i in range(400)] + [(1000, long, "en", "s", 1), (1001, long + " de", "de", "s", 1), (1002, long, "de", "s", 1), (1003, "12", "fr", "s", 1), (None, "mot", "fr", None, 1), (None, "mot", "fr", None, 1)]
+    found = langid.training_sample(spark.createDataFrame(rows, DOCS), F.lit(True))
+    assert 20 < len(found["en"]) <= langid.SAMPLE_ROWS and set(found["en"]) <= {f"word {i}" for i in range(400)}
+    assert found["de"] == [long] and found["fr"] == ["mot"]
 
 
 def test_every_pair_within_two_bits_meets():
