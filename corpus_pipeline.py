@@ -1,6 +1,6 @@
 """A corpus pipeline over `documents`: STAGES in order, each on all that the stage before it kept.
 
-1 language      documents whose language can't be told (no letter at all) go
+1 language      documents whose language can't be told (no letter at all) go; without a labelled row all stay
 2 lines         of a line that ten documents or more have, the first in order of document and position stays, the others go
 3 near_dups     one document of each group of linked SimHash fingerprints stays, that of the smallest doc_id
 4 mix           sources to target weights: documents are repeated, or left out, as the mix takes them
@@ -23,6 +23,8 @@ from tactus.llm.common import aside, table, written
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sample = langid.training_sample(docs, ~langid.is_held_out(F.col("doc_id")))
     named, back = aside(docs, ("doc_id", "text"))
+    if not sample:  # nothing to tell languages by, so nothing to reject
+        return docs
     found = langid.predict_languages(named, sample, tuple(named.columns))
     return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*named.columns).withColumnsRenamed(back)
 
