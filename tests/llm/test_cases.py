@@ -166,7 +166,7 @@ def test_unlike_documents_of_one_id_or_none_all_stay(spark):
 
 
 def test_top_k_with_ties_and_odd_vectors(spark):
-    rows = [(i, [1.0, float(i % 3)]) for i in range(60)] + [(20, [1.0, 2.0]), (61, None), (62, [1.0, None]), (63, [float("nan"), 1.0]), (64, [float("inf"), 1.0]), (None, [1.0, 1.0]), (65, []), (80, [1.0, 2.0, 3.0])]
+    rows = [(i, [1.0, float(i % 3)]) for i in range(60)] + [(20, [1.0, 2.0]), (61, None), (62, [1.0, None]), (63, [float("nan"), 1.0]), (64, [float("inf"), 1.0]), (None, [1.0, 1.0]), (65, []), (66, [1e307, 1.0]), (80, [1.0, 2.0, 3.0])]
     found = topk.op3(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     for q in (0, 20, 40):
         mine = [(r["rank"], r["vec_id"], r["score"]) for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])]
@@ -188,6 +188,54 @@ def test_top_k_of_random_clusters(spark):
         assert [found[q, k + 1] for k in range(20)] == [(i, -x) for x, i in want]
 
 
+def brute_top_k(m, every, k=20):
+    whole = [[int(x) for x in np.floor(64 * v)] for v in m]
+    out = {}
+    for q in range(0, len(m), every):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in enumerate(whole) if i != q)[:k]
+        out |= {(q, n + 1): (i, -x) for n, (x, i) in enumerate(scores)}
+    return out
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e4, 1e9, 1e200])
+def test_top_k_of_many_groups_and_chunks(spark, scale):
+    rng = np.random.default_rng(3)
+    m = scale * (0.02 * rng.normal(size=(600, 4)) + rng.integers(-1, 2, size=(600, 4)))
+    m[100:300] = m[100]  # one very common vector
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    join = topk.Join(df, F.col("vec_id") % 10 == 0, block=40, chunk=400, least=1)
+    assert join.groups[4].count > 5 and join.groups[4].chunks > 5
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in join.solved().collect()} == brute_top_k(m, 10)
+
+
+def test_top_k_with_several_rows_of_one_id(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(200, 3))
+    ids = [i // 4 for i in range(200)]  # four different vectors an id
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, m, strict=True)], "vec_id long, embedding array<double>")
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.op3(df).collect())
+    whole = np.floor(64 * m).astype(int)
+    want = []
+    for q in range(0, 50, 20):
+        scores = sorted((-int(whole[a] @ whole[b]), ids[b]) for a in range(200) if ids[a] == q for b in range(200) if ids[b] != q)[:20]
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(scores)]
+    assert found == want
+
+
+def test_clusters_save_replicas(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    m = np.repeat(centres, 100, axis=0) + 0.005 * rng.normal(size=(1200, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    join = topk.Join(df, F.col("vec_id") % 20 == 0, block=16 * 10, least=1)
+    groups, replicas = join.groups[16].count, join.replicated().count()
+    assert groups >= 5 and replicas < 0.5 * groups * 1200
+    # where nothing can be pruned, a vector is stored once a block of queries, and one block is all that few queries need
+    even = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(1200, 16)))], "vec_id long, embedding array<double>")
+    assert topk.Join(even, F.col("vec_id") % 20 == 0).replicated().count() == 1200
+
+
 PAGES = "page_id long, url string, html string"
 
 
