@@ -23,3 +23,15 @@ def same(df, sql, sf_dir):
     a, b = df.toPandas(), views(sf_dir).execute(sql).df()
     assert sorted(a.columns) == sorted(b.columns)
     assert rows(a) == rows(b)
+
+
+def same_tables(df, sql, tables):
+    """As same(), over the given tables."""
+    c = duckdb.connect()
+    for name, t in tables.items():
+        arrow = t.toArrow()
+        c.register(name, arrow)
+    a, b = df.toArrow(), c.execute(sql).to_arrow_table()
+    assert sorted(a.column_names) == sorted(b.column_names)
+    plain = lambda t: sorted(str([r[k] for k in sorted(r)]) for r in t.to_pylist())
+    assert plain(a) == plain(b)
