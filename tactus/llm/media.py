@@ -1,13 +1,15 @@
 """Media columns: payloads stored as images in archives, and a Spark data source that reads them by byte range.
 
 Writing: each task streams its rows into one zip archive of stored members in the shared folder, an 8-bit grey PNG image
-a row (192 samples wide, lossless).  Its name is new at each attempt, and only the archives that successful tasks report
-are read, so a lost executor or a second attempt leaves no row twice.
+a row (192 samples wide, lossless).  Its name is new at each attempt; the paths and sizes of the archives of successful
+tasks are committed as a manifest, a Parquet table, so a lost executor or a second attempt leaves no row twice.  What a
+failed attempt has left behind is deleted by itself, or, if its executor is gone, when the manifest is there.
 
-Reading: `archive_media` plans partitions as byte ranges of the archives from their sizes alone; a task reads its
-archive's directory, takes the members that begin in its range and streams them in Arrow batches of bounded bytes.  A
-member that can't be read, or whose checksum is wrong, is read again on its own by its offset from a newly opened file;
-after that it fails the task, or with `onerror` = null becomes a row with a null payload and the error.
+Reading: `archive_media` plans partitions as byte ranges from the manifest (or from a folder's listing), without opening
+an archive; tasks get their range and nothing else.  A task reads its archive's directory, takes the members that begin
+in its range and streams them in Arrow batches of bounded bytes.  A member that can't be read, or whose checksum is
+wrong, is read again on its own by its offset from a newly opened file, after a wait that doubles; after that it fails
+the task, or with `onerror` = null becomes a row with a null payload and the error.
 
 Defined cases: null text is empty; an empty text is one row of blanks; repeated rows are members of their own; null
 doc_id stays; an empty table writes nothing and gives no rows; extra columns are left out.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -24,16 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tactus.llm.common import new_path
+from tactus.llm.common import new_path, written
 
 WIDTH, BLANK, TAIL = 192, 32, 16
-#: Bytes of an archive a partition, bytes of a batch, and attempts at a member.
-SPLIT, BATCH, ATTEMPTS = 32 << 20, 8 << 20, 3
+#: Bytes of an archive a partition, bytes of a batch, attempts at a member, and seconds before the second.
+SPLIT, BATCH, ATTEMPTS, WAIT = 32 << 20, 8 << 20, 3, 0.2
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEMA = "archive string, offset long, doc_id long, n_bytes long, media binary, error string"
 
@@ -93,8 +97,8 @@ def qualified(spark: SparkSession, path: str) -> str:
     return "file:///" + full[6:].lstrip("/") if full.startswith("file:/") else full
 
 
-def write_archives(docs: DataFrame) -> list[str]:
-    """Archives of the texts of docs; one path a task that had rows."""
+def write_archives(docs: DataFrame) -> DataFrame:
+    """The manifest of the archives of the texts of docs: (path, size), a row a task that had rows."""
     spark = docs.sparkSession
     folder = qualified(spark, new_path(spark, "media"))
 
@@ -103,22 +107,38 @@ def write_archives(docs: DataFrame) -> list[str]:
         store.create_dir(root, recursive=True)
         name = f"{uuid.uuid4().hex}.zip"
         archive, stream, seen = None, None, 0
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if archive is None:
-                    stream = store.open_output_stream(f"{root}/{name}")
-                    archive = zipfile.ZipFile(_Appended(stream), "w", zipfile.ZIP_STORED)
-                raw = text.as_py() or b""
-                member = zipfile.ZipInfo(f"{seen}_{'' if doc_id is None else doc_id}_{len(raw)}.png")
-                archive.writestr(member, to_png(payload(raw)))
-                seen += 1
+        try:
+            for b in batches:
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    if archive is None:
+                        stream = store.open_output_stream(f"{root}/{name}")
+                        archive = zipfile.ZipFile(_Appended(stream), "w", zipfile.ZIP_STORED)
+                    raw = text.as_py() or b""
+                    member = zipfile.ZipInfo(f"{seen}_{'' if doc_id is None else doc_id}_{len(raw)}.png")
+                    archive.writestr(member, to_png(payload(raw)))
+                    seen += 1
+            if archive is not None:
+                archive.close()
+                size = stream.tell()
+                stream.close()
+        except BaseException:
+            if stream is not None:
+                stream.close()
+                store.delete_file(f"{root}/{name}")
+            raise
         if archive is not None:
-            archive.close()
-            stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64())], names=["path", "size"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return sorted(r["path"] for r in rows.mapInArrow(run, "path string").collect())
+    manifest = written(rows.mapInArrow(run, "path string, size long"), "media-manifest")
+    store, root = _open(folder)
+    there = [x.path for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True))]
+    if len(there) != manifest.count():  # an executor was lost, or a second attempt ran
+        kept = {r["path"].rpartition("/")[2] for r in manifest.toLocalIterator()}
+        for p in there:
+            if p.rpartition("/")[2] not in kept:
+                store.delete_file(p)
+    return manifest
 
 
 class _Appended:
@@ -142,22 +162,20 @@ class Range(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = [p for p in options.get("paths", "").split("\n") if p]
-        self.folder = options.get("path")
+        self.manifest, self.folder = options.get("manifest"), options.get("path")
         self.split, self.batch = int(options.get("split", SPLIT)), int(options.get("batch", BATCH))
         self.attempts, self.fail = int(options.get("attempts", ATTEMPTS)), options.get("onerror", "fail") != "null"
 
     def partitions(self) -> list[Range]:
         found = []
-        if self.folder:
+        if self.manifest:
+            store, root = _open(self.manifest)
+            table = pads.dataset(root, filesystem=store, format="parquet", schema=pa.schema([("path", pa.string()), ("size", pa.int64())])).to_table()
+            files = sorted(zip(table["path"].to_pylist(), table["size"].to_pylist(), strict=True))
+        else:
             store, root = _open(self.folder)
             prefix = self.folder[: len(self.folder) - len(root)] if self.folder.endswith(root) else ""
             files = [(f"{prefix}{x.path}", x.size) for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.path.endswith(".zip")]
-        else:
-            files = []
-            for p in self.paths:
-                store, local = _open(p)
-                files.append((p, store.get_file_info(local).size))
         for path, size in files:
             found += [Range(path, a, min(a + self.split, size)) for a in range(0, size, self.split)]
         return found or [Range("", 0, 0)]
@@ -188,6 +206,7 @@ class ArchiveReader(DataSourceReader):
         for attempt in range(self.attempts):
             try:
                 if attempt:
+                    time.sleep(WAIT * 2 ** (attempt - 1))
                     with store.open_input_file(local) as again:
                         return read_member(again, offset, size, crc), None
                 return read_member(f, offset, size, crc), None
@@ -214,7 +233,7 @@ def _members(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class ArchiveMedia(DataSource):
-    """spark.read.format("archive_media").option("paths", ...) or .load(folder)."""
+    """spark.read.format("archive_media").option("manifest", a folder of Parquet).load() or .load(folder of archives)."""
 
     @classmethod
     def name(cls) -> str:
@@ -227,9 +246,14 @@ class ArchiveMedia(DataSource):
         return ArchiveReader(self.options)
 
 
-def read_archives(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
+def read_archives(manifest: DataFrame, **options: str) -> DataFrame:
+    """The members of the archives of a manifest that write_archives() has made."""
+    spark = manifest.sparkSession
     spark.dataSource.register(ArchiveMedia)
-    reader = spark.read.format("archive_media").option("paths", "\n".join(paths))
+    folders = {x.rpartition("/")[0] for x in manifest.inputFiles()}
+    if not folders:
+        return spark.createDataFrame([], SCHEMA)
+    reader = spark.read.format("archive_media").option("manifest", qualified(spark, folders.pop()))
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load()
@@ -255,4 +279,4 @@ def features(members: DataFrame) -> DataFrame:
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    return features(read_archives(docs.sparkSession, write_archives(docs)))
+    return features(read_archives(write_archives(docs)))
