@@ -3,7 +3,7 @@
 A text is cut at the tokenizer's added tokens (one token each) and between them by its pattern.  A piece starts as one
 symbol a byte in a linked list; the heap holds adjacent pairs by (rank, position); the pair of lowest rank is popped and
 merged until none is left.  A piece's count is its initial symbols minus its merges; no identifiers are made.  Counts of
-pieces are kept in a dictionary of bounded size, as pieces repeat.
+pieces are kept in a dictionary of bounded size, as pieces repeat; long pieces are counted each time.
 
 Defined cases: null or empty text has 0 tokens; repeated rows each get a row; null doc_id stays; extra columns are left
 out.  Time is n log n in the longest piece, so a text without white space is no worse than others.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tactus.llm.common import map_text
 
 LIMIT = 512
-#: Pieces whose counts a worker keeps.
-KEPT = 400_000
+#: Pieces whose counts a worker keeps, and code points of the longest of them: some 60 MB.
+KEPT, LONGEST = 400_000, 48
 
 
 def byte_symbols() -> list[str]:
@@ -57,7 +57,11 @@ class Counter(dict):
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
 
     def __missing__(self, piece: str) -> int:
-        n = self[piece] = self.merge(piece.encode("utf-8"))
+        n = self.merge(piece.encode("utf-8"))
+        if len(piece) <= LONGEST:
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = n
         return n
 
     def merge(self, piece: bytes) -> int:
@@ -91,8 +95,6 @@ class Counter(dict):
         return self.any_findall(text) if self.foreign(text) else self.latin_findall(text)
 
     def count(self, text: str) -> int:
-        if len(self) > KEPT:
-            self.clear()
         if self.added is None or not self.added.search(text):
             return sum(map(self.__getitem__, self.findall(text)))
         pieces = self.added.split(text)

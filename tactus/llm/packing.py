@@ -30,8 +30,8 @@ from tactus.llm.bpe_count import byte_symbols
 
 WINDOW, END = 2048, 1
 POOL = 4_096
-#: Words whose ids a worker keeps.
-KEPT = 800_000
+#: Words whose ids a worker keeps, and code points of the longest of them: some 130 MB.
+KEPT, LONGEST = 800_000, 48
 #: The split of word_bpe_49k.json, as its file has it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same on Latin-1 text in lower case, where \p{L}, \p{N} and white space are these few; a set of bytes is matched faster than properties.
@@ -54,12 +54,14 @@ class Ids(dict):
 
     def __missing__(self, word: str) -> bytes:
         letters = word.encode("utf-8").decode("latin-1").translate(self.symbols)
-        found = self[word] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters))
+        found = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters))
+        if len(word) <= LONGEST:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
-        if len(self) > KEPT:
-            self.clear()
         if self.split is not None and "<|" in text:
             return b"".join(self.added[p] if p in self.added else self.plain(p) for p in self.split(text))
         return self.plain(text)
