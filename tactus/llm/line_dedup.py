@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from tactus.llm.common import ASCII_SPACE, lower_ascii, written
 
-#: Frequent keys up to which they are broadcast (16 bytes each); beyond, they are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Frequent keys up to which they are broadcast (16 bytes each, 40 more with a first place); beyond, they are joined by shuffle,
+#: but for the HOT ones, which are found in so many documents that no more than lines / HOT_DOCS of them can be there.
+BROADCAST_KEYS, HOT_DOCS = 1_000_000, 1_000_000
 DOC = ("__doc", "__hash")
 
 
@@ -49,10 +50,14 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     first = F.row_number().over(Window.partitionBy("h1", "h2", *DOC).orderBy("pos"))
     seen = ranged.withColumn("is_first", (first == 1).cast("long"))
     place = F.struct(*DOC, "pos")
-    often = seen.groupBy("h1", "h2").agg(F.sum("is_first").alias("n_docs"), F.min(place).alias("first_place")).where(F.col("n_docs") >= min_docs)
-    often = written(often.select("h1", "h2", "first_place"), "frequent-lines")
-    small = often.count() <= BROADCAST_KEYS
-    hit = lines.join(F.broadcast(often) if small else often, ["h1", "h2"])
+    often = seen.groupBy("h1", "h2").agg(F.sum("is_first").alias("n_docs"), *([F.min(place).alias("first_place")] if keep_first else []))
+    often = written(often.where(F.col("n_docs") >= min_docs), "frequent-lines")
+    keys = often.drop("n_docs")
+    if often.count() <= BROADCAST_KEYS:
+        hit = lines.join(F.broadcast(keys), ["h1", "h2"])
+    else:
+        hot, rest = F.broadcast(keys.where(often["n_docs"] >= HOT_DOCS)), keys.where(often["n_docs"] < HOT_DOCS)
+        hit = lines.join(hot, ["h1", "h2"]).unionByName(lines.join(hot, ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"]))
     if keep_first:
         hit = hit.where(~place.eqNullSafe(F.col("first_place")))
     words = hit.groupBy(*DOC, F.expr("pos div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 32)")).alias("bits"))
@@ -87,8 +92,9 @@ WITH lines AS (
          translate(trim(u.line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM documents d, LATERAL (SELECT unnest(string_split(coalesce(d.text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(d.text, ''), chr(10)), 1) AS pos) u),
 often AS (SELECT key FROM lines WHERE length(key) > 0 GROUP BY key HAVING count(DISTINCT (doc_id, text)) >= 10),
-marked AS (SELECT l.*, o.key IS NOT NULL AS gone FROM lines l LEFT JOIN often o ON l.key = o.key)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id, text
+marked AS (SELECT l.*, o.key IS NOT NULL AS gone FROM lines l LEFT JOIN often o ON l.key = o.key),
+done AS (SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+         FROM marked GROUP BY doc_id, text)
+SELECT d.doc_id, n_lines, n_dropped, kept_sha256 FROM documents d JOIN done m ON d.doc_id IS NOT DISTINCT FROM m.doc_id AND coalesce(d.text, '') = m.text
 """

@@ -38,6 +38,8 @@ GOLAY = 0b101011100011
 HALF = 23
 MASK = (1 << HALF) - 1
 NO_ID = 2**63 - 1
+#: Rows of one fingerprint from which its component is broadcast; rows / HOT of them at most.
+HOT = 1_000_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -170,14 +172,17 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), root: bool = False) -> DataFrame:
     """(doc_id, `keep`, fp, component_id) of every row, and if asked for its component's smallest fingerprint, `__root`."""
     made = written(fingerprints(docs, ("doc_id", *keep)), "fingerprints")
-    ids = made.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"))
+    ids = made.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), F.count("*").alias("n"))
     ids = written(ids, "distinct-fingerprints")
     roots = components(links(ids))
-    rooted = ids.join(roots, ids.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    rooted = ids.join(roots, ids.fp == roots.node, "left").select("fp", "id", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component"))
-    named = rooted.join(least, "root").select("fp", "component", F.col("root").alias("__root"))
+    named = written(rooted.join(least, "root").select("fp", "n", "component", F.col("root").alias("__root")), "fingerprint-components")
     component = F.when(F.col("component") != NO_ID, F.col("component"))
-    return made.join(named, "fp").select("doc_id", *keep, "fp", component.alias("component_id"), *(["__root"] if root else []))
+    # a fingerprint of very many rows would meet them all in one task
+    hot, rest = F.broadcast(named.where(F.col("n") >= HOT)), named.where(F.col("n") < HOT)
+    joined = made.join(hot, "fp").unionByName(made.join(hot, "fp", "left_anti").join(rest, "fp")) if not named.where(F.col("n") >= HOT).isEmpty() else made.join(rest, "fp")
+    return joined.select("doc_id", *keep, "fp", component.alias("component_id"), *(["__root"] if root else []))
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
