@@ -6,13 +6,14 @@ e times, then documents in order of their keys until the fraction is full: key =
 the document, so that documents of higher quality tend to come first.  The document at the boundary is taken in part
 (its first words), so a source's words equal its target rounded to a whole word.
 
-Scale: keys fall into BUCKETS classes in key order.  Sums of each class (partial sums first) and their running totals
-locate the boundary's class; only the rows of that class, about one in BUCKETS, are sorted and prefix-summed, one task a
-source.  All other rows are decided on their own, without a shuffle of texts.  Sources are broadcast up to
-BROADCAST_SOURCES of them, beyond that joined by shuffle.
+Scale: keys fall into BUCKETS classes in key order, and each class into BUCKETS finer ones.  Sums of each class (partial
+sums first) and their running totals locate the boundary's class, then its finer class; only the rows of that one, about
+one in a million of a source, are sorted and prefix-summed, one task a source.  All other rows are decided on their own,
+without a shuffle of texts.  Sources are broadcast up to BROADCAST_SOURCES of them, beyond that joined by shuffle; only
+the list of sources itself, a row each, is ordered in one task.
 
 Defined cases: null text has size 0 and takes 0; null source is a source, last in order; equal keys go by doc_id, then
-size, and rows equal in these are interchangeable; sources of size 0 have target 0; an empty table gives no rows.
+size, then the text's hash, and rows equal in these are interchangeable; sources of size 0 have target 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,14 +40,17 @@ def quality(text: Column, size: Column) -> Column:
 
 
 def sized(docs: DataFrame, weight: Column | None = None, seed: str = SEED) -> DataFrame:
-    """docs with __size, __key (exponential, divided by weight) and __bucket (a rising function of the key)."""
+    """docs with __size, __key (exponential, divided by weight), __bucket and __fine (rising functions of the key) and __tie."""
     size, u = F.col("__size"), F.col("__u")
     w = quality(F.col("text"), size) if weight is None else weight
     name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), size.cast("string"))
     out = _once(docs, "__size", size_of(F.col("text")))
     out = _once(out, "__u", (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 1.0) / float(2**52))
     out = _once(out, "__key", -F.log(u) / w)
-    return _once(out, "__bucket", F.floor(F.lit(BUCKETS) * (F.col("__key") / (F.col("__key") + 2.0))).cast("int")).drop("__u")
+    # each step rounds upwards or downwards with the key, so classes are in key order to the last bit
+    out = _once(out, "__at", F.lit(float(BUCKETS * BUCKETS)) * (1.0 - 2.0 / (F.col("__key") + 2.0)))
+    out = out.withColumn("__fine", F.least(F.floor("__at"), F.lit(BUCKETS * BUCKETS - 1)).cast("int"))
+    return out.withColumns({"__bucket": F.expr(f"__fine div {BUCKETS}").cast("int"), "__tie": F.xxhash64("text")}).drop("__u", "__at")
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -77,23 +81,31 @@ def plan(marked: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     running = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     at = classes.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
     edge = at.alias("c").join(made.alias("s"), F.expr("c.source <=> s.source and c.before <= s.budget and s.budget < c.before + c.words"))
-    edge = edge.select(F.col("c.source").alias("source"), F.col("__bucket").alias("edge"), F.col("c.before").alias("edge_before"))
-    return written(made.alias("s").join(edge.alias("e"), F.expr("s.source <=> e.source"), "left").select("s.*", "e.edge", "e.edge_before"), "mix-plan")
+    edge = edge.select(F.col("c.source").alias("source"), F.col("__bucket").alias("coarse"), F.col("c.before").alias("coarse_before"), F.col("s.budget").alias("budget"))
+    edge = written(edge, "mix-edges")
+    # the same once more within the boundary's class
+    side = edge.select(F.col("source").alias("__source"), "coarse", "coarse_before", "budget")
+    inner = marked.join(F.broadcast(side) if edge.count() <= BROADCAST_SOURCES else side, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("coarse")))
+    fine = inner.groupBy("source", "__fine").agg(F.sum("__size").alias("words"), F.first("coarse_before").alias("coarse_before"), F.first("budget").alias("budget"))
+    running = Window.partitionBy("source").orderBy("__fine").rowsBetween(Window.unboundedPreceding, -1)
+    fine = fine.withColumn("before", F.col("coarse_before") + F.coalesce(F.sum("words").over(running), F.lit(0)))
+    fine = fine.where("before <= budget and budget < before + words").select("source", F.col("__fine").alias("edge"), F.col("before").alias("edge_before"))
+    return written(made.alias("s").join(fine.alias("e"), F.expr("s.source <=> e.source"), "left").select("s.*", "e.edge", "e.edge_before"), "mix-plan")
 
 
 def mix(marked: DataFrame) -> DataFrame:
     """The rows of sized() with size, source_size, target, taken, __epochs and __part: each document `__epochs` times whole and its first `__part` words once more."""
-    sources = plan(marked.select("source", "__bucket", "__size"))
+    sources = plan(marked.select("source", "__bucket", "__fine", "__size"))
     side = sources.select(F.col("source").alias("__source"), "source_size", "target", "epochs", "budget", "edge", "edge_before")
     if sources.count() <= BROADCAST_SOURCES:
         side = F.broadcast(side)
     rows = marked.join(side, F.col("source").eqNullSafe(F.col("__source")))
-    plain = rows.where(~F.col("__bucket").eqNullSafe(F.col("edge"))).withColumn("__part", F.when((F.col("budget") > 0) & (F.col("__bucket") < F.coalesce("edge", F.lit(BUCKETS))), F.col("__size")).otherwise(F.lit(0).cast("long")))
-    order = Window.partitionBy("source").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where("__bucket = edge").withColumn("__seen", F.col("edge_before") + F.coalesce(F.sum("__size").over(order), F.lit(0)))
+    plain = rows.where(~F.col("__fine").eqNullSafe(F.col("edge"))).withColumn("__part", F.when((F.col("budget") > 0) & (F.col("__fine") < F.coalesce("edge", F.lit(BUCKETS * BUCKETS))), F.col("__size")).otherwise(F.lit(0).cast("long")))
+    order = Window.partitionBy("source").orderBy("__key", "doc_id", "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    edge = rows.where("__fine = edge").withColumn("__seen", F.col("edge_before") + F.coalesce(F.sum("__size").over(order), F.lit(0)))
     edge = edge.withColumn("__part", F.least(F.greatest(F.col("budget") - F.col("__seen"), F.lit(0)), F.col("__size")).cast("long")).drop("__seen")
     out = plain.unionByName(edge).withColumn("taken", F.col("epochs") * F.col("__size") + F.col("__part"))
-    return out.withColumnsRenamed({"__size": "size", "epochs": "__epochs"}).drop("__key", "__bucket", "__source", "budget", "edge", "edge_before")
+    return out.withColumnsRenamed({"__size": "size", "epochs": "__epochs"}).drop("__key", "__bucket", "__fine", "__tie", "__source", "budget", "edge", "edge_before")
 
 
 def take(docs: DataFrame) -> DataFrame:
@@ -102,8 +114,9 @@ def take(docs: DataFrame) -> DataFrame:
     n_chars, if there, becomes the length of the text; other columns stay as they are.
     """
     named, back = aside(docs, ("doc_id", "source", "text"))
-    # words and the white space after them, up to the last word taken
-    cut = F.when(F.col("__part") < F.col("size"), F.expr(r"array_join(slice(split(ltrim(' \t\n\u000B\f\r', text), '[ \t\n\u000B\f\r]+', -1), 1, int(__part)), ' ')")).otherwise(F.col("text"))
+    # words and the white space before them, up to the last word taken
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
+    cut = F.when(F.col("__part") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("__part").cast("int")), "")).otherwise(F.col("text"))
     times = F.concat(F.array_repeat(F.col("text"), F.col("__epochs").cast("int")), F.when(F.col("__part") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
     taken = mix(sized(named)).where("taken > 0").select(*[c for c in named.columns if c != "text"], F.explode(times).alias("text"))
     out = taken.withColumnsRenamed(back)
