@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, operator by operator."""
 
+import os
 import random
 
 import numpy as np
@@ -337,17 +338,21 @@ def test_line_dedup_modes(spark):
 
 
 def test_media_retries_and_errors(spark, odd, tmp_path):
-    paths = media.write_archives(odd.coalesce(1))
-    local = paths[0].removeprefix("file://")
-    rows = media.read_archives(spark, paths, split="500").orderBy("offset").collect()
+    manifest = media.write_archives(odd.coalesce(1))
+    path, size = manifest.first()
+    local = path.removeprefix("file://")
+    assert os.path.getsize(local) == size
+    rows = media.read_archives(manifest, split="500").orderBy("offset").collect()
+    folder = spark.read.format("archive_media").load(os.path.dirname(path)).orderBy("offset").collect()
+    assert [r["media"] for r in rows] == [r["media"] for r in folder]
     assert len(rows) == len(ODD) and len({r["offset"] for r in rows}) == len(ODD)
     data = bytearray(open(local, "rb").read())
     data[rows[3]["offset"] + 60] ^= 255
     open(local, "wb").write(data)
-    found = media.read_archives(spark, paths, onerror="null").orderBy("offset").collect()
+    found = media.read_archives(manifest, onerror="null").orderBy("offset").collect()
     assert [r["media"] is None for r in found].count(True) == 1 and found[3]["error"]
     with pytest.raises(Exception, match="damaged"):
-        media.read_archives(spark, paths).count()
+        media.read_archives(manifest).count()
     for n in (1, 192, 193, 5000):
         raw = bytes(range(256)) * (n // 256 + 1)
         assert media.from_png(media.to_png(media.payload(raw[:n]))) == media.payload(raw[:n])
@@ -426,3 +431,60 @@ def test_mixing_prefers_quality_and_takes_the_target(spark):
 
 def test_table_reads(spark, sf):
     assert table(spark, sf, "documents").count() > 0
+
+
+def test_caches_are_bounded(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe_count, "KEPT", 10)
+    monkeypatch.setattr(packing, "KEPT", 10)
+    text = " ".join(f"w{i}x" for i in range(200)) + " " + "z" * 5_000
+    c, w = bpe_count.Counter(public_tokenizers.path("byte_bpe_50k.json")), packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    n, ids = c.count(text), w.ids(text)
+    assert len(c) <= 10 and len(w) <= 10 and max(map(len, [*c, *w])) < 60
+    monkeypatch.setattr(bpe_count, "KEPT", 10**6)
+    assert n == bpe_count.Counter(public_tokenizers.path("byte_bpe_50k.json")).count(text) and len(ids) % 4 == 0
+
+
+def test_hot_keys_by_themselves(spark, monkeypatch):
+    rows = [(i, f"own {i}\nall\n" + ("many" if i % 3 else "few"), "en", "s", 1) for i in range(60)] + [(100 + i, "copy of one text here", "en", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = [sorted(map(tuple, f(docs).collect())) for f in (line_dedup.op5, simhash.op2)]
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(line_dedup, "HOT_DOCS", 30)
+    monkeypatch.setattr(simhash, "HOT", 20)
+    assert want == [sorted(map(tuple, f(docs).collect())) for f in (line_dedup.op5, simhash.op2)]
+
+
+def test_line_sql_on_repeated_rows(spark, odd, tmp_path):
+    from tests.oracle import same_tables
+
+    docs = odd.unionByName(odd.where("doc_id = 4"))
+    same_tables(line_dedup.op5(docs), line_dedup.SQL, {"documents": docs})
+
+
+def test_mix_keeps_white_space_and_repeats(spark):
+    docs = spark.createDataFrame([(7, " a  b\n\tc " * 5, "en", "a", 1), (7, " x  y\n\tz " * 5, "en", "a", 1), (8, "w " * 3, "en", "b", 1)], DOCS)
+    kept = [sorted(r["text"] for r in mixing.take(d).collect()) for d in (docs, docs.orderBy(F.desc("text")).repartition(3))]
+    assert kept[0] == kept[1]
+    texts = {r["text"] for r in docs.collect()}
+    assert all(any(t.startswith(k) for t in texts) for k in kept[0])
+
+
+def test_chat_ties_and_tables_without_rows(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", None), (1, 0, "user", "a"), (2, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    clash = df.withColumns({c: F.lit("x") for c in ("t", "turns", "segments", "formatted", "valid", "end")})
+    for d in (df, clash):
+        found = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_conversations(chat.format_conversations(d)).collect()}
+        assert found == {1: [("assistant", ""), ("user", "a"), ("user", "a"), ("user", "b")], 2: [("", "")]}
+    assert chat.format_conversations(df.where("false")).count() == 0
+
+
+def test_long_texts_everywhere(spark):
+    text = "\n".join(f"line {i} of a very long text, {i * i}" for i in range(30_000))
+    docs = spark.createDataFrame([(1, text, "en", "a", len(text)), (2, text, "en", "a", len(text)), (3, "short text of another kind", "de", "b", 1)], DOCS)
+    for n, op in OPS.items():
+        found = op(docs).collect()
+        assert {r["doc_id"] for r in found} == {1, 2, 3}, n
