@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tactus.llm import langid, line_dedup, mixing, packing, simhash
-from tactus.llm.common import aside, table, written
+from tactus.llm.common import aside, remove, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what a stage has returned is deleted when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            remove(spark, before)
+        before = docs
     return docs
