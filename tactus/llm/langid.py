@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from tactus.llm.common import map_text
 
-SAMPLE_ROWS, SAMPLE_LONGEST = 32, 8_192
+SAMPLE_ROWS, SAMPLE_LONGEST = 24, 8_192
 UNDETERMINED = "und"
-#: Symbols of a lane.
-LANE = 8_192
+#: Symbols of a lane, and of its beginning, in which a parse that goes on from the lane before mostly meets one that begins there.
+LANE, SYNC = 1_024, 64
 
 
 def training_sample(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_LONGEST) -> dict[str, list[str]]:
@@ -108,38 +108,54 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Edges:
-    """A map from whole numbers to whole numbers by open addressing, looked up many at a time."""
+    """A map from whole numbers to whole numbers by hashing, looked up many at a time.
 
-    MIX = np.uint64(0x9E3779B97F4A7C15)
+    A key is in one of two neighbouring places, or, where both were taken, in a sorted rest; an entry is key and value
+    in one integer, so most lookups read one word.
+    """
+
+    MIX = np.int64(-0x61C8864680B583EB)  # the golden ratio of 64 bits
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(2 * len(keys)).bit_length())  # at most half full
-        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
-        self.key = np.full(1 << bits, -1, dtype=np.int64)
-        self.value = np.full(1 << bits, -1, dtype=np.int32)
-        at = self.slot(keys)
-        while len(keys):
-            free = self.key[at] == -1
-            first = np.zeros(len(at), dtype=bool)
-            first[np.unique(np.where(free, at, -1), return_index=True)[1]] = True
-            put = free & first
-            self.key[at[put]], self.value[at[put]] = keys[put], values[put]
-            keys, values, at = keys[~put], values[~put], (at[~put] + 1) & self.last
+        self.shift, self.last = np.int64(64 - bits), np.int64((1 << bits) - 1)
+        self.low = np.int64(int(values.max(initial=0)).bit_length())
+        if int(keys.max(initial=0)).bit_length() + int(self.low) > 62:
+            raise ValueError("keys and values together take more than 62 bits")
+        self.mask = np.int64((1 << int(self.low)) - 1)
+        self.entry = np.full((1 << bits) + 1, -1, dtype=np.int64)
+        at, made = self.slot(keys), keys << self.low | values
+        for step in (0, 1):
+            free = np.flatnonzero(self.entry[at + step] == -1)
+            put = free[np.unique(at[free], return_index=True)[1]]
+            self.entry[at[put] + step] = made[put]
+            at, made = np.delete(at, put), np.delete(made, put)
+        self.rest = np.append(np.sort(made), np.int64(2**63 - 1))
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * self.MIX >> self.shift).astype(np.int64)
+        at = keys * self.MIX
+        at ^= at >> np.int64(29)
+        at *= self.MIX
+        at >>= self.shift
+        at &= self.last
+        return at
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """The values of a flat array of keys, -1 where there is none."""
+        """The values of an array of keys, -1 where there is none."""
+        shape, keys = keys.shape, keys.ravel()
         at = self.slot(keys)
-        held, out = self.key[at], self.value[at]
-        other = np.flatnonzero(held != keys)
-        while len(other):
-            other = other[held[other] != -1]  # an empty place has the value -1
-            at[other] = (at[other] + 1) & self.last
-            held[other], out[other] = self.key[at[other]], self.value[at[other]]
-            other = other[held[other] != keys[other]]
-        return out
+        held = self.entry.take(at)
+        wrong = held >> self.low != keys  # a free place is -1
+        other = np.flatnonzero(wrong & (held >= 0))
+        if len(other):
+            found = self.entry.take(at[other] + 1)
+            last = np.flatnonzero((found >> self.low != keys[other]) & (found >= 0))
+            found[last] = self.rest.take(np.searchsorted(self.rest, keys[other[last]] << self.low))
+            held[other] = found
+            wrong[other] = found >> self.low != keys[other]
+        held &= self.mask
+        held[wrong] = -1
+        return held.reshape(shape)
 
 
 class Parser:
@@ -160,7 +176,7 @@ class Parser:
             # the start state has no edges here, so that each phrase begins by way of `begin`
             edges = [(at + s) * self.k + c for s, m in enumerate(states) if s for c in m]
             keys.append(np.array(edges, dtype=np.int64))
-            values.append(np.array([at + to for s, m in enumerate(states) if s for to in m.values()], dtype=np.int32))
+            values.append(np.array([at + to for s, m in enumerate(states) if s for to in m.values()], dtype=np.int64))
             self.begin[n] = at
             for c, to in states[0].items():
                 self.begin[n, c] = at + to
@@ -172,7 +188,7 @@ class Parser:
     def codes(self, text: str) -> np.ndarray:
         return self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
-    def phrases(self, texts: list[str], lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
+    def phrases(self, texts: list[str], lane: int = LANE, sync: int = SYNC) -> tuple[np.ndarray, np.ndarray]:
         """Phrases (texts, languages) and symbols of each text."""
         coded = [self.codes(t) for t in texts]
         size = np.array([len(c) for c in coded], dtype=np.int64)
@@ -181,36 +197,49 @@ class Parser:
         if not len(lanes) or not self.langs:
             return out, size
         flat, first = np.concatenate(coded), np.cumsum(size) - size
-        text, at, long = lanes[:, 0], first[lanes[:, 0]] + lanes[:, 1], lanes[:, 2]
+        at, long = first[lanes[:, 0]] + lanes[:, 1], lanes[:, 2]
         begin = np.repeat(self.roots[:, None], len(lanes), axis=1)
-        end, count = self.walk(flat, at, long, begin)
+        end, count, early_end, early_count = self.walk(flat, at, long, begin, sync)
         follows = np.flatnonzero(lanes[:, 1] > 0)  # lanes that go on where the lane before them ends
-        while len(follows):
+        while True:
             follows = follows[(end[:, follows - 1] != begin[:, follows]).any(axis=0)]
+            if not len(follows):
+                break
             begin[:, follows] = end[:, follows - 1]
-            if len(follows):
-                end[:, follows], count[:, follows] = self.walk(flat, at[follows], long[follows], begin[:, follows])
-                follows = follows + 1
-                follows = follows[follows < len(lanes)]
-                follows = follows[lanes[follows, 1] > 0]
-        np.add.at(out, text, count.T)
+            # most parses meet the one that began anew within a few phrases; then only what is before that changes
+            short = np.minimum(long[follows], sync)
+            state, n, _, _ = self.walk(flat, at[follows], short, begin[:, follows], sync)
+            met = (state == early_end[:, follows]).all(axis=0)
+            count[:, follows] += np.where(met, n - early_count[:, follows], 0)
+            early_count[:, follows] = np.where(met, n, early_count[:, follows])
+            other = follows[~met]
+            if len(other):
+                end[:, other], count[:, other], early_end[:, other], early_count[:, other] = self.walk(flat, at[other], long[other], begin[:, other], sync)
+            follows = np.unique(np.concatenate([follows, other + 1]))
+            follows = follows[follows < len(lanes)]
+            follows = follows[lanes[follows, 1] > 0]
+        np.add.at(out, lanes[:, 0], count.T)
         return out, size
 
-    def walk(self, flat: np.ndarray, at: np.ndarray, long: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """State after each lane (languages, lanes), and the phrases that begin in it."""
+    def walk(self, flat: np.ndarray, at: np.ndarray, long: np.ndarray, begin: np.ndarray, sync: int) -> tuple[np.ndarray, ...]:
+        """State after each lane (languages, lanes) and the phrases that begin in it; both after `sync` symbols, too."""
         order = np.argsort(-long, kind="stable")
         at, long, state = at[order], long[order], begin[:, order]
-        count = np.zeros(state.shape, dtype=np.int64)
-        live = np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right")  # lanes longer than each step
-        for t in range(int(long[0])):
-            n = int(live[t])
+        count = np.zeros(state.shape, dtype=np.int32)
+        early = None
+        live = np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right").tolist()  # lanes longer than each step
+        for t, n in enumerate(live):
+            if t == sync:
+                early = state.copy(), count.copy()
             c = flat[at[:n] + t]
-            to = self.edges((state[:, :n] * self.k + c).ravel()).reshape(state.shape[0], n)
-            begins = to < 0
-            state[:, :n] = np.where(begins, self.begin[:, c], to)
-            count[:, :n] += begins
+            to = self.edges(state[:, :n] * self.k + c)
+            new = to < 0
+            np.copyto(to, self.begin.take(c, axis=1), where=new)
+            state[:, :n] = to
+            count[:, :n] += new
+        early = early or (state, count)
         back = np.argsort(order)
-        return state[:, back], count[:, back]
+        return state[:, back], count[:, back], early[0][:, back], early[1][:, back]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         clean = [normalise(t).strip() if t else "" for t in texts]

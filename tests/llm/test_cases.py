@@ -87,7 +87,7 @@ def test_suffix_automaton_accepts_all_and_only_substrings():
 def test_edges_find_all_and_only_their_keys():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 5_000, 3_000))
-    e = langid.Edges(keys, np.arange(len(keys), dtype=np.int32))
+    e = langid.Edges(keys, np.arange(len(keys)))
     every = np.arange(6_000)
     want = np.full(6_000, -1)
     want[keys] = np.arange(len(keys))
@@ -115,8 +115,8 @@ def test_phrases_by_brute_force(letters):
     pool = sample["x"][1] + sample["y"][1]
     texts = ["".join(pool[(at := rnd.randrange(600)) : at + rnd.randint(1, 40)] + make(1) for _ in range(rnd.randint(1, 12))) for _ in range(40)]
     texts = [langid.normalise(t).strip() or "a" for t in texts]
-    for lane in (langid.LANE, 7, 1, 50):
-        counts, size = p.phrases(texts, lane)
+    for lane, sync in ((langid.LANE, langid.SYNC), (7, 3), (1, 1), (50, 10), (20, 1)):
+        counts, size = p.phrases(texts, lane, sync)
         for t, row, n in zip(texts, counts, size, strict=True):
             assert n == len(t)
             assert row.tolist() == [longest_match_phrases(t, " " + " ".join(langid.normalise(x).strip() for x in sample[lang]) + " ") for lang in p.langs]
