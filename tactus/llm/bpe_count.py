@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import map_text
+from tactus.llm.common import Recent, map_text
 
 LIMIT = 512
-#: Pieces whose counts a worker keeps, and code points of the longest of them: some 60 MB.
-KEPT, LONGEST = 400_000, 48
+#: Pieces whose counts a worker keeps, twice, and code points of the longest of them: some 45 MB.
+KEPT, LONGEST = 150_000, 48
 
 
 def byte_symbols() -> list[str]:
@@ -39,11 +39,11 @@ def byte_symbols() -> list[str]:
 LATIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼-¾]+| ?[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
 
 
-class Counter(dict):
+class Counter(Recent):
     """piece -> tokens; a piece that is not there is counted when it is asked for."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
-        super().__init__()
+        super().__init__(KEPT, LONGEST)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]) or spec["normalizer"] or spec["model"]["ignore_merges"]:
@@ -56,13 +56,8 @@ class Counter(dict):
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
 
-    def __missing__(self, piece: str) -> int:
-        n = self.merge(piece.encode("utf-8"))
-        if len(piece) <= LONGEST:
-            if len(self) >= KEPT:
-                self.clear()
-            self[piece] = n
-        return n
+    def make(self, piece: str) -> int:
+        return self.merge(piece.encode("utf-8"))
 
     def merge(self, piece: bytes) -> int:
         """Initial symbols minus merges."""

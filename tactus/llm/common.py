@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -77,11 +79,42 @@ def map_text(docs: DataFrame, value: Column | str, keep: tuple[str, ...], fields
                 part = b.slice(i, step)
                 made = make(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *map(pa.array, made.values())], names=[*part.schema.names[: len(keep)], *made])
+        give_back()
 
     sent = kept if isinstance(value, str) else docs.select(*[F.col(f"`{c}`") for c in keep], value.alias("__value"))
     return sent.mapInArrow(run, schema)
 
 
+class Recent(dict):
+    """key -> make(key), made when it is asked for.  Up to 2 * kept values stay, those that were asked for last, of keys of up to `longest` code points."""
+
+    def __init__(self, kept: int, longest: int):
+        super().__init__()
+        self.kept, self.longest, self.old = kept, longest, {}
+
+    def make(self, key: str):  # noqa: ANN201
+        raise NotImplementedError
+
+    def __missing__(self, key: str):  # noqa: ANN204
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.kept:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def give_back() -> None:
+    """Return memory that this worker no longer uses to the system; the worker lives on for tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def aside(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """df with all but the used columns under names that clash with none, and the map back to their own names."""
     others = [c for c in df.columns if c not in used]

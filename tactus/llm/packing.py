@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tactus.llm.bpe_count import byte_symbols
+from tactus.llm.common import Recent, give_back
 
 WINDOW, END = 2048, 1
 POOL = 4_096
-#: Words whose ids a worker keeps, and code points of the longest of them: some 130 MB.
-KEPT, LONGEST = 800_000, 48
+#: Words whose ids a worker keeps, twice, and code points of the longest of them: some 55 MB.
+KEPT, LONGEST = 150_000, 48
 #: The split of word_bpe_49k.json, as its file has it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same on Latin-1 text in lower case, where \p{L}, \p{N} and white space are these few; a set of bytes is matched faster than properties.
@@ -39,11 +40,11 @@ LATIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Ids(dict):
+class Ids(Recent):
     """word -> its ids as little-endian 32-bit integers; a word that is not there is tokenized when it is asked for."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(KEPT, LONGEST)
         self.tokenizer = Tokenizer.from_file(path)
         self.findall, self.latin_findall = regex.compile(WORDS).findall, re.compile(LATIN_WORDS).findall
         self.foreign = regex.compile("[^\0-ÿ]").search
@@ -52,14 +53,9 @@ class Ids(dict):
         self.added = added
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
 
-    def __missing__(self, word: str) -> bytes:
+    def make(self, word: str) -> bytes:
         letters = word.encode("utf-8").decode("latin-1").translate(self.symbols)
-        found = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters))
-        if len(word) <= LONGEST:
-            if len(self) >= KEPT:
-                self.clear()
-            self[word] = found
-        return found
+        return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters))
 
     def ids(self, text: str) -> bytes:
         if self.split is not None and "<|" in text:
@@ -189,6 +185,7 @@ def pack(docs: DataFrame, path: str, end_id: int = END, window: int = WINDOW, po
                     yield _batch(packer)
         packer.end()
         yield _batch(packer)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
