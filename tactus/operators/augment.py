@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tactus.config import tessitura
+from tactus.sources.tables import Score
 
 
 def offsets(pitch: list[int] = (), velocity: list[int] = (), duration: list[float] = (), combinations: bool = False) -> list[tuple[int, int, float]]:
@@ -42,19 +43,31 @@ def shifted(notes: DataFrame, p: Column, v: Column, d: Column, velocity_range: t
     })
 
 
-def augment(notes: DataFrame, tpq: int, pitch: list[int] = (), velocity: list[int] = (), duration: list[float] = (), combinations: bool = False, by_tessitura: bool = True, min_duration: float = 0.03125, keep_original: bool = True) -> DataFrame:
-    """notes of every variant, told apart by pitch_offset, velocity_offset and duration_offset (ticks); durations in beats.
+def augment(
+    notes: DataFrame,
+    tpq: int,
+    pitch: list[int] = (),
+    velocity: list[int] = (),
+    duration: list[float] = (),
+    combinations: bool = False,
+    by_tessitura: bool = True,
+    min_duration: float = 0.03125,
+    keep_original: bool = True,
+    velocity_range: tuple[int, int] = (1, 127),
+    in_ticks: bool = False,
+) -> DataFrame:
+    """notes of every variant, told apart by pitch_offset, velocity_offset and duration_offset (ticks); durations in beats, or in ticks.
 
     The offsets are a literal array, so notes are multiplied in place by one explode and never shuffled; only the few
     rows of allowed pitch offsets are joined, by score.
     """
     found = offsets(pitch, velocity, duration, combinations) + ([(0, 0, 0)] if keep_original else [])
-    triples = F.array(*[F.struct(F.lit(a).alias("pitch_offset"), F.lit(b).alias("velocity_offset"), F.lit(int(c * tpq)).cast("long").alias("duration_offset")) for a, b, c in found])
+    triples = F.array(*[F.struct(F.lit(a).alias("pitch_offset"), F.lit(b).alias("velocity_offset"), F.lit(int(c if in_ticks else c * tpq)).cast("long").alias("duration_offset")) for a, b, c in found])
     rows = notes.select("*", F.explode(triples).alias("o")).select(*notes.columns, "o.*")
     if pitch:
         zero = notes.select("score_id", F.lit(0).alias("pitch_offset")).distinct()
         rows = rows.join(allowed_pitch_offsets(notes, list(pitch), by_tessitura).union(zero), ["score_id", "pitch_offset"], "left_semi")
-    return shifted(rows, F.col("pitch_offset"), F.col("velocity_offset"), F.col("duration_offset"), min_dur=max(1, int(min_duration * tpq)))
+    return shifted(rows, F.col("pitch_offset"), F.col("velocity_offset"), F.col("duration_offset"), velocity_range, max(1, int(min_duration if in_ticks else min_duration * tpq)))
 
 
 def report(augmented: DataFrame) -> DataFrame:
@@ -66,3 +79,20 @@ def suffix(p: Column, v: Column, d: Column) -> Column:
     """File name suffix of a variant, `#p1_v2_d3` with the offsets that are not 0."""
     part = lambda name, c: F.when(c != 0, F.concat(F.lit(name), c.cast("string")))
     return F.concat(F.lit("#"), F.concat_ws("_", part("p", p), part("v", v), part("d", d)))
+
+
+def augment_score(score: Score, *args, **options) -> Score:  # noqa: ANN002, ANN003
+    """Every variant as a score of its own, with its tempos, signatures, pedals and bends: score_id is a hash of the score's and the offsets.
+
+    `source` has (score_id, original, suffix) of the variants; the suffix of an original is empty.
+    """
+    names = ["pitch_offset", "velocity_offset", "duration_offset"]
+    rows = augment(score.notes, score.tpq, *args, **options)
+    key = F.when(F.col(names[0]).eqNullSafe(0) & (F.col(names[1]) == 0) & (F.col(names[2]) == 0), F.col("score_id")).otherwise(F.xxhash64("score_id", *names))
+    rows = rows.withColumn("__new", key)
+    tail = suffix(*[F.col(n) for n in names])
+    variants = rows.select(F.col("score_id").alias("original"), F.col("__new").alias("score_id"), *names).distinct().select("score_id", "original", F.when(tail != "#", tail).otherwise("").alias("suffix"))
+    copies = variants.select(F.col("original").alias("__old"), F.col("score_id").alias("__new"))
+    of = lambda df: None if df is None else df.join(copies, F.col("score_id") == F.col("__old")).select(F.col("__new").alias("score_id"), *[c for c in df.columns if c != "score_id"])
+    notes = rows.select(F.col("__new").alias("score_id"), *[c for c in score.notes.columns if c != "score_id"])
+    return Score(notes, of(score.tempos), of(score.time_sigs), of(score.pedals), of(score.bends), score.tpq, source=variants)

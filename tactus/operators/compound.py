@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tactus.config import TokenizerConfig
 from tactus.functions.columns import duration_bins, duration_token, greedy
 from tactus.operators.encode import _named
-from tactus.operators.preprocess import preprocess, section_at, sections
+from tactus.operators.grid import section_at, section_of_bar, with_bars
+from tactus.operators.preprocess import preprocess
 from tactus.plans.vocab import effective
 from tactus.sources.tables import Score
 
@@ -16,28 +17,17 @@ IGNORE = "Ignore_None"
 STREAM = ("score_id", "stream")
 
 
-def placed_notes(score: Score, config: TokenizerConfig, by_program: bool = False) -> DataFrame:
+def placed_notes(score: Score, config: TokenizerConfig, by_program: bool = False, keep: bool = False) -> DataFrame:
     """Notes with stream, bar, position, tempo and time signature in force at their tick."""
-    notes = score.notes
-    if score.time_sigs is not None:
-        notes = notes.join(sections(score.time_sigs, config), "score_id").withColumn("s", section_at(F.col("tick"))).drop("sections")
-        per_bar = F.col("s.num") * (4 * config.tpq) / F.col("s.den")
-        notes = notes.withColumn("bar", F.col("s.bar") + F.floor((F.col("tick") - F.col("s.tick")) / per_bar).cast("long"))
-        tick = F.col("s.tick") + ((F.col("bar") - F.col("s.bar")) * per_bar).cast("long")
-        step = F.coalesce(*[F.when(F.col("s.den") == d, F.lit(config.tpb(d) // config.max_res)) for d in sorted({d for _, d in config.time_signatures})])
-        notes = notes.withColumn("position", F.floor((F.col("tick") - tick) / step).cast("int")).withColumns({"num": F.col("s.num"), "den": F.col("s.den")}).drop("s")
-    else:
-        bar = 4 * config.tpq
-        notes = notes.withColumns({"bar": F.floor(F.col("tick") / bar).cast("long"), "num": F.lit(4), "den": F.lit(4)})
-        notes = notes.withColumn("position", F.floor((F.col("tick") - F.col("bar") * bar) / (config.tpb(4) // config.max_res)).cast("int"))
+    notes = with_bars(score.notes, config.tpq, score.time_sigs, keep=keep)
+    step = F.coalesce(*[F.when(F.col("den") == d, F.lit(config.tpb(d) // config.max_res)) for d in sorted({d for _, d in config.time_signatures})])
+    notes = notes.withColumn("position", F.floor((F.col("tick") - F.col("bar_tick")) / step).cast("int")).drop("bar_tick")
     one = config.use_programs and config.one_token_stream_for_programs
     notes = notes.withColumn("stream", F.lit(0) if one or by_program else F.col("track_idx").cast("int"))
     if score.tempos is not None:
-        # as-of: tempos and notes in one order, the last tempo before each note
-        tempos = score.tempos.select("score_id", F.col("tick"), F.col("qpm"), F.lit(0).alias("rank"))
-        rows = notes.withColumn("rank", F.lit(1)).unionByName(tempos, allowMissingColumns=True)
-        w = Window.partitionBy("score_id").orderBy("tick", "rank").rowsBetween(Window.unboundedPreceding, 0)
-        notes = rows.withColumn("qpm", F.last("qpm", True).over(w)).where("rank = 1").drop("rank")
+        # as-of: a score's few tempos as one array, the last at or before each note
+        tempos = score.tempos.groupBy("score_id").agg(F.array_sort(F.collect_list(F.struct("tick", "qpm"))).alias("__t"))
+        notes = notes.join(tempos, "score_id", "left").withColumn("qpm", section_at(F.col("tick"), "__t")["qpm"]).drop("__t")
     else:
         notes = notes.withColumn("qpm", F.lit(config.default_tempo))
     return notes
@@ -55,10 +45,10 @@ def _tokens(config: TokenizerConfig) -> dict[str, Column]:
     return {"pitch": pitch, "velocity": _named("Velocity_", F.col("velocity")), "duration": length, "program": _named("Program_", F.col("program")), "tempo": _named("Tempo_", F.col("qpm")), "sig": F.concat(F.lit("TimeSig_"), F.col("num"), F.lit("/"), F.col("den"))}
 
 
-def octuple(score: Score, config: TokenizerConfig) -> DataFrame:
+def octuple(score: Score, config: TokenizerConfig, *, preprocessed: bool = False) -> DataFrame:
     """(score_id, stream, pos, tick, tokens): Pitch, Position, Bar, then Velocity, Duration, Program, Tempo, TimeSig if used.  Notes from bar max_bar_embedding (60) on are left out."""
     config = effective("Octuple", config)
-    notes = placed_notes(preprocess(score, config), config)
+    notes = placed_notes(score if preprocessed else preprocess(score, config), config)
     notes = notes.where(F.col("bar") < (config.additional_params.get("max_bar_embedding") or 60))
     t = _tokens(config)
     row = [t["pitch"], _named("Position_", F.col("position")), _named("Bar_", F.col("bar"))]
@@ -74,10 +64,10 @@ def _with_chords(notes: DataFrame, chords: DataFrame | None) -> DataFrame:
     return notes.join(chords.groupBy("score_id", "track_idx", "tick").agg(F.min("chord").alias("chord")), ["score_id", "track_idx", "tick"], "left")
 
 
-def mumidi(score: Score, config: TokenizerConfig, chords: DataFrame | None = None) -> DataFrame:
+def mumidi(score: Score, config: TokenizerConfig, chords: DataFrame | None = None, *, preprocessed: bool = False) -> DataFrame:
     """(score_id, stream, pos, tick, tokens): rows for new bars, positions and programs, then notes; 4/4 only."""
     config = effective("MuMIDI", config)
-    score = preprocess(score, config)
+    score = score if preprocessed else preprocess(score, config)
     notes = placed_notes(Score(score.notes, score.tempos, tpq=score.tpq), config, True)
     notes = notes.where(F.col("bar") < (config.additional_params.get("max_bar_embedding") or 60))
     notes = _with_chords(notes, chords)
@@ -100,11 +90,11 @@ def mumidi(score: Score, config: TokenizerConfig, chords: DataFrame | None = Non
     return _exploded(notes.withColumn("rows", F.concat(bars, place, program, chord, F.array(F.array(*note)))), w, _order(config, True))
 
 
-def cpword(score: Score, config: TokenizerConfig, chords: DataFrame | None = None) -> DataFrame:
+def cpword(score: Score, config: TokenizerConfig, chords: DataFrame | None = None, *, preprocessed: bool = False) -> DataFrame:
     """(score_id, stream, pos, tick, tokens): Family, Bar or Position, Pitch, then the used ones of Velocity, Duration, Program, Rest, Tempo, TimeSig."""
     config = effective("CPWord", config)
-    score = preprocess(score, config)
-    notes = _with_chords(placed_notes(score, config), chords)
+    score = score if preprocessed else preprocess(score, config)
+    notes = _with_chords(placed_notes(score, config, keep=True), chords)
     w = Window.partitionBy(*STREAM).orderBy(*_order(config))
     ended = F.coalesce(F.max(F.col("tick") + F.col("dur")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     new_tick = ~F.lag("tick").over(w).eqNullSafe(F.col("tick"))
@@ -119,7 +109,8 @@ def cpword(score: Score, config: TokenizerConfig, chords: DataFrame | None = Non
         bins = duration_bins(config, config.tpb(4), "Rest_", rest=True)
         gap = F.col("tick") - F.col("ended")
         rests = F.when(F.col("new_tick") & (gap >= min(x for _, x in bins)), F.transform(greedy(gap, bins), lambda r: row(family=metric, rest=r))).otherwise(none)
-    bars = F.when(F.col("bar") > F.col("last_bar"), F.transform(F.sequence(F.col("last_bar") + 1, F.col("bar")), lambda b: row(family=metric, place=F.lit("Bar_None"), sig=t["sig"]))).otherwise(none)
+    sig = lambda b: t["sig"] if score.time_sigs is None else (lambda s: F.concat(F.lit("TimeSig_"), s["num"], F.lit("/"), s["den"]))(section_of_bar(b))
+    bars = F.when(F.col("bar") > F.col("last_bar"), F.transform(F.sequence(F.col("last_bar") + 1, F.col("bar")), lambda b: row(family=metric, place=F.lit("Bar_None"), sig=sig(b)))).otherwise(none)
     position = F.when(F.col("new_tick"), F.array(row(family=metric, place=_named("Position_", F.col("position")), tempo=t["tempo"], chord=F.coalesce(_named("Chord_", F.col("chord")), F.lit(IGNORE))))).otherwise(none)
     note = row(family=F.lit("Family_Note"), pitch=t["pitch"], velocity=t["velocity"], duration=t["duration"], program=t["program"])
     return _exploded(notes.withColumn("rows", F.concat(rests, bars, position, F.array(note))), w, _order(config))

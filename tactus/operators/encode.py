@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tactus.config import TokenizerConfig
 from tactus.functions.columns import duration_bins, duration_token, greedy, greedy_length, lookup
-from tactus.operators.preprocess import TRACK, preprocess, section_at, sections
+from tactus.operators.grid import section_at, sections
+from tactus.operators.preprocess import TRACK, preprocess
 from tactus.plans.vocab import Vocabulary, effective
 from tactus.sources.tables import Score
 
@@ -58,7 +59,7 @@ def note_events(score: Score, config: TokenizerConfig, kind: str) -> DataFrame:
     """A row a note; for MIDILike a row where it begins and one where it ends."""
     notes = score.notes
     if score.time_sigs is not None:
-        notes = notes.join(sections(score.time_sigs, config), "score_id").withColumn("den", section_at(F.col("tick"))["den"]).drop("sections")
+        notes = notes.join(sections(score.time_sigs, config.tpq), "score_id").withColumn("den", section_at(F.col("tick"))["den"]).drop("sections")
     on_off = kind == "MIDILike"
     program = _named("Program_", F.col("program")) if config.use_programs and not config.program_changes else F.lit(None)
     pitch = note_pitch(config, *(("NoteOn", "DrumOn") if on_off else ()))
@@ -179,7 +180,7 @@ def _barred(out: DataFrame, score: Score, config: TokenizerConfig) -> DataFrame:
     out = _timed(out, config, "REMI")
     w = Window.partitionBy(*STREAM).orderBy(*PLACE)
     if score.time_sigs is not None:
-        out = out.join(sections(score.time_sigs, config), "score_id").withColumn("s", section_at(F.col("tick")))
+        out = out.join(sections(score.time_sigs, config.tpq), "score_id").withColumn("s", section_at(F.col("tick")))
         # just before a change, ticks belong to the section before it
         bar = F.col("s.bar") + F.floor((F.col("tick") - F.col("s.tick")) * F.col("s.den") / (F.col("s.num") * (4 * config.tpq))).cast("long")
         bar_tick = F.col("s.tick") + ((F.col("bar") - F.col("s.bar")) * F.col("s.num") * (4 * config.tpq) / F.col("s.den")).cast("long")
@@ -268,9 +269,9 @@ def sequences(encoded: DataFrame) -> DataFrame:
     return encoded.groupBy(*STREAM).agg(F.array_sort(F.collect_list(F.struct(*PLACE, "tokens"))).alias("e")).select(*STREAM, F.flatten(F.transform("e", lambda e: e["tokens"])).alias("tokens"))
 
 
-def mmm_sequences(score: Score, config: TokenizerConfig, base: str = "TSD") -> DataFrame:
+def mmm_sequences(score: Score, config: TokenizerConfig, base: str = "TSD", *, preprocessed: bool = False, chords: DataFrame | None = None, controls: DataFrame | None = None) -> DataFrame:
     """(score_id, tokens): the tracks' sequences between Track_Start, Program and Track_End, one after the other."""
-    encoded = encode(score, "MMM", config, base=base)
+    encoded = encode(score, "MMM", config, base=base, preprocessed=preprocessed, chords=chords, controls=controls)
     programs = encoded.groupBy(*STREAM).agg(F.max("program").alias("program"))
     tracks = sequences(encoded).join(programs, list(STREAM))
     wrapped = F.concat(F.array(F.lit("Track_Start"), _named("Program_", F.col("program"))), F.col("tokens"), F.array(F.lit("Track_End")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactus.config import DEFAULT_TEMPO, TokenizerConfig
 from tactus.functions.columns import duration_bins, half_even, nearest, nearest_whole, regrid
+from tactus.operators.grid import section_at, sections
 from tactus.sources.tables import Score
 
 TRACK = ("score_id", "track_idx")
@@ -26,30 +29,16 @@ def nearest_duration(dur: Column, config: TokenizerConfig, tpb: int) -> Column:
     return nearest_whole(dur, sorted({t for _, t in duration_bins(config, tpb)}))
 
 
-def sections(time_sigs: DataFrame, config: TokenizerConfig) -> DataFrame:
-    """(score_id, sections) with an ascending array of (tick, num, den, bar): the first bar of each time signature, at config.tpq."""
-    per_bar = F.col("num") * (4 * config.tpq) / F.col("den")
-    w = Window.partitionBy("score_id").orderBy("tick")
-    bars = F.floor((F.lead("tick").over(w) - F.col("tick")) / per_bar).cast("long")
-    first = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = time_sigs.withColumn("n", bars).withColumn("bar", first)
-    return rows.groupBy("score_id").agg(F.array_sort(F.collect_list(F.struct("tick", "num", "den", "bar"))).alias("sections"))
-
-
-def section_at(tick: Column, name: str = "sections") -> Column:
-    """The section that holds a tick: the last that begins at it or before it."""
-    return F.element_at(F.filter(name, lambda s: s["tick"] <= tick), -1)
-
-
-def align_time_signatures(time_sigs: DataFrame, config: TokenizerConfig, tpq: int) -> DataFrame:
+def align_time_signatures(time_sigs: DataFrame, config: TokenizerConfig, tpq: int, new_tpq: int | None = None) -> DataFrame:
     """Supported time signatures, each pushed to the next bar line of the one before; the last of a tick counts; one at tick 0.
 
     A bar line depends on where the change before it has been pushed, so this is a fold over each score's few changes.
     """
+    new_tpq = new_tpq or config.tpq
     known = F.lit(False)
     for n, d in config.time_signatures:
         known = known | ((F.col("num") == n) & (F.col("den") == d))
-    ticks = F.floor(F.col("tick") * float(config.tpq) / float(tpq)).cast("long")
+    ticks = F.floor(F.col("tick") * float(new_tpq) / float(tpq)).cast("long")
     rows = time_sigs.where(known).withColumn("tick", ticks)
     changes = rows.groupBy("score_id").agg(F.array_sort(F.collect_list(F.struct("tick", "num", "den"))).alias("changes"))
     drop_equal = config.delete_equal_successive_time_sig_changes
@@ -58,7 +47,7 @@ def align_time_signatures(time_sigs: DataFrame, config: TokenizerConfig, tpq: in
 
     def add(done: Column, c: Column) -> Column:
         last = F.element_at(done, -1)
-        bar = last["num"] * (4 * config.tpq) / last["den"]
+        bar = last["num"] * (4 * new_tpq) / last["den"]
         at = (last["tick"] + F.ceil((c["tick"] - last["tick"]) / bar) * bar).cast("long")
         new = F.struct(at.alias("tick"), c["num"].alias("num"), c["den"].alias("den"))
         same_tick = at == last["tick"]
@@ -69,12 +58,12 @@ def align_time_signatures(time_sigs: DataFrame, config: TokenizerConfig, tpq: in
     return changes.select("score_id", F.explode(F.aggregate("changes", start, add)).alias("c")).select("score_id", "c.*")
 
 
-def preprocess_tempos(tempos: DataFrame, config: TokenizerConfig, tpq: int) -> DataFrame:
+def preprocess_tempos(tempos: DataFrame, config: TokenizerConfig, tpq: int, new_tpq: int | None = None) -> DataFrame:
     """Nearest tempo in time per quarter; the last of a tick counts; a tempo at tick 0."""
     bins = sorted(config.tempos, reverse=True)
     spans = [6e7 / t for t in bins]
     by_span = F.create_map(*[F.lit(x) for s, t in zip(spans, bins, strict=True) for x in (s, t)])
-    rows = tempos.select("score_id", regrid(F.col("tick"), tpq, config.tpq).alias("tick"), F.col("tick").alias("raw"), (F.lit(6e7) / F.col("qpm")).alias("span"), "qpm")
+    rows = tempos.select("score_id", regrid(F.col("tick"), tpq, new_tpq or config.tpq).alias("tick"), F.col("tick").alias("raw"), (F.lit(6e7) / F.col("qpm")).alias("span"), "qpm")
     rows = rows.withColumn("qpm", F.element_at(by_span, nearest(F.col("span"), spans, "double")))
     last = F.row_number().over(Window.partitionBy("score_id", "tick").orderBy(F.col("raw").desc(), F.col("span").desc()))
     rows = rows.withColumn("n", last).where("n = 1").select("score_id", "tick", "qpm")
@@ -102,7 +91,7 @@ def preprocess_notes(notes: DataFrame, config: TokenizerConfig, tpq: int, time_s
         f = f.withColumn("dur", F.greatest("dur", F.lit(1)))
         f = f.withColumn("dur", nearest_duration(F.col("dur"), config, config.tpb(4)))
     else:
-        f = f.join(sections(time_sigs, config), "score_id").withColumn("den", section_at(F.col("tick"))["den"])
+        f = f.join(sections(time_sigs, config.tpq), "score_id").withColumn("den", section_at(F.col("tick"))["den"])
         dens = sorted({d for _, d in config.time_signatures})
         step = F.coalesce(*[F.when(F.col("den") == d, F.lit(config.tpb(d) // config.max_res)) for d in dens])
         f = f.withColumn("step", step).withColumns({"tick": half_even(F.col("tick") / F.col("step")) * F.col("step"), "dur": F.greatest(half_even(F.col("dur") / F.col("step")), F.lit(1)) * F.col("step")})
@@ -135,11 +124,46 @@ def merge_same_program(notes: DataFrame) -> DataFrame:
     return notes.withColumn("track_idx", F.min("track_idx").over(same))
 
 
-def preprocess_pedals(pedals: DataFrame, config: TokenizerConfig, tpq: int) -> DataFrame:
+def merge_same_program_tracks(score: Score) -> Score:
+    """merge_same_program() for notes, pedals and bends alike.  A track without notes has no program and stays as it is."""
+    if score.pedals is None and score.bends is None:
+        return dataclasses.replace(score, notes=merge_same_program(score.notes))
+    tracks = score.notes.groupBy(*TRACK).agg(F.max("is_drum").alias("is_drum"), F.min("program").alias("program"))
+    first = merge_same_program(tracks.withColumn("own", F.col("track_idx"))).select("score_id", F.col("own").alias("track_idx"), F.col("track_idx").alias("first"))
+    return moved(dataclasses.replace(score, notes=merge_same_program(score.notes)), first, notes=False)
+
+
+def moved(score: Score, first: DataFrame, notes: bool = True) -> Score:
+    """The score with the tracks of its pedals, bends and notes renumbered by (score_id, track_idx, first)."""
+
+    def move(df: DataFrame | None) -> DataFrame | None:
+        if df is None:
+            return None
+        return df.join(first, list(TRACK), "left").withColumn("track_idx", F.coalesce("first", "track_idx")).select(*df.columns)
+
+    return dataclasses.replace(score, pedals=move(score.pedals), bends=move(score.bends), **({"notes": move(score.notes)} if notes else {}))
+
+
+def _at_den(den: Column, config: TokenizerConfig, make) -> Column:  # noqa: ANN001
+    """make(ticks a beat) for each denominator."""
+    return F.coalesce(*[F.when(den == d, make(config.tpb(d))) for d in sorted({d for _, d in config.time_signatures})])
+
+
+def preprocess_pedals(pedals: DataFrame, config: TokenizerConfig, tpq: int, time_sigs: DataFrame | None = None) -> DataFrame:
     """Overlapping and touching pedals merged (islands of a running end), then a duration of the vocabulary or the grid."""
-    rows = pedals.select(*TRACK, regrid(F.col("tick"), tpq, config.tpq).alias("tick"), F.greatest(regrid(F.col("dur"), tpq, config.tpq), F.lit(1)).alias("dur"))
+    tick, dur = regrid(F.col("tick"), tpq, config.tpq), F.greatest(regrid(F.col("dur"), tpq, config.tpq), F.lit(1))
+    rows = pedals.select(*TRACK, tick.alias("tick"), dur.alias("dur"))
+    if time_sigs is not None:  # ticks and ends on the grid of the time signature in force
+        step = lambda at: _at_den(section_at(at)["den"], config, lambda tpb: F.lit(tpb // config.max_res))
+        rows = rows.join(sections(time_sigs, config.tpq), "score_id").withColumn("step", step(F.col("tick")))
+        rows = rows.select(*TRACK, (half_even(F.col("tick") / F.col("step")) * F.col("step")).alias("tick"), (F.greatest(half_even(F.col("dur") / F.col("step")), F.lit(1)) * F.col("step")).alias("dur"))
     merged = islands(rows, TRACK)
-    return merged.withColumn("dur", nearest_duration(F.col("dur"), config, config.tpb(4))) if config.sustain_pedal_duration else merged
+    if not config.sustain_pedal_duration:
+        return merged
+    if time_sigs is None:
+        return merged.withColumn("dur", nearest_duration(F.col("dur"), config, config.tpb(4)))
+    merged = merged.join(sections(time_sigs, config.tpq), "score_id")
+    return merged.select(*TRACK, "tick", _at_den(section_at(F.col("tick"))["den"], config, lambda tpb: nearest_duration(F.col("dur"), config, tpb)).alias("dur"))
 
 
 def islands(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -163,8 +187,23 @@ def preprocess(score: Score, config: TokenizerConfig) -> Score:
     signatures = None
     if config.use_time_signatures and score.time_sigs is not None:
         signatures = align_time_signatures(score.time_sigs, config, score.tpq)
-    notes = preprocess_notes(merge_same_program(score.notes) if config.use_programs else score.notes, config, score.tpq, signatures)
+    score = merge_same_program_tracks(score) if config.use_programs else score
+    notes = preprocess_notes(score.notes, config, score.tpq, signatures)
     tempos = preprocess_tempos(score.tempos, config, score.tpq) if config.use_tempos and score.tempos is not None else None
-    pedals = preprocess_pedals(score.pedals, config, score.tpq) if config.use_sustain_pedals and score.pedals is not None else None
+    pedals = preprocess_pedals(score.pedals, config, score.tpq, signatures) if config.use_sustain_pedals and score.pedals is not None else None
     bends = preprocess_bends(score.bends, config, score.tpq) if config.use_pitch_bends and score.bends is not None else None
     return Score(notes, tempos, signatures, pedals, bends, config.tpq)
+
+
+def preprocess_fine(score: Score, config: TokenizerConfig, tpq: int) -> Score:
+    """A score on a fine grid of tpq ticks a quarter: as preprocess(), but times and durations are only brought to that grid."""
+    signatures = align_time_signatures(score.time_sigs, config, score.tpq, tpq) if config.use_time_signatures and score.time_sigs is not None else None
+    score = merge_same_program_tracks(score) if config.use_programs else score
+    f = in_pitch_range(score.notes, config).withColumn("velocity", nearest_velocity(F.col("velocity"), config))
+    f = f.withColumns({"tick": regrid(F.col("tick"), score.tpq, tpq), "dur": F.greatest(regrid(F.col("dur"), score.tpq, tpq), F.lit(1)), "program": F.when(F.col("is_drum"), -1).otherwise(F.col("program"))})
+    f = f.where(F.col("program").isin(*config.programs)) if len(config.programs) < 129 else f
+    if config.remove_duplicated_notes:
+        order = Window.partitionBy(*TRACK).orderBy("tick", "pitch", "dur", "velocity")
+        f = deduplicated(f.withColumn("ord", F.row_number().over(order).cast("long"))).drop("ord")
+    tempos = preprocess_tempos(score.tempos, config, score.tpq, tpq) if config.use_tempos and score.tempos is not None else None
+    return Score(f, tempos, signatures, tpq=tpq)

@@ -2,20 +2,22 @@
 
 A word is a bar, a beat or a whole sequence of ids, written one letter an id.  Models are fitted on all distinct words:
 Spark keeps their table and counts pairs, symbols or substrings of it round by round; the driver sees only counts of
-pairs of the vocabulary.  A BPE round takes all merges that are sure from one count: the next pair in order is, as long as
+pairs of the vocabulary, or the distinct words themselves if they are IN_MEMORY ids at most.  A BPE round takes all merges that are sure from one count: the next pair in order is, as long as
 it shares no symbol with those before it.  train_bpe(), train_wordpiece() and train_unigram() are the same fits in memory.
 Ties: larger count, then smaller left id, then smaller right id.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,53 +26,99 @@ FIRST_CHAR = 33
 BEST_PAIRS = 1_000
 #: Merges after which the words' table is made anew.
 PENDING = 64
+#: Ids of distinct words up to which the fit runs on the driver: 16 bytes each.
+IN_MEMORY = 20_000_000
 
 
 def to_chars(ids: Column) -> Column:
-    """Ids as a string, one letter each: the letter of id i has code point i + 33."""
+    """Ids as a string, one letter each: the letter of id i has code point i + 33, past the surrogates 2,048 more."""
+    def byte(x: Column) -> Column:
+        return F.unhex(F.hex(x.cast("long")))
+
     def letter(i: Column) -> Column:
-        point = i + FIRST_CHAR
-        two = F.concat(F.unhex(F.hex(F.lit(192) + F.floor(point / 64))), F.unhex(F.hex(F.lit(128) + point % 64)))
-        return F.when(point < 128, F.char(point)).otherwise(F.decode(two, "utf-8"))
+        plain = i + FIRST_CHAR
+        point = F.when(plain < 0xD800, plain).otherwise(plain + 0x800)
+        tail = lambda shift: byte(F.lit(128) + F.shiftright(point, shift) % 64)
+        two = F.concat(byte(F.lit(192) + F.shiftright(point, 6)), tail(0))
+        three = F.concat(byte(F.lit(224) + F.shiftright(point, 12)), tail(6), tail(0))
+        four = F.concat(byte(F.lit(240) + F.shiftright(point, 18)), tail(12), tail(6), tail(0))
+        wide = F.when(point < 0x800, two).when(point < 0x10000, three).otherwise(four)
+        return F.when(point < 128, F.char(point)).otherwise(F.decode(wide, "utf-8"))
 
     return F.array_join(F.transform(ids, letter), "")
 
 
+def to_ids(chars: str) -> list[int]:
+    """The inverse of to_chars() for one string."""
+    return [c - FIRST_CHAR - (0x800 if c >= 0xE000 else 0) for c in map(ord, chars)]
+
+
 def word_counts(words: DataFrame, ids: str = "ids") -> DataFrame:
     """(ids, n) of the distinct words that have an id."""
     return words.where(F.size(ids) > 0).groupBy(ids).agg(F.count("*").alias("n"))
 
 
 class _Pairs:
-    """Words as lists of symbols, with counts of symbols and of adjacent pairs, and the words that hold each pair."""
-
-    def __init__(self, words: list[list], freq: list[int]):
-        self.words, self.freq = words, freq
-        self.single: Counter = Counter()
-        self.count: Counter = Counter()
-        self.where: dict[tuple, set[int]] = defaultdict(set)
-        for i in range(len(words)):
-            self._add(i, 1)
-
-    def _add(self, i: int, sign: int) -> None:
-        w, n = self.words[i], sign * self.freq[i]
-        for x in w:
-            self.single[x] += n
-        for p in zip(w, w[1:], strict=False):
-            self.count[p] += n
-            if sign > 0:
-                self.where[p].add(i)
+    """Words one after the other in one array, -1 after each, with counts of symbols and of adjacent pairs.
+
+    A merge looks at the array once and counts anew only what is next to the places where it happens.
+    """
+
+    def __init__(self, x: np.ndarray, freq: np.ndarray):
+        self.x = x
+        self.n = np.repeat(freq, np.diff(np.flatnonzero(np.concatenate([[-1], x])  == -1))) if len(x) else np.zeros(0, np.int64)
+        self.single: dict[int, int] = _sums(x[x >= 0], self.n[x >= 0])
+        self.count: dict[tuple[int, int], int] = {}
+        self._add(np.arange(max(len(x) - 1, 0)), 1)
+
+    def _add(self, at: np.ndarray, sign: int) -> None:
+        """Count the pairs that begin at these places, or take them off."""
+        at = at[(at >= 0) & (at + 1 < len(self.x))]
+        left, right = self.x[at], self.x[at + 1]
+        ok = (left >= 0) & (right >= 0)
+        for key, n in _sums(left[ok] << 32 | right[ok], self.n[at[ok]]).items():
+            pair = key >> 32, key & 0xFFFFFFFF
+            total = self.count.get(pair, 0) + sign * n
+            if total:
+                self.count[pair] = total
             else:
-                self.where[p].discard(i)
-                if not self.count[p]:
-                    del self.count[p]
+                self.count.pop(pair, None)
+
+    def merge(self, pair: tuple[int, int], new: int) -> None:
+        a, b = pair
+        hit = np.flatnonzero((self.x[:-1] == a) & (self.x[1:] == b))
+        hit = _apart(hit) if a == b else hit
+        if not len(hit):
+            return
+        near = np.unique(np.concatenate([hit - 1, hit, hit + 1]))
+        self._add(near, -1)
+        weight = int(self.n[hit].sum())
+        for s in pair:
+            self.single[s] -= weight
+        self.single[new] = self.single.get(new, 0) + weight
+        self.x[hit] = new
+        self.x, self.n = np.delete(self.x, hit + 1), np.delete(self.n, hit + 1)
+        at = hit - np.arange(len(hit))  # where the merged symbols are now
+        self._add(np.unique(np.concatenate([at - 1, at])), 1)
+
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> dict[int, int]:
+    found, inverse = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, inverse, n)
+    return dict(zip(found.tolist(), total.tolist(), strict=True))
 
-    def merge(self, pair: tuple, new) -> None:  # noqa: ANN001
-        """Only the words that hold the pair are counted anew."""
-        for i in list(self.where[pair]):
-            self._add(i, -1)
-            self.words[i] = merged(self.words[i], pair, new)
-            self._add(i, 1)
+
+def _apart(hit: np.ndarray) -> np.ndarray:
+    """Of places in a row every second."""
+    at = np.arange(len(hit))
+    first = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, at, 0))
+    return hit[(at - first) % 2 == 0]
+
+
+def _flat(counts: list[tuple[list[int], int]]) -> _Pairs:
+    words = [np.array([*w, -1], dtype=np.int64) for w, _ in counts]
+    return _Pairs(np.concatenate(words) if words else np.zeros(0, np.int64), np.array([n for _, n in counts], dtype=np.int64))
 
 
 def merged(ids: list, pair: tuple, new) -> list:  # noqa: ANN001
@@ -85,9 +133,9 @@ def merged(ids: list, pair: tuple, new) -> list:  # noqa: ANN001
     return out
 
 
-def train_bpe(counts: list[tuple[list[int], int]], base_size: int, vocab_size: int) -> list[tuple[int, int, int]]:
+def train_bpe(counts: list[tuple[list[int], int]] | _Pairs, base_size: int, vocab_size: int) -> list[tuple[int, int, int]]:
     """Merges (left, right, new id) until the vocabulary has vocab_size ids or no pair is left that occurs twice."""
-    pairs = _Pairs([list(w) for w, _ in counts], [n for _, n in counts])
+    pairs = counts if isinstance(counts, _Pairs) else _flat(counts)
     merges = []
     for new in range(base_size, vocab_size):
         n, best = min(((-n, p) for p, n in pairs.count.items()), default=(0, None))
@@ -99,29 +147,44 @@ def train_bpe(counts: list[tuple[list[int], int]], base_size: int, vocab_size: i
 
 
 def apply_bpe(ids: list[int], rank: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merge the pair of lowest rank, everywhere, until none is left."""
-    ids = list(ids)
-    while len(ids) > 1:
-        best = min(((rank[p], p) for p in set(zip(ids, ids[1:], strict=False)) if p in rank), default=None)
-        if best is None:
-            break
-        (_, new), pair = best
-        ids = merged(ids, pair, new)
-    return ids
-
-
-def train_wordpiece(counts: list[tuple[list[int], int]], base_size: int, vocab_size: int) -> list[tuple[int, ...]]:
+    """Merge the pair of lowest rank, from the left, until none is left: a heap of pairs over a linked list."""
+    ids, n = list(ids), len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(rank[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in rank]
+    heapq.heapify(heap)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != pair[0] or j >= n or ids[j] != pair[1]:
+            continue  # one of the two has been merged since
+        ids[i], ids[j] = rank[pair][1], -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+        for h, m in ((before[i], i), (i, k)):
+            if h >= 0 and m < n and (p := (ids[h], ids[m])) in rank:
+                heapq.heappush(heap, (rank[p][0], h, p))
+    return [x for x in ids if x >= 0]
+
+
+def train_wordpiece(counts: list[tuple[list[int], int]] | _Pairs, base_size: int, vocab_size: int) -> list[tuple[int, ...]]:
     """Pieces of several base ids: pairs of highest count(pair) / (count(left) * count(right)), as merges go on."""
-    pairs = _Pairs([[(x,) for x in w] for w, _ in counts], [n for _, n in counts])
+    pairs = counts if isinstance(counts, _Pairs) else _flat(counts)
     pieces: list[tuple[int, ...]] = []
+    ids: dict[tuple[int, ...], int] = {}
+    made: dict[int, tuple[int, ...]] = {}
+    piece = lambda x: made.get(x) or (x,)
     while base_size + len(pieces) < vocab_size:
-        found = min(((-n / (pairs.single[a] * pairs.single[b]), a, b) for (a, b), n in pairs.count.items() if n > 1), default=None)
-        if found is None:
+        # ties go to the smaller pieces, so these are looked at for the best alone
+        best = max((n / (pairs.single[a] * pairs.single[b]) for (a, b), n in pairs.count.items() if n > 1), default=None)
+        if best is None:
             break
-        _, a, b = found
-        pairs.merge((a, b), a + b)
-        if a + b not in pieces:
-            pieces.append(a + b)
+        left, right, a, b = min((piece(a), piece(b), a, b) for (a, b), n in pairs.count.items() if n > 1 and n / (pairs.single[a] * pairs.single[b]) == best)
+        if left + right not in ids:
+            ids[left + right] = base_size + len(pieces)
+            made[ids[left + right]] = left + right
+            pieces.append(left + right)
+        pairs.merge((a, b), ids[left + right])
     return pieces
 
 
@@ -180,10 +243,8 @@ def _merge_all(x: np.ndarray, merges: list[tuple[int, int, int]]) -> np.ndarray:
     """x, words one after the other with -1 after each, with the merges done in order, from the left."""
     for a, b, new in merges:
         hit = np.flatnonzero((x[:-1] == a) & (x[1:] == b))
-        if a == b and len(hit):  # of a run every second
-            at = np.arange(len(hit))
-            first = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, at, 0))
-            hit = hit[(at - first) % 2 == 0]
+        if a == b and len(hit):
+            hit = _apart(hit)
         if len(hit):
             x[hit] = new
             x = np.delete(x, hit + 1)
@@ -243,8 +304,23 @@ class _Words:
         return self.now.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def fit_bpe(words: DataFrame, base_size: int, vocab_size: int) -> list[tuple[int, int, int]]:
+def _in_memory(words: DataFrame, most: int) -> _Pairs | None:
+    """The distinct words on the driver, if they are `most` ids at most; the fit is the same either way, without a job a round."""
+    size = words.agg(F.sum(F.size("ids") + 1)).first()[0] or 0
+    if size > most:
+        return None
+    table = words.select(F.col("ids").cast("array<int>"), F.col("n").cast("long")).toArrow().combine_chunks()
+    if not table.num_rows:
+        return _flat([])
+    ids = table.column(0).chunk(0)
+    values = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return _Pairs(np.insert(values, np.cumsum(np.diff(ids.offsets.to_numpy())), -1), table.column(1).to_numpy())
+
+
+def fit_bpe(words: DataFrame, base_size: int, vocab_size: int, in_memory: int = IN_MEMORY) -> list[tuple[int, int, int]]:
     """train_bpe() over the table (ids, n)."""
+    if (pairs := _in_memory(words, in_memory)) is not None:
+        return train_bpe(pairs, base_size, vocab_size)
     table, merges = _Words(words), []
     while len(merges) < vocab_size - base_size:
         best = table.counts().where("b >= 0 and n > 1").orderBy(F.col("n").desc(), "a", "b").limit(BEST_PAIRS).collect()
@@ -262,8 +338,10 @@ def fit_bpe(words: DataFrame, base_size: int, vocab_size: int) -> list[tuple[int
     return merges
 
 
-def fit_wordpiece(words: DataFrame, base_size: int, vocab_size: int) -> list[tuple[int, ...]]:
+def fit_wordpiece(words: DataFrame, base_size: int, vocab_size: int, in_memory: int = IN_MEMORY) -> list[tuple[int, ...]]:
     """train_wordpiece() over the table (ids, n)."""
+    if (pairs := _in_memory(words, in_memory)) is not None:
+        return train_wordpiece(pairs, base_size, vocab_size)
     table, pieces = _Words(words), []
     ids: dict[tuple[int, ...], int] = {}
     made: dict[int, tuple[int, ...]] = {}
@@ -376,9 +454,27 @@ class SubwordModel:
         return words.mapInPandas(run, schema)
 
     def decode(self, words: DataFrame, ids: str = "ids") -> DataFrame:
-        """words with `ids` back as base ids: a lookup in a literal array."""
-        pieces = F.array(*[F.array(*map(F.lit, p)) for p in self.pieces]) if self.pieces else F.array().cast("array<array<int>>")
-        return words.withColumn(ids, F.flatten(F.transform(ids, lambda i: F.when(i < self.base_size, F.array(i)).otherwise(F.get(pieces, i - self.base_size)))))
+        """words with `ids` back as base ids: pieces are rows of two Arrow arrays, so a batch is one lookup."""
+        offsets = np.concatenate([np.arange(self.base_size), self.base_size + np.cumsum([0, *map(len, self.pieces)])]).astype(np.int64)
+        values = np.concatenate([np.arange(self.base_size), *[np.array(p) for p in self.pieces]]).astype(np.int32)
+        columns = words.columns
+        at = columns.index(ids)
+
+        def run(batches):  # noqa: ANN001, ANN202
+            for b in batches:
+                column = b.column(at).cast(pa.list_(pa.int32()))
+                held = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes = offsets[held + 1] - offsets[held]
+                start = np.repeat(offsets[held] - (np.cumsum(sizes) - sizes), sizes)
+                flat = values[np.arange(int(sizes.sum())) + start]
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+                made = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat, pa.int32()), mask=pc.is_null(column))
+                yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(b.columns)], names=columns)
+
+        schema = ", ".join(f"`{f.name}` {'array<int>' if f.name == ids else f.dataType.simpleString()}" for f in words.schema)
+        return words.mapInArrow(run, schema)
 
     def save(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as f:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 import os
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tactus.operators.preprocess import moved
 from tactus.sources.tables import Score
 
 TRACK = ["score_id", "track_idx"]
@@ -27,14 +29,25 @@ def empty_tracks(tracks: DataFrame, score: Score, check_pedals: bool = False, ch
     return tracks
 
 
-def merge_tracks(notes: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All tracks of a score as one, the first: its notes, and its name with those of the others, ` / ` between them.
+def merge_tracks(score: Score, names: DataFrame | None = None, effects: bool = True) -> tuple[Score, DataFrame | None]:
+    """All tracks of a score as one, the first, with notes, pedals and bends; and its name with those of the others, ` / ` between them.
 
-    names: (score_id, track_idx, name).
+    names: (score_id, track_idx, name).  Without effects, pedals and bends of the first track alone stay.
     """
-    first = notes.groupBy("score_id").agg(F.min("track_idx").alias("first"))
-    merged = notes.join(first, "score_id").withColumn("track_idx", F.col("first")).drop("first")
-    joined = names.groupBy("score_id").agg(F.min("track_idx").alias("track_idx"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("track_idx", "name"))), lambda t: t["name"]), " / ").alias("name"))
+    tracks = reduce(lambda a, b: a.unionByName(b), [t.select(*TRACK) for t in (score.notes, score.pedals, score.bends) if t is not None]).distinct()
+    first = score.notes.groupBy("score_id").agg(F.min("track_idx").alias("first"))
+    to = tracks.join(first, "score_id")
+    merged = moved(score, to)
+    if not effects:
+        own = lambda t: t if t is None else t.join(first.withColumnRenamed("first", "track_idx"), TRACK, "left_semi")
+        merged = dataclasses.replace(merged, pedals=own(score.pedals), bends=own(score.bends))
+    # one track has one program: that of the first
+    program = score.notes.join(first.withColumnRenamed("first", "track_idx"), TRACK, "left_semi").groupBy("score_id").agg(F.min("program").alias("__p"), F.max("is_drum").alias("__d"))
+    notes = merged.notes.join(program, "score_id").withColumns({"program": F.col("__p"), "is_drum": F.col("__d")}).select(*score.notes.columns)
+    merged = dataclasses.replace(merged, notes=notes)
+    joined = None
+    if names is not None:
+        joined = names.groupBy("score_id").agg(F.min("track_idx").alias("track_idx"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("track_idx", "name"))), lambda t: t["name"]), " / ").alias("name"))
     return merged, joined
 
 

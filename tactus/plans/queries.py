@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tactus.config import TokenizerConfig
+from tactus.config import TESSITURA, TokenizerConfig
 from tactus.operators import attributes, augment, batch, compound, decode, encode, folds, grid, preprocess, split, tracks, validate
 from tactus.operators.subword import SubwordModel
 from tactus.plans.vocab import Vocabulary
@@ -51,6 +51,7 @@ def quantized(where: str = "(is_drum AND pitch BETWEEN 27 AND 88) OR (NOT is_dru
 
 
 N = quantized()
+TESS_ALL = "tess AS (SELECT * FROM (VALUES " + ", ".join(f"({p}, {lo}, {hi})" for p, (lo, hi) in enumerate(TESSITURA)) + ") v(program, lo, hi))"
 NOTE_COLUMNS = "score_id, track_idx, program, is_drum, tick, dur, pitch, velocity, ord"
 
 
@@ -217,13 +218,110 @@ register("pitch_class_bar", f"WITH {BARRED} SELECT DISTINCT score_id, track_idx,
 )
 register("track_density", f"""SELECT score_id, track_idx, CAST(greatest(0, least(18, min(n_notes))) AS INTEGER) AS density_min, CAST(greatest(0, least(18, max(n_notes))) AS INTEGER) AS density_max
 FROM ({_per_bar('score_id, track_idx')}) GROUP BY score_id, track_idx""")(lambda s, sf: attributes.track_density(notes(s, sf), 8, 0, 18))
-register("bar_repetition", f"""WITH {BARRED}, c AS (SELECT DISTINCT score_id, track_idx, bar, tick - bar * 32 AS at, pitch % 12 AS pitch FROM b),
-z AS (SELECT score_id, track_idx, bar, count(*) AS n FROM c GROUP BY ALL), l AS (SELECT score_id, track_idx, max(bar) AS last FROM z GROUP BY ALL),
-p AS (SELECT z.*, o.k AS other FROM z JOIN l USING (score_id, track_idx), LATERAL (SELECT unnest(range(z.bar + 1, least(z.bar + 3, l.last) + 1)) AS k) o),
+
+
+def repetition(source: str, bar: str = "{t} // 32", start: str = "{b} * 32", length: str = "32") -> str:
+    """WITH parts up to `rep` (score_id, track_idx, repetition); bar of a tick t, start and length of a bar b."""
+    return f"""c AS (SELECT DISTINCT score_id, track_idx, bar, t - ({start.format(b='bar')}) AS at, kind, pitch FROM (SELECT *, {bar.format(t='t')} AS bar FROM (
+    SELECT score_id, track_idx, tick AS t, 0 AS kind, pitch FROM {source} UNION ALL SELECT score_id, track_idx, tick + dur, 1, pitch FROM {source}))),
+z AS (SELECT score_id, track_idx, bar, count(*) AS n FROM c GROUP BY ALL), u AS (SELECT score_id, track_idx, max(tick + dur) AS until FROM {source} GROUP BY ALL),
+l AS (SELECT score_id, {bar.format(t='max(tick)')} AS last FROM {source} GROUP BY score_id),
+p AS (SELECT z.*, o.k AS other FROM z JOIN l USING (score_id) JOIN u USING (score_id, track_idx), LATERAL (SELECT unnest(range(z.bar + 1, least(z.bar + 3, l.last) + 1)) AS k) o
+      WHERE z.bar < l.last AND ({start.format(b='o.k')}) + ({length.format(b='o.k')}) <= until AND ({length.format(b='o.k')}) = ({length.format(b='z.bar')})),
 m AS (SELECT p.score_id, p.track_idx, p.bar, p.other, p.n, count(d.bar) AS shared FROM p JOIN c USING (score_id, track_idx, bar)
-      LEFT JOIN c d ON d.score_id = p.score_id AND d.track_idx = p.track_idx AND d.bar = p.other AND d.at = c.at AND d.pitch = c.pitch GROUP BY ALL)
-SELECT score_id, track_idx, CAST(floor(avg(shared / n) * 9.0 + 0.5) / 9.0 AS DOUBLE) AS repetition FROM m GROUP BY ALL""")(
-    lambda s, sf: attributes.repetition(notes(s, sf).withColumn("pitch", F.col("pitch") % 12), 8, 10, 4)
+      LEFT JOIN c d ON d.score_id = p.score_id AND d.track_idx = p.track_idx AND d.bar = p.other AND d.at = c.at AND d.kind = c.kind AND d.pitch = c.pitch GROUP BY ALL),
+rep AS (SELECT score_id, track_idx, CAST(greatest(ceil(avg(shared / n) * 9.0 - 0.5), 0.0) / 9.0 + 0.0 AS DOUBLE) AS repetition FROM m GROUP BY ALL)"""
+
+
+# few pitches and places in the bar, so that bars are alike
+register("bar_repetition", f"WITH {N}, o AS (SELECT * REPLACE (pitch % 2 AS pitch, tick - tick % 16 AS tick, dur % 2 * 8 + 8 AS dur) FROM n), {repetition('o')} SELECT * FROM rep")(
+    lambda s, sf: attributes.repetition(notes(s, sf).withColumns({"pitch": F.col("pitch") % 2, "tick": F.col("tick") - F.col("tick") % 16, "dur": F.col("dur") % 2 * 8 + 8}), 8, 10, 4)
+)
+
+# --- time signatures: 4/4 to bar 80, 3/4 to bar 130, then 6/8, at 16 ticks a quarter
+
+SIGNED = TokenizerConfig(use_time_signatures=True)
+N_TS = f"""{RAW}, {VEL}, {BINS}, {DUR}, n AS (
+  SELECT *, row_number() OVER (PARTITION BY score_id, track_idx ORDER BY tick, pitch, dur, velocity) AS ord, CASE WHEN tick >= 7520 THEN 8 ELSE 4 END AS den, CASE WHEN tick >= 7520 THEN 1 ELSE 2 END AS step,
+         CASE WHEN tick < 5120 THEN tick // 64 WHEN tick < 7520 THEN 80 + (tick - 5120) // 48 ELSE 130 + (tick - 7520) // 48 END AS bar,
+         CASE WHEN tick < 5120 THEN tick - tick % 64 WHEN tick < 7520 THEN tick - (tick - 5120) % 48 ELSE tick - (tick - 7520) % 48 END AS bar_tick,
+         CASE WHEN tick < 5120 THEN '4/4' WHEN tick < 7520 THEN '3/4' ELSE '6/8' END AS sig
+  FROM (SELECT score_id, track_idx, program, is_drum, CAST(round_even(t1 / s, 0) * s AS BIGINT) AS tick, durs.b * s AS dur, pitch, vel.b AS velocity
+        FROM (SELECT *, CAST(round_even(tick / 30.0, 0) AS BIGINT) AS t1, CASE WHEN round_even(tick / 30.0, 0) >= 7520 THEN 1 ELSE 2 END AS s FROM raw WHERE (is_drum AND pitch BETWEEN 27 AND 88) OR (NOT is_drum AND pitch BETWEEN 21 AND 109)) r
+        JOIN vel ON vel.v = r.velocity JOIN durs ON durs.d = greatest(CAST(round_even(round_even(dur / 30.0, 0) / s, 0) AS BIGINT), 1)))"""
+BAR_TS = "(CASE WHEN {t} < 5120 THEN ({t}) // 64 WHEN {t} < 7520 THEN 80 + ({t} - 5120) // 48 ELSE 130 + ({t} - 7520) // 48 END)"
+START_TS = "(CASE WHEN {b} < 80 THEN ({b}) * 64 WHEN {b} < 130 THEN 5120 + ({b} - 80) * 48 ELSE 7520 + ({b} - 130) * 48 END)"
+LENGTH_TS = "(CASE WHEN {b} < 80 THEN 64 ELSE 48 END)"
+
+
+def signed(spark: SparkSession, sf: str, config: TokenizerConfig = SIGNED) -> Score:
+    return preprocess.preprocess(score_tables(spark, sf, True), config)
+
+
+register("quantize_ticks_ts", f"WITH {N_TS} SELECT {NOTE_COLUMNS} FROM n")(lambda s, sf: signed(s, sf).notes.select(*NOTE_COLUMNS.split(", ")))
+
+
+@register("notes_per_bar_ts", f"""WITH {N_TS}, c AS (SELECT score_id, track_idx, bar, count(*) AS n FROM n GROUP BY ALL), last AS (SELECT score_id, max(bar) AS last FROM c GROUP BY score_id),
+g AS (SELECT k.score_id, k.track_idx, unnest(range(last + 1)) AS bar FROM (SELECT DISTINCT score_id, track_idx FROM c) k JOIN last USING (score_id))
+SELECT g.score_id, g.track_idx, g.bar, coalesce(c.n, 0) AS n_notes FROM g LEFT JOIN c USING (score_id, track_idx, bar)""")
+def notes_per_bar_ts(spark: SparkSession, sf: str) -> DataFrame:
+    score = signed(spark, sf)
+    return grid.notes_per_bar(score.notes, score.tpq, by_track=True, time_sigs=score.time_sigs)
+
+
+ALL_CONTROLS = dict.fromkeys(("ac_polyphony_track", "ac_polyphony_bar", "ac_pitch_class_bar", "ac_note_density_track", "ac_note_density_bar", "ac_note_duration_bar", "ac_note_duration_track", "ac_repetition_track"), True)
+
+
+def controls(source: str, tpq: int, rep: str) -> str:
+    """All attribute controls of notes with bar and bar_tick; rep: the WITH parts of repetition()."""
+    def poly(keys: str, tick: str, head: str, place: int) -> str:
+        t = f"(SELECT {keys}, CAST(greatest(1, least(6, min(k))) AS INTEGER) AS lo, CAST(greatest(1, least(6, max(k))) AS INTEGER) AS hi FROM (SELECT {keys}, tick, count(*) AS k FROM {source} GROUP BY {keys}, tick) GROUP BY {keys})"
+        return f"SELECT score_id, track_idx, {tick} AS tick, '{head}' AS head, '{head}OnsetPolyphony' || w || '_' || CASE w WHEN 'Min' THEN lo ELSE hi END AS token, {place} + k AS place FROM {t}, (VALUES (0, 'Min'), (1, 'Max')) v(k, w)"
+
+    def lengths(keys: str, tick: str, head: str, place: int) -> str:
+        return f"SELECT score_id, track_idx, {tick}, '{head}', '{head}NoteDuration' || name || '_' || max(CAST(dur = d AS INTEGER)), {place} + k FROM {source}, (VALUES (0, 'Whole', {4 * tpq}), (1, 'Half', {2 * tpq}), (2, 'Quarter', {tpq}), (3, 'Eight', {tpq // 2}), (4, 'Sixteenth', {tpq // 4})) v(k, name, d) GROUP BY {keys}, k, name"
+
+    track, bar = "score_id, track_idx", "score_id, track_idx, bar, bar_tick"
+    return f"""{rep}, every AS (SELECT s.score_id, s.track_idx, unnest(range(last + 1)) AS bar FROM (SELECT DISTINCT score_id, track_idx FROM {source}) s JOIN (SELECT score_id, max(bar) AS last FROM {source} GROUP BY score_id) USING (score_id)),
+dens AS (SELECT score_id, track_idx, CAST(least(18, min(k)) AS INTEGER) AS lo, CAST(least(18, max(k)) AS INTEGER) AS hi FROM (SELECT e.score_id, e.track_idx, e.bar, count(s.bar) AS k FROM every e LEFT JOIN {source} s USING (score_id, track_idx, bar) GROUP BY ALL) GROUP BY ALL)
+SELECT score_id, track_idx, CAST(tick AS BIGINT) AS tick, head, token, CAST(place AS INTEGER) AS place FROM (
+{poly(track, '0', 'ACTrack', 0)} UNION ALL {lengths(track, '0', 'ACTrack', 100)}
+UNION ALL SELECT score_id, track_idx, 0, 'ACTrack', 'ACTrackNoteDensity' || w || '_' || CASE w WHEN 'Min' THEN lo ELSE hi END, 200 + k FROM dens, (VALUES (0, 'Min'), (1, 'Max')) v(k, w)
+UNION ALL SELECT score_id, track_idx, 0, 'ACTrack', 'ACTrackRepetition_' || format('{{:.2f}}', repetition), 300 FROM rep
+UNION ALL {poly(bar, 'bar_tick', 'ACBar', 100400)}
+UNION ALL SELECT score_id, track_idx, bar_tick, 'ACBar', 'ACBarPitchClass_' || pc, 100500 + row_number() OVER (PARTITION BY score_id, track_idx, bar ORDER BY pc) - 1 FROM (SELECT DISTINCT {bar}, pitch % 12 AS pc FROM {source})
+UNION ALL SELECT score_id, track_idx, bar_tick, 'ACBar', 'ACBarNoteDensity_' || CASE WHEN count(*) >= 18 THEN '18+' ELSE CAST(count(*) AS VARCHAR) END, 100600 FROM {source} GROUP BY {bar}
+UNION ALL {lengths(bar, 'bar_tick', 'ACBar', 100700)})"""
+
+
+register("control_tokens", f"WITH {N}, b AS (SELECT *, tick // 32 AS bar, tick - tick % 32 AS bar_tick FROM n), {controls('b', 8, repetition('b'))}")(
+    lambda s, sf: attributes.control_tokens(notes(s, sf), CONFIG.copy(**ALL_CONTROLS))
+)
+
+
+@register("controls_ts", f"WITH {N_TS}, {controls('n', 16, repetition('n', BAR_TS, START_TS, LENGTH_TS))}")
+def controls_ts(spark: SparkSession, sf: str) -> DataFrame:
+    score = signed(spark, sf)
+    return attributes.control_tokens(score.notes, SIGNED.copy(**ALL_CONTROLS), score.time_sigs)
+
+
+WIDE_TS = TokenizerConfig(use_programs=True, use_tempos=True, use_time_signatures=True, additional_params={"max_bar_embedding": 400})
+OCTUPLE_TS = f"""{N_TS}, {TEMPOS.replace('r.tick // 60', 'r.tick // 30')}, o AS (SELECT n.*, t.qpm, CAST(row_number() OVER (PARTITION BY n.score_id ORDER BY n.tick, track_idx, ord) - 1 AS BIGINT) AS pos
+  FROM n ASOF JOIN tempos t ON n.score_id = t.score_id AND n.tick >= t.tick)"""
+register("octuple_rows_ts", f"""WITH {OCTUPLE_TS} SELECT score_id, 0 AS stream, pos, tick, [{PITCH}, 'Position_' || ((tick - bar_tick) // step), 'Bar_' || bar, 'Velocity_' || velocity, 'Duration_' || {bin_name('(dur // step)')},
+  'Program_' || program, 'Tempo_' || qpm, 'TimeSig_' || sig] AS tokens FROM o""")(lambda s, sf: compound.octuple(score_tables(s, sf, True), WIDE_TS))
+# a change counts from the bar of the first note that has it
+register("decode_octuple_ts", f"""WITH {OCTUPLE_TS}, f AS (SELECT score_id, min(bar) FILTER (sig = '3/4') AS b3, min(bar) FILTER (sig = '6/8') AS b6 FROM o GROUP BY score_id)
+SELECT score_id, 0 AS stream, program, is_drum, dur, pitch, velocity, CAST(tick - bar_tick + CASE sig WHEN '4/4' THEN bar * 64 WHEN '3/4' THEN b3 * 64 + (bar - b3) * 48 ELSE b3 * 64 + (b6 - b3) * 48 + (bar - b6) * 48 END AS BIGINT) AS tick
+FROM o JOIN f USING (score_id)""")(lambda s, sf: decode.decode_octuple(compound.octuple(score_tables(s, sf, True), WIDE_TS), WIDE_TS))
+register("cpword_rows_ts", f"""WITH {N_TS}, m AS (SELECT *, lag(tick) OVER w AS lt, coalesce(lag(bar) OVER w, -1) AS lb FROM n WINDOW w AS (PARTITION BY score_id, track_idx ORDER BY ord)),
+e AS (SELECT *, list_concat(list_concat([['Family_Metric', 'Bar_None', 'Ignore_None', 'Ignore_None', 'Ignore_None', 'TimeSig_' || CASE WHEN x < 80 THEN '4/4' WHEN x < 130 THEN '3/4' ELSE '6/8' END] for x in range(lb + 1, bar + 1)],
+   CASE WHEN lt IS NULL OR lt <> tick THEN [['Family_Metric', 'Position_' || ((tick - bar_tick) // step), 'Ignore_None', 'Ignore_None', 'Ignore_None', 'Ignore_None']] ELSE [] END),
+   [['Family_Note', 'Ignore_None', {PITCH}, 'Velocity_' || velocity, 'Duration_' || {bin_name('(dur // step)')}, 'Ignore_None']]) AS rows FROM m)
+SELECT score_id, track_idx AS stream, CAST(row_number() OVER (PARTITION BY score_id, track_idx ORDER BY ord, k) - 1 AS BIGINT) AS pos, tick, tokens
+FROM (SELECT *, unnest(rows) AS tokens, generate_subscripts(rows, 1) AS k FROM e)""")(lambda s, sf: compound.cpword(score_tables(s, sf, True), SIGNED))
+register("decode_cpword_ts", f"WITH {N_TS} SELECT score_id, track_idx AS stream, is_drum, tick, dur, pitch, velocity FROM n")(
+    lambda s, sf: decode.decode_cpword(compound.cpword(score_tables(s, sf, True), SIGNED), SIGNED).select("score_id", "stream", "is_drum", "tick", "dur", "pitch", "velocity")
 )
 
 # --- encoders
@@ -317,7 +415,7 @@ SELECT score_id, md5(array_to_string(flatten(list(tokens ORDER BY stream)), ' ')
 
 @register("full_options_remi")
 def full_options_remi(spark: SparkSession, sf: str) -> DataFrame:
-    """Rests, tempos, time signatures, programs and intervals together; tests hold it against a walk of one score."""
+    """Rests, tempos, time signatures, programs and intervals together; tests decode such sequences note by note."""
     c = TokenizerConfig(use_rests=True, use_tempos=True, use_time_signatures=True, use_programs=True, use_pitch_intervals=True)
     return encode.token_rows(encode.encode(score_tables(spark, sf, True), "REMI", c))
 
@@ -337,6 +435,13 @@ x AS (SELECT *, lag(place) OVER (PARTITION BY score_id, stream ORDER BY pos) AS
 SELECT score_id, stream, CAST(sum(CASE WHEN token LIKE 'Position%' AND place <= last THEN 1 ELSE 0 END) AS BIGINT) AS n_errors FROM x GROUP BY ALL""")(
     lambda s, sf: validate.time_errors(tokens(s, sf, "REMI").where(~F.col("token").startswith("Bar") | (F.col("pos") % 3 != 0))).groupBy("score_id", "stream").agg(F.sum("error").cast("long").alias("n_errors"))
 )
+register("token_errors", f"""WITH {TSD}, t AS (SELECT score_id, stream, pos, split_part(token, '_', 1) AS type FROM ({exploded('e', 'ord')}) {HOLES}),
+x AS (SELECT *, lag(type) OVER (PARTITION BY score_id, stream ORDER BY pos) AS before FROM t),
+y AS (SELECT score_id, stream, count(*) AS n_tokens, CAST(sum(CASE WHEN before IS NULL OR (before, type) IN (('Pitch','Velocity'),('PitchDrum','Velocity'),('Velocity','Duration'),('Duration','Pitch'),('Duration','PitchDrum'),
+ ('Duration','TimeShift'),('TimeShift','Pitch'),('TimeShift','PitchDrum'),('TimeShift','TimeShift')) THEN 0 ELSE 1 END) AS BIGINT) AS n_errors FROM x GROUP BY ALL)
+SELECT *, n_errors / n_tokens AS ratio FROM y""")(
+    lambda s, sf: validate.error_ratio(tokens(s, sf, "TSD").where("pos % 7 <> 3"), Vocabulary("TSD", CONFIG)).withColumn("n_errors", F.col("n_errors").cast("long"))
+)
 register("token_errors_zero", f"WITH {REMI} SELECT score_id, stream, count(*) AS n_tokens, CAST(0 AS BIGINT) AS n_errors, CAST(0 AS DOUBLE) AS ratio FROM ({exploded('e', 'ord')}) GROUP BY ALL")(
     lambda s, sf: validate.error_ratio(tokens(s, sf, "REMI"), Vocabulary("REMI", CONFIG)).withColumn("n_errors", F.col("n_errors").cast("long"))
 )
@@ -380,6 +485,13 @@ SELECT score_id, p AS pitch_offset FROM t, o WHERE (p < 0 AND lo + p >= 21) OR (
     lambda s, sf: augment.allowed_pitch_offsets(notes(s, sf).withColumns({"pitch": F.col("pitch") % 12 + 60, "program": F.when(F.col("is_drum"), -1).otherwise(0)}), [-40, -12, 7, 36, 48])
 )
 
+register("augment_notes_tessitura", f"""WITH {N}, {TESS_ALL}, o AS (SELECT unnest([-12, -5, 5, 12]) AS p), q AS (SELECT * REPLACE (CASE WHEN is_drum THEN -1 ELSE program % 40 END AS program, CASE WHEN is_drum THEN pitch ELSE 50 + pitch % 24 END AS pitch) FROM n),
+room AS (SELECT score_id, min(greatest(hi - top, 0)) AS up, min(greatest(low - lo, 0)) AS down FROM (SELECT score_id, track_idx, program, min(pitch) AS low, max(pitch) AS top FROM q WHERE NOT is_drum GROUP BY ALL) JOIN tess USING (program) GROUP BY score_id)
+SELECT score_id, p AS pitch_offset, count(*) AS n, CAST(sum(CASE WHEN is_drum THEN pitch ELSE pitch + p END) AS BIGINT) AS total FROM q JOIN room USING (score_id), o WHERE p BETWEEN -down AND up GROUP BY ALL""")(
+    lambda s, sf: augment.augment(notes(s, sf).withColumns({"program": F.when(F.col("is_drum"), -1).otherwise(F.col("program") % 40), "pitch": F.when(F.col("is_drum"), F.col("pitch")).otherwise(50 + F.col("pitch") % 24)}), 8, [-12, -5, 5, 12], keep_original=False)
+    .groupBy("score_id", "pitch_offset").agg(F.count("*").alias("n"), F.sum("pitch").cast("long").alias("total"))
+)
+
 # --- splitting and batching
 
 SEQ = f"{TSD}, s AS (SELECT score_id, stream, CAST(count(*) AS INTEGER) AS n FROM (SELECT score_id, stream, unnest(tokens) FROM e) GROUP BY ALL)"
@@ -405,7 +517,7 @@ for side in ("right", "left"):
 register("shifted_labels", f"WITH {SEQ}, p AS (SELECT *, max(n - 1) OVER (PARTITION BY score_id) AS m FROM s) SELECT score_id, stream, md5(array_to_string(list_concat(range(2, n + 1), [-100 for i in range(m - n + 1)]), ',')) AS labels, CAST(m AS BIGINT) AS length FROM p")(
     lambda s, sf: batch.collate(_ids(s, sf), "ids", ["score_id"], 0, copy_labels=True, shift_labels=True).select("score_id", "stream", F.md5(F.array_join(F.col("labels").cast("array<string>"), ",").cast("binary")).alias("labels"), F.size("labels").cast("long").alias("length"))
 )
-register("avg_tokens_per_note", f"WITH {SEQ}, t AS (SELECT score_id, sum(n) AS k FROM s GROUP BY score_id), c AS (SELECT score_id, count(*) AS m FROM n GROUP BY score_id) SELECT round(avg(k / m), 9) AS tokens_per_note FROM (SELECT * FROM t JOIN c USING (score_id) ORDER BY score_id LIMIT 200)")(
+register("avg_tokens_per_note", f"WITH {SEQ}, t AS (SELECT score_id, sum(n) AS k FROM s GROUP BY score_id), c AS (SELECT score_id, count(*) AS m FROM n GROUP BY score_id) SELECT round(avg(k / m), 9) AS tokens_per_note FROM t JOIN c USING (score_id)")(
     lambda s, sf: split.tokens_per_note(_ids(s, sf).groupBy("score_id").agg(F.sum(F.size("ids")).alias("n_tokens")), notes(s, sf)).select(F.round("tokens_per_note", 9).alias("tokens_per_note"))
 )
 register("split_by_beats", f"WITH {N} SELECT score_id, track_idx, tick // 128 AS part, tick % 128 AS tick, pitch FROM n")(lambda s, sf: split.per_beats(notes(s, sf), 8, 16).select("score_id", "track_idx", "part", "tick", "pitch"))
@@ -414,10 +526,41 @@ SELECT score_id % 10 AS grp, score_id, track_idx, CAST(tick + s AS BIGINT) AS ti
     lambda s, sf: (lambda n: split.concat_scores(n, "score_id", ["grp"], n.groupBy("grp", "score_id").agg(F.max(F.col("tick") + F.col("dur")).alias("end"))))(notes(s, sf).withColumn("grp", F.col("score_id") % 10)).select("grp", "score_id", "track_idx", "tick", "pitch")
 )
 register("split_per_tracks", f"WITH {N} SELECT score_id, track_idx, CAST(dense_rank() OVER (PARTITION BY score_id ORDER BY track_idx) - 1 AS INTEGER) AS part, tick, pitch FROM n")(lambda s, sf: split.per_tracks(notes(s, sf)).select("score_id", "track_idx", "part", "tick", "pitch"))
-register("merge_per_class", f"""WITH {RAW}, c AS (SELECT *, CASE WHEN is_drum THEN 16 ELSE program // 8 END AS cl FROM raw)
-SELECT score_id, min(track_idx) AS track_idx, CAST(CASE WHEN cl = 16 THEN -1 ELSE cl * 8 END AS INTEGER) AS program, count(*) AS n FROM c GROUP BY score_id, cl""")(
-    lambda s, sf: split.merge_per_class(notes_view(s, sf), filter_pitches=False).groupBy("score_id", "track_idx", "program").agg(F.count("*").alias("n"))
-)
+register("merge_per_class", f"""WITH {RAW}, {TESS_ALL}, c AS (SELECT *, CASE WHEN is_drum THEN 16 ELSE program // 8 END AS cl FROM (SELECT * REPLACE (CASE WHEN is_drum THEN -1 ELSE (program * 5) % 24 END AS program) FROM raw)),
+k AS (SELECT score_id, cl, track_idx FROM (SELECT *, row_number() OVER (PARTITION BY score_id, cl ORDER BY c DESC, track_idx) AS r FROM (SELECT score_id, cl, track_idx, count(*) AS c FROM c GROUP BY score_id, cl, track_idx)) WHERE cl <> 1 OR r <= 1),
+m AS (SELECT score_id, CASE WHEN cl = 2 THEN track_idx ELSE min(track_idx) OVER (PARTITION BY score_id, cl) END AS track_idx, CASE WHEN cl = 16 THEN -1 WHEN cl = 2 THEN program WHEN cl = 0 THEN 3 ELSE cl * 8 END AS program, is_drum, pitch FROM c JOIN k USING (score_id, cl, track_idx))
+SELECT score_id, track_idx, CAST(m.program AS INTEGER) AS program, count(*) AS n FROM m LEFT JOIN tess ON tess.program = m.program
+WHERE CASE WHEN is_drum THEN pitch BETWEEN 27 AND 88 ELSE pitch BETWEEN lo AND hi END GROUP BY ALL""")(
+    lambda s, sf: split.merge_per_class(notes_view(s, sf).withColumn("program", F.when(F.col("is_drum"), -1).otherwise(F.col("program") * 5 % 24)), most={1: 1}, classes=[0, 1, 16], programs={0: 3}).groupBy("score_id", "track_idx", "program").agg(F.count("*").alias("n"))
+)
+
+
+@register("merge_effects", f"""WITH {RAW}, p AS (SELECT DISTINCT score_id, track_idx, CASE WHEN is_drum THEN -1 ELSE program % 3 END AS program FROM raw), m AS (SELECT *, min(track_idx) OVER (PARTITION BY score_id, program) AS first FROM p),
+e AS (SELECT l_suppkey AS score_id, CAST(l_linenumber - 1 AS INTEGER) AS track_idx, CAST(datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) * 120 AS BIGINT) AS tick, l_quantity, l_discount, (l_partkey * 37) % 16384 - 8192 AS value FROM lineitem),
+r AS (SELECT score_id, track_idx, 'pedal' AS kind, tick, CAST(l_quantity * 60 AS BIGINT) AS value FROM e WHERE l_quantity > 40 UNION ALL SELECT score_id, track_idx, 'bend', tick, max(value) FROM e WHERE l_discount > 0.085 GROUP BY ALL)
+SELECT score_id, first AS track_idx, kind, count(*) AS n, CAST(sum(tick) AS BIGINT) AS ticks, CAST(sum(value) AS BIGINT) AS total FROM r JOIN m USING (score_id, track_idx) GROUP BY ALL""")
+def merge_effects(spark: SparkSession, sf: str) -> DataFrame:
+    score = score_tables(spark, sf, with_effects=True)
+    score.notes = score.notes.withColumn("program", F.when(F.col("is_drum"), -1).otherwise(F.col("program") % 3))
+    merged = preprocess.merge_same_program_tracks(score)
+    pedals = merged.pedals.select("score_id", "track_idx", F.lit("pedal").alias("kind"), "tick", F.col("dur").alias("value"))
+    rows = pedals.unionByName(merged.bends.select("score_id", "track_idx", F.lit("bend").alias("kind"), "tick", F.col("value").cast("long").alias("value")))
+    return rows.groupBy("score_id", "track_idx", "kind").agg(F.count("*").alias("n"), F.sum("tick").alias("ticks"), F.sum("value").alias("total"))
+
+
+@register("split_score_parts", f"""WITH {RAW}, k AS (SELECT * FROM (VALUES (0, 0, 200000), (1, 200000, 300000), (2, 250000, 1000000000)) v(part, start, stop)),
+s AS (SELECT score_id, unnest([{{'tick': 0, 'num': 4, 'den': 4}}, {{'tick': 153600, 'num': 3, 'den': 4}}, {{'tick': 225600, 'num': 6, 'den': 8}}]) AS s FROM (SELECT DISTINCT score_id FROM raw)),
+g AS (SELECT score_id, s.tick AS tick, s.num AS num, s.den AS den, lead(s.tick, 1, 1000000000) OVER (PARTITION BY score_id ORDER BY s.tick) AS until FROM s)
+SELECT score_id, part, 'note' AS kind, CAST(sum(tick - start) AS BIGINT) AS ticks, count(*) AS n, CAST(sum(pitch) AS BIGINT) AS total FROM raw, k WHERE tick >= start AND tick < stop GROUP BY score_id, part
+UNION ALL SELECT score_id, part, 'time_sig', CAST(sum(greatest(tick - start, 0)) AS BIGINT), count(*), CAST(sum(num * 100 + den) AS BIGINT) FROM g, k WHERE tick < stop AND start < until GROUP BY score_id, part""")
+def split_score_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts that overlap, with the time signature in force at the beginning of each."""
+    score = score_tables(spark, sf, True)
+    three = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("stop")) for i, a, b in ((0, 0, 200_000), (1, 200_000, 300_000), (2, 250_000, 10**9))])
+    parts = score.notes.select("score_id").distinct().select("score_id", F.explode(three).alias("p")).select("score_id", "p.*")
+    made = split.split_score(score, parts)
+    total = lambda df, kind, value: df.groupBy("score_id", "part").agg(F.lit(kind).alias("kind"), F.sum("tick").cast("long").alias("ticks"), F.count("*").alias("n"), F.sum(value).cast("long").alias("total"))
+    return total(made.notes, "note", F.col("pitch")).unionByName(total(made.time_sigs, "time_sig", F.col("num") * 100 + F.col("den")))
 
 
 register("score_programs", f"""WITH {RAW}, t AS (SELECT DISTINCT score_id, track_idx, program, is_drum FROM raw)
@@ -428,8 +571,15 @@ register("empty_tracks", f"""WITH {RAW}, late AS (SELECT * FROM raw WHERE tick >
 SELECT DISTINCT score_id, track_idx FROM raw WHERE NOT EXISTS (SELECT 1 FROM late WHERE late.score_id = raw.score_id AND late.track_idx = raw.track_idx)""")(
     lambda s, sf: tracks.empty_tracks(notes_view(s, sf).select("score_id", "track_idx").distinct(), Score(notes_view(s, sf).where("tick > 424000 and pitch > 60")))
 )
-register("octuple_errors", f"""WITH {N} SELECT score_id, CAST(0 AS INTEGER) AS stream, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_errors FROM n GROUP BY score_id""")(
-    lambda s, sf: validate.row_errors(compound.octuple(score_tables(s, sf, True), WIDE), 1, 2).withColumn("n_errors", F.col("n_errors").cast("long"))
+# every fifth row says a bar three bars early
+register("octuple_errors", f"""WITH {N}, o AS (SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY tick, track_idx, ord) - 1 AS pos, tick // 32 AS bar, tick % 32 AS place FROM n),
+m AS (SELECT *, (bar - CASE WHEN pos % 5 = 4 THEN 3 ELSE 0 END) * 32 + place AS spot FROM o), x AS (SELECT *, max(spot) OVER (PARTITION BY score_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM m)
+SELECT score_id, CAST(0 AS INTEGER) AS stream, count(*) AS n_rows, count(*) FILTER (spot < most) AS n_errors FROM x GROUP BY score_id""")(
+    lambda s, sf: validate.octuple_errors(
+        compound.octuple(score_tables(s, sf, True), WIDE).withColumn(
+            "tokens", F.transform("tokens", lambda t, i: F.when((i == 2) & (F.col("pos") % 5 == 4), F.concat(F.lit("Bar_"), F.split(t, "_")[1].cast("int") - 3)).otherwise(t))
+        )
+    ).withColumn("n_errors", F.col("n_errors").cast("long"))
 )
 register("split_by_ticks", f"WITH {RAW} SELECT score_id, track_idx, CAST(CASE WHEN tick >= 300000 THEN 2 WHEN tick >= 200000 THEN 1 ELSE 0 END AS INTEGER) AS part, CASE WHEN tick >= 300000 THEN tick - 300000 WHEN tick >= 200000 THEN tick - 200000 ELSE tick END AS tick, pitch FROM raw")(
     lambda s, sf: split.per_ticks(notes_view(s, sf), [300_000, 200_000]).select("score_id", "track_idx", "part", F.col("tick").cast("long").alias("tick"), "pitch")
@@ -439,25 +589,58 @@ r AS (SELECT score_id, stream, token, count(*) - 1 AS again FROM m WHERE token L
 SELECT score_id, stream, CAST(sum(again) AS BIGINT) AS errors FROM r GROUP BY ALL""")(
     lambda s, sf: validate.repeated_notes(tokens(s, sf, "REMI"))
 )
-register("sampled_bars")(lambda s, sf: attributes.sample_rows(attributes.with_bar(notes(s, sf), 8).select(*attributes.BAR).distinct(), ["score_id", "track_idx"], 0.3, 7, ["bar"]))
-register("control_tokens")(
-    lambda s, sf: attributes.control_tokens(notes(s, sf), CONFIG.copy(**{k: True for k in ("ac_polyphony_track", "ac_polyphony_bar", "ac_pitch_class_bar", "ac_note_density_track", "ac_note_density_bar", "ac_note_duration_bar", "ac_note_duration_track", "ac_repetition_track")}))
-)
+register("sampled_bars", f"""WITH {BARRED}, d AS (SELECT DISTINCT score_id, track_idx, bar FROM b),
+r AS (SELECT *, count(*) OVER (PARTITION BY score_id, track_idx) AS n, row_number() OVER (PARTITION BY score_id, track_idx ORDER BY md5('7:' || bar), bar) AS r FROM d)
+SELECT score_id, track_idx, bar FROM r WHERE r <= round_even(n * 0.3, 0)""")(lambda s, sf: attributes.sample_rows(attributes.with_bar(notes(s, sf), 8).select(*attributes.BAR).distinct(), ["score_id", "track_idx"], 0.3, 7, ["bar"]))
 
 
 # --- folds, models and files: rows only
 
-register("ts_alignment")(lambda s, sf: preprocess.align_time_signatures(score_tables(s, sf, True).time_sigs, TokenizerConfig(use_time_signatures=True), 480))
+# signatures off the bar lines: k-th change of a score at (k + 1) * 5000 + score ticks, of every second score 4/4 at first
+OFF_LINES = "off AS (SELECT s AS score_id, k, CAST((k + 1) * 5000 + s % 997 AS BIGINT) AS tick, CASE (s + k) % 4 WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN 7 ELSE 4 END AS num, CASE (s + k) % 4 WHEN 1 THEN 8 ELSE 4 END AS den FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem), range(6) r(k))"
+
+
+@register("ts_alignment", f"""WITH RECURSIVE {OFF_LINES}, c AS (SELECT score_id, CAST(tick * 16 // 480 AS BIGINT) AS tick, num, den, row_number() OVER (PARTITION BY score_id ORDER BY tick) AS i FROM off WHERE num <> 7),
+w AS (SELECT score_id, 0 AS i, CAST(0 AS BIGINT) AS tick, 4 AS num, 4 AS den FROM (SELECT DISTINCT score_id FROM c)
+  UNION ALL SELECT w.score_id, w.i + 1, CASE WHEN c.num = w.num AND c.den = w.den AND w.tick + ceil((c.tick - w.tick) / (w.num * 64 / w.den)) * (w.num * 64 / w.den) = w.tick THEN w.tick
+    ELSE CAST(w.tick + ceil((c.tick - w.tick) / (w.num * 64 / w.den)) * (w.num * 64 / w.den) AS BIGINT) END, c.num, c.den FROM w JOIN c ON c.score_id = w.score_id AND c.i = w.i + 1)
+SELECT score_id, tick, num, den FROM (SELECT *, lead(tick) OVER (PARTITION BY score_id ORDER BY i) AS after FROM w) WHERE after IS NULL OR after <> tick""")
+def ts_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    score, k = F.col("l_suppkey"), F.col("k")
+    rows = table(spark, sf, "lineitem").select("l_suppkey").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    kind = (score + k) % 4
+    num = F.when(kind == 0, 3).when(kind == 1, 6).when(kind == 2, 7).otherwise(4)
+    off = rows.select(score.alias("score_id"), ((k + 1) * 5000 + score % 997).alias("tick"), num.alias("num"), F.when(kind == 1, 8).otherwise(4).alias("den"))
+    return preprocess.align_time_signatures(off, SIGNED, 480)
+
+
 CHORDS = TokenizerConfig(use_chords=True, chord_unknown=(3, 6))
 register("chords")(lambda s, sf: folds.chords(notes(s, sf).withColumn("tick", F.floor(F.col("tick") / 32).cast("long") * 32), CHORDS))
-register("density_split")(lambda s, sf: split.density_chunks(grid.notes_per_bar(notes(s, sf), 8), 256, 4.0))
+DENSITY = """bars AS (SELECT score_id, bar, n_notes * 4.0::DOUBLE AS k, sum(n_notes * 4.0::DOUBLE) OVER (PARTITION BY score_id ORDER BY bar) AS upto, max(bar) OVER (PARTITION BY score_id) AS last FROM per_bar),
+f AS (SELECT score_id, CAST(0 AS BIGINT) AS here, CAST(0 AS BIGINT) AS start, CAST(NULL AS BIGINT) AS first_bar, CAST(NULL AS BIGINT) AS last_bar FROM (SELECT DISTINCT score_id FROM bars)
+  UNION ALL SELECT score_id, here + 1, CASE WHEN cut THEN greatest(start + 1, stop - CASE WHEN alone THEN 0 ELSE {overlap} END) ELSE start END, CASE WHEN cut THEN start END, CASE WHEN cut THEN stop - 1 END
+  FROM (SELECT *, held > {most} AND stop <= last AS cut FROM (SELECT *, CASE WHEN NOT alone AND {overlap} = 0 AND {most} - (held - k) < k / 2 THEN here ELSE here + 1 END AS stop
+    FROM (SELECT f.score_id, f.here, f.start, b.k, b.last, b.upto - s.upto + s.k AS held, f.here = f.start AS alone FROM f JOIN bars b ON b.score_id = f.score_id AND b.bar = f.here JOIN bars s ON s.score_id = f.score_id AND s.bar = f.start)))),
+done AS (SELECT score_id, first_bar, last_bar FROM f WHERE first_bar IS NOT NULL
+  UNION ALL SELECT f.score_id, f.start, b.last FROM f JOIN bars b ON b.score_id = f.score_id AND b.bar = b.last AND f.here = b.last + 1 JOIN bars s ON s.score_id = f.score_id AND s.bar = f.start WHERE b.upto - s.upto + s.k >= {most} // 4)
+SELECT score_id, CAST(row_number() OVER (PARTITION BY score_id ORDER BY first_bar, last_bar) - 1 AS INTEGER) AS chunk, CAST(first_bar AS INTEGER) AS first_bar, CAST(last_bar AS INTEGER) AS last_bar FROM done"""
+for name, overlap in (("density_split", 1), ("density_split_apart", 0)):
+    register(name, f"WITH RECURSIVE per_bar AS ({_per_bar('score_id')}), {DENSITY.format(overlap=overlap, most=100)}")(
+        lambda s, sf, overlap=overlap: split.density_chunks(grid.notes_per_bar(notes(s, sf), 8), 100, 4.0, overlap)
+    )
 PERTOK = TokenizerConfig(additional_params={"ticks_per_quarter": 220, "use_microtiming": True, "max_microtiming_shift": 0.25, "num_microtiming_bins": 110})
 
 
 @register("pertok_tokens")
 def pertok_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    fine = notes_view(spark, sf).withColumns({c: F.rint(F.col(c) * 220 / 480).cast("long") for c in ("tick", "dur")})
-    return folds.pertok(fine, PERTOK)
+    return folds.pertok(preprocess.preprocess_fine(score_tables(spark, sf), PERTOK, 220), PERTOK)
+
+
+@register("pertok_ts")
+def pertok_ts(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars as the time signatures have them, with tempos and programs, in one stream."""
+    config = PERTOK.copy(use_time_signatures=True, use_tempos=True, use_programs=True)
+    return folds.pertok(preprocess.preprocess_fine(score_tables(spark, sf, True), config, 220), config)
 
 
 def _bar_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -483,12 +666,13 @@ for kind in ("BPE", "WordPiece", "Unigram"):
 
 
 @register("bpe_roundtrip", f"""WITH {REMI}, t AS ({exploded('e', 'ord')}), b AS (SELECT *, sum(CASE WHEN token = 'Bar_None' THEN 1 ELSE 0 END) OVER (PARTITION BY score_id, stream ORDER BY pos ROWS UNBOUNDED PRECEDING) AS bar FROM t)
-SELECT score_id, stream, CAST(bar AS BIGINT) AS bar, count(*) AS n_ids FROM b GROUP BY ALL""")
+SELECT score_id, stream, CAST(bar AS BIGINT) AS bar, md5(string_agg(token, ' ' ORDER BY pos)) AS digest FROM b GROUP BY score_id, stream, bar""")
 def bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     words = _bar_words(spark, sf)
-    base = len(Vocabulary("REMI", CONFIG))
-    model = SubwordModel.train(words, "BPE", base, base + 60)
-    return model.decode(model.encode(words)).select("score_id", "stream", F.col("bar").cast("long").alias("bar"), F.size("ids").cast("long").alias("n_ids"))
+    vocabulary = Vocabulary("REMI", CONFIG)
+    model = SubwordModel.train(words, "BPE", len(vocabulary), len(vocabulary) + 60)
+    tokens_ = F.array_join(F.transform("ids", lambda i: vocabulary.token_of(i)), " ")
+    return model.decode(model.encode(words)).select("score_id", "stream", F.col("bar").cast("long").alias("bar"), F.md5(tokens_.cast("binary")).alias("digest"))
 
 
 @register("midi_roundtrip", f"""WITH {RAW}, a AS (SELECT *, row_number() OVER (PARTITION BY score_id, track_idx, pitch ORDER BY tick, dur, velocity) AS k FROM raw),
@@ -501,6 +685,31 @@ def midi_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("path").cast("long").alias("score_id"), "program", "is_drum", "tick", "dur", F.col("a").alias("pitch"), F.col("b").alias("velocity"))
 
 
+@register("midi_roundtrip_full", f"""WITH {RAW}, a AS (SELECT *, row_number() OVER (PARTITION BY score_id, track_idx, pitch ORDER BY tick, dur, velocity) AS k FROM raw),
+z AS (SELECT score_id, track_idx, pitch, tick + dur AS until, row_number() OVER (PARTITION BY score_id, track_idx, pitch ORDER BY tick + dur) AS k FROM raw),
+who AS (SELECT DISTINCT score_id, track_idx, program FROM raw),
+e AS (SELECT l_suppkey AS score_id, CAST(l_linenumber - 1 AS INTEGER) AS track_idx, CAST(datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) * 120 AS BIGINT) AS tick, l_quantity, l_discount, (l_partkey * 37) % 16384 - 8192 AS value FROM lineitem),
+p AS (SELECT score_id, track_idx, tick, CAST(l_quantity * 60 AS BIGINT) AS dur FROM e WHERE l_quantity > 40),
+pm AS (SELECT *, max(tick + dur) OVER (PARTITION BY score_id, track_idx ORDER BY tick, dur ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p),
+pi AS (SELECT *, sum(CASE WHEN before >= tick THEN 0 ELSE 1 END) OVER (PARTITION BY score_id, track_idx ORDER BY tick, dur ROWS UNBOUNDED PRECEDING) AS island FROM pm),
+pd AS (SELECT score_id, track_idx, min(tick) AS tick, max(tick + dur) - min(tick) AS dur FROM pi GROUP BY score_id, track_idx, island),
+b AS (SELECT score_id, track_idx, tick, max(value) AS value FROM e WHERE l_discount > 0.085 GROUP BY ALL),
+s AS (SELECT DISTINCT score_id FROM raw)
+SELECT a.score_id, 'note' AS kind, program, tick, until - tick AS dur, pitch AS a, velocity AS b, 0.0::DOUBLE AS qpm FROM a JOIN z USING (score_id, track_idx, pitch, k)
+UNION ALL SELECT score_id, 'pedal', program, tick, dur, -9999, -9999, 0.0 FROM pd JOIN who USING (score_id, track_idx)
+UNION ALL SELECT score_id, 'bend', program, tick, -9999, CAST(value AS INTEGER), -9999, 0.0 FROM b JOIN who USING (score_id, track_idx)
+UNION ALL SELECT score_id, 'tempo', -9999, k.tick, -9999, -9999, -9999, round(6e7 / round_even(6e7 / (60.0 + (score_id * k.m) % 150), 0), 6) FROM s, (VALUES (0, 7), (153600, 11), (225600, 13)) k(tick, m)
+UNION ALL SELECT score_id, 'time_sig', -9999, k.tick, -9999, k.num, k.den, 0.0 FROM s, (VALUES (0, 4, 4), (153600, 3, 4), (225600, 6, 8)) k(tick, num, den)""")
+def midi_roundtrip_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes, tempos, time signatures, pedals (those that touch as one) and bends written as MIDI files and read again."""
+    score = score_tables(spark, sf, True, True)
+    score.pedals = preprocess.islands(score.pedals, preprocess.TRACK)
+    files = midi.to_files(score).select(F.col("score_id").cast("string").alias("path"), "content")
+    rows = midi.parse_files(files).where("kind in ('note', 'pedal', 'bend', 'tempo', 'time_sig')")
+    none = lambda c: F.coalesce(c, F.lit(-9999)).alias(c)
+    return rows.select(F.col("path").cast("long").alias("score_id"), "kind", none("program"), "tick", none("dur"), none("a"), none("b"), F.round(F.coalesce("qpm", F.lit(0.0)), 6).alias("qpm"))
+
+
 register("tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")(lambda s, sf: windows.tumbling(table(s, sf, "events")))
 register("user_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +23,29 @@ OFF = {
 }
 
 
+@dataclass(frozen=True)
+class Tokenization:
+    """A tokenization of one's own, registered by name in OWN.
+
+    tokens(config): its vocabulary after the special tokens.  encode(score, config): rows (score_id, stream, pos, tick,
+    token) of a preprocessed score.  walk(tokens, config): notes (program, is_drum, tick, dur, pitch, velocity) of one
+    sequence.  graph(config): type -> types that may follow; none is forbidden without.  off: options that it never has.
+    """
+
+    tokens: Callable[[TokenizerConfig], list[str]]
+    encode: Callable
+    walk: Callable[[list[str], TokenizerConfig], list[tuple]]
+    graph: Callable[[TokenizerConfig], dict[str, set[str]]] = lambda config: {}
+    off: tuple[str, ...] = ()
+
+
+OWN: dict[str, Tokenization] = {}
+
+
 def effective(kind: str, config: TokenizerConfig) -> TokenizerConfig:
     """The options as the tokenization takes them."""
-    changes: dict = {k: False for k in OFF.get(kind, ()) if getattr(config, k)}
+    off = OWN[kind].off if kind in OWN else OFF.get(kind, ())
+    changes: dict = {k: False for k in off if getattr(config, k)}
     if kind == "MuMIDI":
         changes["use_programs"] = True
     return config.copy(**changes) if changes else config
@@ -37,8 +59,8 @@ class Vocabulary:
     """Tokens of a tokenization in order of id: special, base, attribute controls.  With several vocabularies, one list each."""
 
     def __init__(self, kind: str, config: TokenizerConfig, base: str = "REMI"):
-        if kind not in KINDS:
-            raise ValueError(f"{kind}: one of {', '.join(KINDS)}")
+        if kind not in KINDS and kind not in OWN:
+            raise ValueError(f"{kind}: one of {', '.join([*KINDS, *OWN])}")
         self.kind, self.config, self.base = kind, effective(kind, config), base
 
     # --- token groups
@@ -122,6 +144,8 @@ class Vocabulary:
     def lists(self) -> list[list[str]]:
         """One list of tokens a vocabulary."""
         c, special = self.config, self.special()
+        if self.kind in OWN:
+            return [list(dict.fromkeys([*special, *OWN[self.kind].tokens(c), *self._attribute_controls()]))]
         if self.kind in MULTI:
             return [special + v for v in self._compound()]
         if self.kind == "MMM":
@@ -185,7 +209,8 @@ class Vocabulary:
 
     def rows(self) -> list[tuple]:
         """(voc, id, token, type, value, char): char is the letter of an id in subword training."""
-        return [(v, i, t, t.split("_", 1)[0], t.split("_", 1)[1], chr(i + 33)) for v, tokens in enumerate(self.lists) for i, t in enumerate(tokens)]
+        letter = lambda i: chr(i + 33 if i + 33 < 0xD800 else i + 33 + 0x800)
+        return [(v, i, t, t.split("_", 1)[0], t.split("_", 1)[1], letter(i)) for v, tokens in enumerate(self.lists) for i, t in enumerate(tokens)]
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), "voc int, id int, token string, type string, value string, char string")
@@ -204,6 +229,8 @@ class Vocabulary:
     def graph(self) -> dict[str, set[str]]:
         """Token type -> types that may follow it; empty where a tokenization does not restrict them."""
         c, g = self.config, {}
+        if self.kind in OWN:
+            return {k: set(v) for k, v in OWN[self.kind].graph(c).items()}
         if self.kind == "MMM":
             g = Vocabulary(self.base, c).graph()
             for v in g.values():

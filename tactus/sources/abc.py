@@ -8,8 +8,11 @@ from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-NOTES = "path string, tune int, title string, track_idx int, program int, is_drum boolean, tick long, dur long, pitch int, velocity int"
+from tactus.sources.tables import Score
+
+NOTES = "path string, tune int, title string, track_idx int, program int, is_drum boolean, tick long, dur long, pitch int, velocity int, num int, den int"
 TPQ = 480
 STEPS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 SHARPS, MODES = "FCGDAEB", {"maj": 0, "ion": 0, "": 0, "mix": -1, "dor": -2, "m": -3, "min": -3, "aeo": -3, "phr": -4, "loc": -5, "lyd": 1}
@@ -141,6 +144,14 @@ def parse_tune(text: str) -> tuple[str, tuple[int, int], list[tuple[int, int, in
     return title, meter, [(int(t * TPQ), int(d * TPQ), p) for t, d, p in notes]
 
 
+def to_score(rows: DataFrame) -> Score:
+    """Tables of parsed tunes at TPQ ticks a quarter, with their meter; score_id is a hash of path and tune."""
+    rows = rows.withColumn("score_id", F.xxhash64("path", "tune"))
+    meters = rows.groupBy("score_id").agg(F.first("num").alias("num"), F.first("den").alias("den"))
+    notes = rows.select("score_id", "track_idx", "program", "is_drum", "tick", "dur", "pitch", "velocity")
+    return Score(notes, time_sigs=meters.select("score_id", F.lit(0).cast("long").alias("tick"), "num", "den"), tpq=TPQ, source=rows)
+
+
 def read_abc(spark: SparkSession, path: str) -> DataFrame:
     """Notes of all .abc files below a path; a file may hold many tunes, told apart by their X: field."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[aA][bB][cC]").option("recursiveFileLookup", "true").load(path)
@@ -150,7 +161,7 @@ def read_abc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, content in zip(b["path"], b["content"], strict=True):
                 tunes = [t for t in re.split(r"(?m)^(?=X:)", bytes(content).decode("utf-8", "replace")) if t.startswith("X:")]
-                rows = [(name, i, title, 0, 0, False, t, d, p, 100) for i, tune in enumerate(tunes) for title, _, notes in [parse_tune(tune)] for t, d, p in notes]
+                rows = [(name, i, title, 0, 0, False, t, d, p, 100, *meter) for i, tune in enumerate(tunes) for title, meter, notes in [parse_tune(tune)] for t, d, p in notes]
                 yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, NOTES)

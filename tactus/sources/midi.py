@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import struct
 from collections import defaultdict, deque
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ from tactus.sources.tables import Score
 ROWS = "path string, tpq int, kind string, track_idx int, program int, is_drum boolean, tick long, dur long, a int, b int, qpm double, text string"
 
 
+#: Rows of parsed files that leave a task together.
+BATCH_ROWS = 50_000
+
+
 class MidiError(ValueError):
     pass
 
@@ -139,23 +145,29 @@ def read_midi(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_files(files: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in ROWS.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+    types = [kinds[x.split()[1]] for x in ROWS.split(", ")]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
+            held: list[tuple] = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
-                    tpq, rows = parse(bytes(content))
-                    rows = [(path, tpq, *r) for r in rows]
+                    tpq, rows = parse(content.as_py())
+                    held += [(path, tpq, *r) for r in rows]
                 except (MidiError, struct.error, IndexError) as e:
-                    rows = [(path, None, "error", *[None] * 8, str(e))]
-                out = pd.DataFrame(rows, columns=names)
-                for c in ("tpq", "track_idx", "program", "a", "b"):
-                    out[c] = out[c].astype("Int32")
-                for c in ("tick", "dur"):
-                    out[c] = out[c].astype("Int64")
-                yield out.astype({"is_drum": "boolean"})
+                    held.append((path, None, "error", *[None] * 8, str(e)))
+                if len(held) >= BATCH_ROWS:
+                    yield table(held)
+                    held = []
+            if held:
+                yield table(held)
 
-    return files.mapInPandas(run, ROWS)
+    return files.select("path", "content").mapInArrow(run, ROWS)
 
 
 def to_score(rows: DataFrame, tpq: int) -> Score:
@@ -165,7 +177,9 @@ def to_score(rows: DataFrame, tpq: int) -> Score:
     of = lambda kind: rows.where(F.col("kind") == kind)
     who = ["score_id", "track_idx"]
     notes = of("note").select(*who, "program", "is_drum", at("tick").alias("tick"), at("dur").alias("dur"), F.col("a").alias("pitch"), F.col("b").alias("velocity"))
-    return Score(notes, of("tempo").select("score_id", at("tick").alias("tick"), "qpm"), of("time_sig").select("score_id", at("tick").alias("tick"), F.col("a").alias("num"), F.col("b").alias("den")), of("pedal").select(*who, at("tick").alias("tick"), at("dur").alias("dur")), of("bend").select(*who, at("tick").alias("tick"), F.col("a").alias("value")), tpq, of("error").select("path", F.col("text").alias("error")))
+    tables = Score(notes, of("tempo").select("score_id", at("tick").alias("tick"), "qpm"), of("time_sig").select("score_id", at("tick").alias("tick"), F.col("a").alias("num"), F.col("b").alias("den")), of("pedal").select(*who, at("tick").alias("tick"), at("dur").alias("dur")), of("bend").select(*who, at("tick").alias("tick"), F.col("a").alias("value")), tpq, of("error").select("path", F.col("text").alias("error")))
+    tables.source = rows
+    return tables
 
 
 def _number(value: int) -> bytes:
@@ -189,9 +203,12 @@ def build(notes: list[tuple], tpq: int, tempos: list[tuple] = (), time_sigs: lis
     first = [(t, 0, b"\xff\x51\x03" + round(6e7 / q).to_bytes(3, "big")) for t, q in tempos or [(0, 120.0)]]
     first += [(t, 0, bytes([0xFF, 0x58, 4, n, d.bit_length() - 1, 24, 8])) for t, n, d in time_sigs or [(0, 4, 4)]]
     chunks, free = [_chunk(first)], deque(c for c in range(16) if c != 9)
-    for track in sorted({n[0] for n in notes}):
-        mine = [n for n in notes if n[0] == track]
-        drum, program = mine[0][2], mine[0][1]
+    held: dict[int, list] = defaultdict(list)
+    for n in notes:
+        held[n[0]].append(n)
+    for track in sorted({*held, *(p[0] for p in pedals), *(b[0] for b in bends)}):
+        mine = held[track]
+        drum, program = (mine[0][2], mine[0][1]) if mine else (False, 0)  # a track of pedals and bends alone has program 0
         channel = 9 if drum else free[0]
         free.rotate(-1) if not drum else None
         events = [(0, 0, bytes([0xC0 | channel, max(program, 0)]))]
@@ -205,15 +222,41 @@ def build(notes: list[tuple], tpq: int, tempos: list[tuple] = (), time_sigs: lis
     return b"MThd" + struct.pack(">IHHH", 6, 1, len(chunks), tpq) + b"".join(chunks)
 
 
-def to_files(notes: DataFrame, tpq: int) -> DataFrame:
-    """(score_id, content) of each score's notes as a MIDI file."""
+def to_files(score: Score | DataFrame, tpq: int | None = None) -> DataFrame:
+    """(score_id, content) of each score as a MIDI file, with tempos, time signatures, pedals and bends; or of notes alone.
+
+    All tables meet as rows of one shape, a score's in one group.
+    """
+    score = score if isinstance(score, Score) else Score(score)
+    tpq = tpq or score.tpq
+    none = F.lit(None)
+
+    def rows(df: DataFrame | None, kind: str, **columns: Column) -> DataFrame | None:
+        if df is None:
+            return None
+        shape = {"track_idx": none.cast("int"), "program": none.cast("int"), "is_drum": none.cast("boolean"), "dur": none.cast("long"), "a": none.cast("int"), "b": none.cast("int"), "qpm": none.cast("double")} | columns
+        return df.select("score_id", F.lit(kind).alias("kind"), F.col("tick").cast("long").alias("tick"), *[c.alias(k) for k, c in shape.items()])
+
+    track, dur = F.col("track_idx").cast("int"), F.col("dur").cast("long")
+    found = [
+        rows(score.notes, "note", track_idx=track, program=F.col("program").cast("int"), is_drum=F.col("is_drum"), dur=dur, a=F.col("pitch").cast("int"), b=F.col("velocity").cast("int")),
+        rows(score.tempos, "tempo", qpm=F.col("qpm")),
+        rows(score.time_sigs, "time_sig", a=F.col("num").cast("int"), b=F.col("den").cast("int")),
+        rows(score.pedals, "pedal", track_idx=track, dur=dur),
+        rows(score.bends, "bend", track_idx=track, a=F.col("value").cast("int")),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b), [f for f in found if f is not None])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["track_idx", "tick", "pitch", "dur", "velocity"], kind="stable")
-        rows = list(pdf[["track_idx", "program", "is_drum", "tick", "dur", "pitch", "velocity"]].itertuples(index=False, name=None))
-        return pd.DataFrame({"score_id": [pdf["score_id"].iloc[0]], "content": [build([tuple(map(int, r)) for r in rows], tpq)]})
+        def of(kind: str, *columns: str) -> list[tuple]:
+            part = pdf[pdf["kind"] == kind][list(columns)].sort_values(list(columns), kind="stable")
+            return [tuple(float(x) if c == "qpm" else int(x) for c, x in zip(columns, r, strict=True)) for r in part.itertuples(index=False, name=None)]
+
+        notes = [(t, program, drum, tick, dur, pitch, velocity) for t, tick, pitch, dur, velocity, program, drum in of("note", "track_idx", "tick", "a", "dur", "b", "program", "is_drum")]
+        content = build(notes, tpq, of("tempo", "tick", "qpm"), of("time_sig", "tick", "a", "b"), of("pedal", "track_idx", "tick", "dur"), of("bend", "track_idx", "tick", "a"))
+        return pd.DataFrame({"score_id": [pdf["score_id"].iloc[0]], "content": [content]})
 
-    return notes.groupBy("score_id").applyInPandas(run, "score_id long, content binary")
+    return every.groupBy("score_id").applyInPandas(run, "score_id long, content binary")
 
 
 def write_files(files: DataFrame, folder: str, name: str = "score_id") -> DataFrame:

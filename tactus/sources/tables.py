@@ -26,6 +26,8 @@ class Score:
     bends: DataFrame | None = None
     tpq: int = RAW_TPQ
     errors: DataFrame | None = field(default=None)
+    #: what the tables were made from, if it is kept: unpersist() it when they are no longer needed
+    source: DataFrame | None = field(default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,17 @@ def companions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tempos, signatures
 
 
-def score_tables(spark: SparkSession, sf_dir: str, with_globals: bool = False) -> Score:
+def effects_view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pedals and pitch bends for the scores of notes_view(): pedals from lines of more than 40 pieces, bends from discounts of 9 % and more, one a tick."""
+    lines = table(spark, sf_dir, "lineitem")
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    who = [F.col("l_suppkey").alias("score_id"), (F.col("l_linenumber") - 1).cast("int").alias("track_idx"), (days * 120).cast("long").alias("tick")]
+    pedals = lines.where("l_quantity > 40").select(*who, (F.col("l_quantity") * 60).cast("long").alias("dur"))
+    bends = lines.where("l_discount > 0.085").select(*who, ((F.col("l_partkey") * 37) % 16384 - 8192).cast("int").alias("value"))
+    return pedals, bends.groupBy("score_id", "track_idx", "tick").agg(F.max("value").alias("value"))
+
+
+def score_tables(spark: SparkSession, sf_dir: str, with_globals: bool = False, with_effects: bool = False) -> Score:
     tempos, signatures = companions(spark, sf_dir) if with_globals else (None, None)
-    return Score(notes_view(spark, sf_dir), tempos, signatures)
+    pedals, bends = effects_view(spark, sf_dir) if with_effects else (None, None)
+    return Score(notes_view(spark, sf_dir), tempos, signatures, pedals, bends)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENS = "score_id long, stream int, ids array<int>, ids_encoded boolean, programs array<int>"
+from tactus.operators.split import subsequences
+
+TOKENS = "score_id long, path string, stream int, ids array<int>, ids_encoded boolean, programs array<int>"
 
 
 def write_tokens(sequences: DataFrame, path: str, overwrite: bool = True, encoded: bool = False, as_json: bool = True) -> None:
@@ -17,3 +19,8 @@ def write_tokens(sequences: DataFrame, path: str, overwrite: bool = True, encode
 
 def read_tokens(spark: SparkSession, path: str, as_json: bool = True) -> DataFrame:
     return spark.read.schema(TOKENS).json(path) if as_json else spark.read.parquet(path)
+
+
+def split_files(spark: SparkSession, path: str, out: str, max_len: int, min_len: int = 1) -> None:
+    """Token files to token files of subsequences of max_len ids, with their `chunk`; a last one of min_len ids or fewer is left out."""
+    subsequences(read_tokens(spark, path), "ids", max_len, min_len).write.mode("overwrite").json(out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tactus.config import TokenizerConfig
 from tactus.operators import batch, folds, split
-from tactus.operators.subword import SubwordModel, apply_bpe, best_segmentation, fit_bpe, fit_unigram, fit_wordpiece, longest_first, to_chars, train_bpe, train_unigram, train_wordpiece
+from tactus.operators.subword import SubwordModel, apply_bpe, best_segmentation, fit_bpe, fit_unigram, fit_wordpiece, longest_first, to_chars, to_ids, train_bpe, train_unigram, train_wordpiece
 from tactus.sources import abc, midi, tokens
 from tactus.streaming import windows
 
@@ -66,17 +66,60 @@ def test_chords():
     assert find([0, 0, 0], [8, 8, 20], [60, 64, 67]) == []  # ends too far apart
     assert find([0, 0, 0], [8, 8, 8], [60, 61, 67]) == [(0, "ukn3")]
     assert find([0, 0, 0], [8, 8, 8], [60, 64, 67], TokenizerConfig(chord_tokens_with_root_note=True)) == [(0, "C:maj")]
+    # notes at the tick of the last of a group begin none: after ten of thirteen, the last three are no chord
+    assert find([0] * 13, [8] * 13, [*range(40, 50), 60, 64, 67]) == []
+    # a beat of an eighth is half as long
+    assert folds.find_chords(a(0, 0, 0), a(8, 8, 11), a(60, 64, 67), 8, config) == [(0, "maj")]
+    assert folds.find_chords(a(0, 0, 0), a(8, 8, 11), a(60, 64, 67), a(4, 4, 4), config) == []
+
+
+def test_chords_by_brute_force(spark):
+    """Against the rules, note by note."""
+    import numpy as np
+
+    config = TokenizerConfig(use_chords=True, chord_unknown=(3, 6))
+    rnd = random.Random(12)
+    names = {m: k for k, m in config.chord_maps.items()}
+
+    def walk(notes, tpb):
+        out, i, last = [], 0, None
+        while i < len(notes):
+            if notes[i][0] == last:
+                i += 1
+                continue
+            group = [n for n in notes[i : i + 10] if n[0] <= notes[i][0] + tpb / 4]
+            if any(abs(n[1] - group[0][1]) > tpb // 2 for n in group):
+                i += len(group)
+                continue
+            if group[0][1] - group[0][0] <= tpb // 2:
+                group = [n for n in group if n[0] == group[0][0]]
+            steps = tuple(n[2] - group[0][2] for n in group)
+            if 3 <= len(steps) <= 5 and steps[-1] <= 24:
+                out.append((group[0][0], names.get(steps, f"ukn{len(steps)}")))
+            last, i = group[-1][0], i + len(group)
+        return out
+
+    for _ in range(300):
+        notes = sorted((t, t + rnd.choice([2, 4, 8, 9, 10]), rnd.choice([60, 63, 64, 67, 70])) for t in (rnd.randrange(0, 12) for _ in range(rnd.randint(1, 25))))
+        notes = sorted(set(notes), key=lambda n: (n[0], n[2], n[1]))
+        t, e, p = (np.array(x) for x in zip(*notes, strict=True))
+        assert folds.find_chords(t, e, p, 8, config) == walk(notes, 8)
 
 
 def test_pertok_round_trip():
     config = TokenizerConfig(additional_params={"ticks_per_quarter": 220, "max_microtiming_shift": 0.25, "num_microtiming_bins": 110})
     rnd = random.Random(3)
-    rows = sorted((rnd.randint(0, 9000), rnd.choice([55, 110, 220, 440]), rnd.randint(40, 80), 99, False) for _ in range(200))
-    found = folds.pertok_notes([t for _, t in folds.pertok_tokens(rows, config)], config)
-    assert len(found) == len(rows)
-    for (t, d, p, v, _), (t2, d2, p2, v2, _) in zip(rows, found, strict=True):
-        assert (d, p, v) == (d2, p2, v2) and abs(t - t2) <= 110  # within half a beat
-    assert sum(abs(a[0] - b[0]) for a, b in zip(rows, found, strict=True)) / len(rows) < 3
+    rows = sorted((rnd.randint(0, 9000), rnd.choice([55, 110, 220, 440]), rnd.randint(40, 80), 99, False, 3) for _ in range(200))
+    for c, signatures in ((config, ()), (config.copy(use_time_signatures=True, use_programs=True), [(0, 4, 4), (1760, 3, 4), (3740, 6, 8)])):
+        tokens = [t for _, t in folds.pertok_tokens(rows, c, signatures, [(0, 120.0)])]
+        found = folds.pertok_notes(tokens, c)
+        assert len(found) == len(rows)
+        for (t, d, p, v, _, _), (t2, d2, p2, v2, _, program) in zip(rows, found, strict=True):
+            assert (d, p, v) == (d2, p2, v2) and abs(t - t2) <= 110 and program == (3 if c.use_programs else None)  # within half a beat
+        assert sum(abs(a[0] - b[0]) for a, b in zip(rows, found, strict=True)) / len(rows) < 3
+        last = max(r[0] for r in rows)
+        bars = -(-last // 880) if not signatures else 2 + 3 + -(-(last - 3740) // 660)
+        assert abs(tokens.count("Bar_None") - bars) <= 1 and tokens.count("Tempo_120.0") == 1
 
 
 @pytest.mark.parametrize("kind", ["BPE", "WordPiece", "Unigram"])
@@ -118,9 +161,35 @@ def test_segmentations():
 
 
 def test_letters(spark):
-    ids = [0, 5, 93, 94, 95, 300, 700]
+    ids = [0, 5, 93, 94, 95, 300, 700, 2014, 2015, 30_000, 0xD800 - 34, 0xD800 - 33, 63_454, 63_455, 100_000]
     got = spark.createDataFrame([(ids,)], "ids array<int>").select(to_chars(F.col("ids")).alias("s")).collect()[0]["s"]
-    assert got == "".join(chr(i + 33) for i in ids)
+    assert got == "".join(chr(i + 33 if i + 33 < 0xD800 else i + 33 + 2048) for i in ids) and to_ids(got) == ids
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bpe_is_that_of_the_library(seed):
+    """Merges and encodings of the tokenizers library on the same words, letters standing for ids."""
+    from tokenizers import Tokenizer as Library
+    from tokenizers import models, pre_tokenizers, trainers
+
+    rnd = random.Random(seed)
+    words = [[min(int(rnd.expovariate(0.4)), 11) for _ in range(rnd.randint(1, 14))] for _ in range(400)]
+    counts = {}
+    for w in words:
+        counts[tuple(w)] = counts.get(tuple(w), 0) + 1
+    letter = lambda w: "".join(chr(65 + i) for i in w)
+    theirs = Library(models.BPE())
+    theirs.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    theirs.train_from_iterator([letter(w) for w in words], trainers.BpeTrainer(vocab_size=60, min_frequency=2, initial_alphabet=[chr(65 + i) for i in range(12)], show_progress=False))
+    merges = train_bpe([(list(w), n) for w, n in counts.items()], 12, 60)
+    made = {i: (i,) for i in range(12)}
+    for a, b, new in merges:
+        made[new] = made[a] + made[b]
+    rank = {(a, b): (i, new) for i, (a, b, new) in enumerate(merges)}
+    vocab = theirs.get_vocab()
+    assert len(vocab) == 12 + len(merges) and {letter(p) for p in made.values()} == set(vocab)
+    for w in words:
+        assert [letter(made[i]) for i in apply_bpe(w, rank)] == theirs.encode(letter(w)).tokens
 
 
 def test_collator(spark):
@@ -143,6 +212,53 @@ def test_density_chunks_cover_all_bars(spark):
     assert all(a["first_bar"] < b["first_bar"] for a, b in zip(chunks, chunks[1:], strict=False))
 
 
+def test_density_chunks_keep_all_but_a_short_end(spark):
+    chunks = lambda counts, **o: [(r["first_bar"], r["last_bar"]) for r in split.density_chunks(spark.createDataFrame([(1, b, n) for b, n in enumerate(counts)], "score_id long, bar long, n_notes long"), 100, 1.0, **o).orderBy("chunk").collect()]
+    assert chunks([10, 200, 60, 60], overlap=0) == [(0, 0), (1, 1), (2, 3)]
+    assert chunks([10, 200, 60, 60, 5], overlap=0) == [(0, 0), (1, 1), (2, 3)]  # an end of less than a quarter goes
+    assert chunks([5]) == [] and chunks([30]) == [(0, 0)]
+
+    def walk(tokens, most, overlap):  # bar by bar
+        out, start, bar, held = [], 0, 0, 0
+        while bar < len(tokens):
+            if held + tokens[bar] > most:
+                alone = bar == start
+                stop = bar if not alone and not overlap and most - held < tokens[bar] / 2 else bar + 1
+                if stop < len(tokens):
+                    out.append((start, stop - 1))
+                    start = max(start + 1, stop - (0 if alone else overlap))
+                    held = sum(tokens[start : bar + 1])
+                else:
+                    held += tokens[bar]
+            else:
+                held += tokens[bar]
+            bar += 1
+        return [*out, (start, len(tokens) - 1)] if held >= most // 4 else out
+
+    rnd = random.Random(3)
+    for overlap in (0, 1, 3):
+        counts = [rnd.choice([0, 5, 20, 45, 80, 130]) for _ in range(60)]
+        assert chunks(counts, overlap=overlap) == walk(counts, 100, overlap)
+
+
+def test_parts_of_scores(spark):
+    from tactus.sources.tables import NOTES, Score
+
+    notes = spark.createDataFrame([(1, 0, 5, False, t, 480, 60, 9) for t in range(0, 9600, 480)], NOTES)
+    sigs = spark.createDataFrame([(1, 0, 4, 4), (1, 3840, 3, 4)], "score_id long, tick long, num int, den int")
+    pedals = spark.createDataFrame([(1, 0, 4000, 100)], "score_id long, track_idx int, tick long, dur long")
+    score = Score(notes, time_sigs=sigs, pedals=pedals)
+    parts = split.beat_parts(score, 8)
+    assert [(r["start"], r["stop"]) for r in parts.orderBy("part").collect()][:2] == [(0, 3840), (3840, 7680)]
+    made = split.split_score(score, parts)
+    assert sorted((r["part"], r["tick"]) for r in made.notes.collect()) == sorted((t // 3840, t % 3840) for t in range(0, 9600, 480))
+    assert sorted((r["part"], r["tick"], r["num"]) for r in made.time_sigs.collect()) == [(0, 0, 4), (1, 0, 3), (2, 0, 3)]
+    assert [(r["part"], r["tick"]) for r in made.pedals.collect()] == [(1, 160)]
+    assert split.beat_parts(score, 8, least=4).count() == 2
+    cut = split.split_score(score, split.tick_parts(notes.select("score_id").distinct(), [1000]))
+    assert {r["part"] for r in cut.notes.collect()} == {0, 1} and cut.notes.count() == 20
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.repartition(1).write.parquet(str(tmp_path / "in"))
@@ -161,8 +277,8 @@ def test_tracks_and_scores(spark):
     notes = spark.createDataFrame([(1, 0, 5, False, 0, 1, 60, 9), (1, 2, -1, True, 4, 1, 36, 9)], NOTES)
     assert [tuple(p) for p in tracks.programs(notes).collect()[0]["programs"]] == [(5, False), (-1, True)]
     names = spark.createDataFrame([(1, 2, "drums"), (1, 0, "piano")], "score_id long, track_idx int, name string")
-    merged, name = tracks.merge_tracks(notes, names)
-    assert {r["track_idx"] for r in merged.collect()} == {0} and name.collect()[0]["name"] == "piano / drums"
+    merged, name = tracks.merge_tracks(Score(notes), names)
+    assert {r["track_idx"] for r in merged.notes.collect()} == {0} and name.collect()[0]["name"] == "piano / drums"
     assert tracks.empty_tracks(names.select("score_id", "track_idx").union(spark.createDataFrame([(1, 1)], "score_id long, track_idx int")), Score(notes)).collect()[0]["track_idx"] == 1
     assert tracks.merge_scores([Score(notes), Score(notes)]).notes.count() == 4
     with pytest.raises(ValueError, match="different"):
@@ -184,5 +300,6 @@ def test_fits_in_spark_and_in_memory_are_the_same(spark, monkeypatch):
     rnd = random.Random(5)
     counts = list({tuple(rnd.choices(range(6), [8, 4, 2, 1, 1, 1], k=rnd.randint(1, 12))): rnd.randint(1, 9) for _ in range(300)}.items())
     df = spark.createDataFrame([(list(w), n) for w, n in counts], "ids array<int>, n long")
-    for fit, train in ((fit_bpe, train_bpe), (fit_wordpiece, train_wordpiece), (fit_unigram, train_unigram)):
-        assert fit(df, 6, 30) == train(counts, 6, 30)
+    for fit, train in ((fit_bpe, train_bpe), (fit_wordpiece, train_wordpiece)):
+        assert fit(df, 6, 30, in_memory=0) == fit(df, 6, 30) == train(counts, 6, 30)
+    assert fit_unigram(df, 6, 30) == train_unigram(counts, 6, 30)

@@ -1,13 +1,14 @@
 """Golden cases of the grid and of duplicates, fixpoints, and round trips with many options."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tactus.config import TokenizerConfig
 from tactus.functions.columns import greedy, nearest
-from tactus.operators import decode, encode, grid, preprocess, validate
+from tactus.operators import attributes, decode, encode, grid, preprocess, tracks, validate
 from tactus.plans.vocab import KINDS, Vocabulary, effective
 from tactus.sources.tables import NOTES, Score, score_tables
 
@@ -98,6 +99,7 @@ OPTIONS = [
     {"use_pitch_intervals": True, "use_rests": True},
     {"use_programs": True, "program_changes": True},
     {"use_pitchdrum_tokens": False},
+    {"use_rests": True, "use_tempos": True, "use_time_signatures": True, "use_programs": True, "use_pitch_intervals": True},
 ]
 
 
@@ -151,3 +153,93 @@ def test_pedals_bends_and_empty_tables(spark, sf):
     empty = Score(notes.where("false"))
     for kind in ("TSD", "REMI", "MIDILike", "Structured"):
         assert encode.token_rows(encode.encode(empty, kind, TokenizerConfig())).count() == 0
+
+
+def test_bars_of_time_signatures(spark):
+    sig = spark.createDataFrame([(1, 4000, 3, 4), (1, 8000, 6, 8), (2, 0, 0, 4)], "score_id long, tick long, num int, den int")
+    ends = spark.createDataFrame([(1, 9000), (2, 0)], "score_id long, end long")
+    # 4/4 until the first signature; bars that a change cuts off count
+    bars = [r["tick"] for r in grid.grid_ticks(sig, ends, 480, only_onsets=True).where("score_id = 1").orderBy("idx").collect()]
+    assert bars == [0, 1920, 3840, 4000, 5440, 6880, 8000]
+    rows = spark.createDataFrame([(1, t) for t in (0, 1919, 1920, 3999, 4000, 5440, 7999, 8000, 9000)], "score_id long, tick long")
+    found = [(r["bar"], r["bar_tick"], r["num"]) for r in grid.with_bars(rows, 480, grid.complete(sig)).orderBy("tick").collect()]
+    assert found == [(0, 0, 4), (0, 0, 4), (1, 1920, 4), (2, 3840, 4), (3, 4000, 3), (4, 5440, 3), (5, 6880, 3), (6, 8000, 6), (6, 8000, 6)]
+    assert [r["end"] for r in grid.last_onsets(rows, sig).orderBy("score_id").collect()] == [9000, 0]
+
+
+def test_bars_by_brute_force(spark, sf):
+    """Notes a bar in changing signatures, against a walk of one score."""
+    config = TokenizerConfig(use_time_signatures=True)
+    pre = preprocess.preprocess(score_tables(spark, sf, True), config)
+    notes = [r["tick"] for r in pre.notes.where("score_id = 3").select("tick").collect()]
+    sigs = sorted((r["tick"], r["num"], r["den"]) for r in pre.time_sigs.where("score_id = 3").collect())
+    bars, tick, k = [], 0, 0
+    while tick <= max(notes):
+        while k + 1 < len(sigs) and sigs[k + 1][0] <= tick:
+            k += 1
+        bars.append(tick)
+        tick += sigs[k][1] * 4 * config.tpq // sigs[k][2]
+    want = [sum(a <= t < b for t in notes) for a, b in zip(bars, [*bars[1:], tick], strict=True)]
+    got = [r["n_notes"] for r in grid.notes_per_bar(pre.notes, config.tpq, time_sigs=pre.time_sigs).where("score_id = 3").orderBy("bar").collect()]
+    assert got == want
+
+
+def test_effects_of_merged_tracks(spark):
+    notes = spark.createDataFrame([(1, 0, 5, False, 0, 480, 60, 100), (1, 1, 5, False, 960, 480, 64, 100), (1, 2, 7, False, 0, 480, 50, 90)], NOTES)
+    pedals = spark.createDataFrame([(1, 1, 960, 200), (1, 9, 0, 100)], "score_id long, track_idx int, tick long, dur long")
+    bends = spark.createDataFrame([(1, 1, 960, -8192), (1, 2, 0, 4000)], "score_id long, track_idx int, tick long, value int")
+    config = TokenizerConfig(use_programs=True, use_sustain_pedals=True, use_pitch_bends=True)
+    pre = preprocess.preprocess(Score(notes, pedals=pedals, bends=bends), config)
+    assert sorted(r["track_idx"] for r in pre.pedals.collect()) == [0, 9] and sorted(r["track_idx"] for r in pre.bends.collect()) == [0, 2]
+    tokens = [r["token"] for r in encode.token_rows(encode.encode(pre, "TSD", config, preprocessed=True)).orderBy("pos").collect()]
+    assert tokens.count("Pedal_5") == 1 and "PitchBend_-8192" in tokens and tokens[tokens.index("PitchBend_-8192") - 1] == "Program_5"
+    whole, name = tracks.merge_tracks(Score(notes, pedals=pedals, bends=bends), spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "score_id long, track_idx int, name string"))
+    assert {r["track_idx"] for df in (whole.notes, whole.pedals, whole.bends) for r in df.collect()} == {0}
+    assert {r["program"] for r in whole.notes.collect()} == {5} and name.collect()[0]["name"] == "a / b"
+    first, _ = tracks.merge_tracks(Score(notes, pedals=pedals, bends=bends), effects=False)
+    assert first.notes.count() == 3 and first.pedals.count() == 0
+
+
+def test_on_off_pairs_with_orphans_and_max_duration(spark):
+    tokens = ["NoteOff_60", "NoteOn_60", "Velocity_99", "TimeShift_1.0.8", "NoteOff_60", "NoteOff_60", "NoteOn_60", "Velocity_91", "TimeShift_4.0.4", "NoteOff_60", "NoteOn_62", "Velocity_95"]
+    rows = spark.createDataFrame([(1, 0, i, t) for i, t in enumerate(tokens)], "score_id long, stream int, pos long, token string")
+    pairs = lambda c: sorted((r["tick"], r["dur"], r["velocity"]) for r in decode.decode_on_off(rows, c).collect())
+    plain, short = TokenizerConfig(), TokenizerConfig(additional_params={"max_duration": (2, 0, 8)})
+    assert pairs(plain) == [(0, 8, 99), (8, 32, 91)]
+    assert pairs(short) == [(0, 8, 99), (8, 16, 91), (40, 16, 95)]
+    for c in (plain, short):
+        assert sorted((t, d, v) for _, _, t, d, _, v in decode.walk(tokens, "MIDILike", c)) == pairs(c)
+    errors = lambda c: tuple(validate.on_off_errors(rows, c).collect()[0])[2:]
+    assert errors(plain) == (2, 1, 0) and errors(short) == (2, 1, 1)
+
+
+def test_rows_with_errors(spark):
+    row = lambda p, place, bar, program: [f"Pitch_{p}", f"Position_{place}", f"Bar_{bar}", "Velocity_99", "Duration_1.0.8", f"Program_{program}"]
+    octuple = [row(60, 4, 1, 0), row(60, 4, 1, 0), row(60, 4, 1, 3), row(62, 2, 1, 0), row(62, 9, 0, 0), ["PAD_None"] * 6, row(62, 0, 2, 0)]
+    df = spark.createDataFrame([(1, 0, i, t) for i, t in enumerate(octuple)], "score_id long, stream int, pos long, tokens array<string>")
+    assert [r["n_errors"] for r in validate.octuple_errors(df).collect()] == [3]
+    assert [r["n_errors"] for r in validate.octuple_errors(df, 5, True).collect()] == [4]
+    line = lambda t, bar, place: [t, f"BarPosEnc_{bar}", f"PositionPosEnc_{place}", "Ignore_None", "Ignore_None"]
+    good = [line("Bar_None", 0, "None"), line("Position_4", 0, 4), line("Program_0", 0, 4), line("Pitch_60", 0, 4), line("Pitch_62", 0, 4), line("Position_6", 0, 6), line("Program_0", 0, 6), line("Pitch_60", 0, 6)]
+    bad = [*good, line("Position_5", 0, 5), line("Program_0", 0, 5), line("Pitch_61", 0, 5), line("Bar_None", 1, "None"), line("Pitch_61", 1, 3), line("MASK_None", 1, 3)]
+    voc = Vocabulary("MuMIDI", TokenizerConfig())
+    count = lambda x: validate.mumidi_errors(spark.createDataFrame([(1, 0, i, t) for i, t in enumerate(x)], df.schema), voc).collect()[0]["n_errors"]
+    assert count(good) == 0 and count(bad) == 3
+
+
+def test_repetition_by_brute_force(spark):
+    rnd = random.Random(5)
+    rows = [(1, 0, 0, False, rnd.randrange(0, 12) * 16, rnd.choice([8, 16, 40]), rnd.choice([60, 61]), 9) for _ in range(40)]
+    notes = spark.createDataFrame(rows, NOTES)
+    sigs = spark.createDataFrame([(1, 0, 4, 4), (1, 64, 2, 4), (1, 128, 4, 4)], "score_id long, tick long, num int, den int")
+    for signatures, starts in ((None, range(0, 400, 32)), (sigs, [0, 32, 64, 80, 96, 112, 128, 160, 192, 224])):
+        starts = [*starts]
+        bars = [s for s in starts if s <= max(r[4] for r in rows)]
+        until = max(r[4] + r[5] for r in rows)
+        cells = lambda i: {(t - starts[i], k, r[6]) for r in rows for k, t in ((0, r[4]), (1, r[4] + r[5])) if starts[i] <= t < starts[i + 1]}  # noqa: B023, E731
+        length = lambda i: starts[i + 1] - starts[i]  # noqa: B023, E731
+        found = [len(cells(i) & cells(j)) / len(cells(i)) for i in range(len(bars) - 1) if cells(i) for j in range(i + 1, min(len(bars), i + 4)) if length(i) == length(j) and starts[j + 1] <= until]
+        mean = sum(found) / len(found)
+        want = min((i / 9 for i in range(10)), key=lambda b: abs(b - mean))
+        got = attributes.repetition(notes, 8, 10, 4, signatures).collect()[0]["repetition"]
+        assert got == pytest.approx(want)
