@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tactus.config import TokenizerConfig
-from tactus.operators import attributes, augment, compound, decode, encode, folds, grid, preprocess, split, validate
+from tactus.operators import attributes, augment, compound, decode, encode, folds, grid, preprocess, sequences, split, validate
 from tactus.operators.subword import SubwordModel
 from tactus.plans.vocab import MULTI, OWN, Vocabulary, effective
 from tactus.sources import abc, midi, tokens
@@ -46,6 +46,18 @@ class Tokenizer:
         voc, item = item if isinstance(item, tuple) else (0, item)
         return self.vocabulary.lists[voc].index(item) if isinstance(item, str) else self.vocabulary.lists[voc][item]
 
+    def __repr__(self) -> str:
+        trained = f", {self.model.kind} model of {len(self.model)}" if self.model else ""
+        return f"Tokenizer({self.kind}, {len(self.vocabulary)} tokens in {len(self.vocabulary.lists)} vocabularies{trained})"
+
+    def __call__(self, data: Score | DataFrame | str, spark: SparkSession | None = None) -> DataFrame | Score:
+        """Sequences of a score or of the files below a path, or the score of sequences."""
+        if isinstance(data, Score):
+            return self.encode(data)
+        if isinstance(data, str):
+            return self.encode(self.read(spark or SparkSession.active(), data)[0])
+        return self.decode(data)
+
     @property
     def pad_token_id(self) -> int:
         return self["PAD_None"]
@@ -112,6 +124,16 @@ class Tokenizer:
         rows = encode.with_ids(rows, self.vocabulary).groupBy("score_id", "stream").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "id"))).alias("r"))
         return rows.select("score_id", "stream", F.transform("r", lambda r: r["token"]).alias("tokens"), F.transform("r", lambda r: r["id"]).alias("ids"))
 
+    def unknown_time_signatures(self, score: Score) -> DataFrame:
+        """(score_id, num, den) of the time signatures that the vocabulary does not have."""
+        known = self.config.time_signatures
+        rows = score.time_sigs if score.time_sigs is not None else split.default_signatures(score.notes)
+        return rows.where(~F.struct(F.col("num").cast("int"), F.col("den").cast("int")).isin(*[F.struct(F.lit(n), F.lit(d)) for n, d in known])).select("score_id", "num", "den").distinct()
+
+    def complete(self, rows: DataFrame) -> DataFrame:
+        """Sequences with ids, tokens and letters, each from the others; ids of the model become base ids."""
+        return sequences.complete(rows, self.vocabulary, self.model)
+
     def with_tokens(self, sequences: DataFrame) -> DataFrame:
         """(score_id, stream, tokens, ids) of (score_id, stream, ids)."""
         if "tokens" in sequences.columns:
@@ -244,11 +266,11 @@ class Tokenizer:
     def tokenize_dataset(self, spark: SparkSession, path: str, out: str, valid: Callable[[DataFrame], DataFrame] | None = None, overwrite: bool = True) -> None:
         """All MIDI and ABC files below a path to token files; files that can't be parsed, or that `valid` leaves out, are skipped."""
         score, paths = self.read(spark, path, valid)
-        sequences = self.encode(score)
+        rows = self.encode(score)
         programs = score.notes.groupBy("score_id").agg(F.sort_array(F.collect_set(F.when(F.col("is_drum"), -1).otherwise(F.col("program")))).alias("programs"))
         if self.model:
-            sequences = self.encode_ids(sequences)
-        named = sequences.join(programs, "score_id").join(paths.where("error is null").select("score_id", "path"), "score_id")
+            rows = self.encode_ids(rows)
+        named = rows.join(programs, "score_id").join(paths.where("error is null").select("score_id", "path"), "score_id")
         tokens.write_tokens(named.select("score_id", "path", "stream", "ids", "programs"), out, overwrite, self.model is not None)
 
     def augment_dataset(self, spark: SparkSession, path: str, out: str, *args, **options) -> DataFrame:  # noqa: ANN002, ANN003
@@ -294,9 +316,9 @@ class Tokenizer:
         label: a column over (path, stream, tokens, ids), by default null.
         """
         score, paths = self.read(spark, path)
-        sequences = self.encode(score).join(paths, "score_id", "right")
-        sequences = sequences.withColumn("labels", F.lit(None) if label is None else label)
-        return self.samples(sequences, max_len, bos, eos).select("path", "stream", "ids", "labels", "error")
+        rows = self.encode(score).join(paths, "score_id", "right")
+        rows = rows.withColumn("labels", F.lit(None) if label is None else label)
+        return self.samples(rows, max_len, bos, eos).select("path", "stream", "ids", "labels", "error")
 
     def samples(self, sequences: DataFrame, max_len: int, bos: str = "BOS_None", eos: str = "EOS_None") -> DataFrame:
         """Sequences cut to max_len with BOS and EOS; with a `marker` column, BOS on the first chunk only and EOS on the last."""

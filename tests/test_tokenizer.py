@@ -215,3 +215,33 @@ def test_datasets_of_files(spark, score, tmp_path):
     assert len(chunks) > 4
     back = midi.to_score(midi.read_midi(spark, str(tmp_path / "chunks")), 16)
     assert back.errors.isEmpty() and back.time_sigs.where("tick = 0").count() == len(chunks)
+
+
+def test_sequences(spark, score):
+    from tactus.operators import sequences
+
+    t = Tokenizer("TSD")
+    seqs = t(score).where("score_id = 1 and stream < 2").cache()
+    n = len(seqs.first()["ids"])
+    whole = t.complete(seqs.drop("tokens"))
+    assert whole.where("tokens is null or chars is null").isEmpty()
+    for kept in (("tokens",), ("chars",), ("ids",)):
+        again = t.complete(whole.select("score_id", "stream", *kept))
+        assert again.select("stream", "ids", "tokens", "chars").exceptAll(whole.select("stream", "ids", "tokens", "chars")).isEmpty()
+    part = sequences.cut(whole, 2, -3)
+    r, p = (x.where("stream = 0").first() for x in (whole, part))
+    assert p["ids"] == r["ids"][2:-3] and p["tokens"] == r["tokens"][2:-3] and p["chars"] == r["chars"][2:-3]
+    assert sequences.cut(whole, -2).where("stream = 0").first()["ids"] == r["ids"][-2:]
+    both = sequences.joined(whole.withColumn("k", F.lit(1)), ["k"], "stream").first()
+    assert both["ids"] == [i for x in sorted(whole.collect(), key=lambda x: x["stream"]) for i in x["ids"]] and len(both["chars"]) == len(both["ids"])
+    look = whole.where("stream = 0").select(sequences.length(F.col("ids"), F.col("tokens"), F.col("chars")).alias("n"), sequences.item(F.col("tokens"), -1).alias("last"), sequences.item(F.col("ids"), 10**6).alias("none")).first()
+    assert (look["n"], look["last"], look["none"]) == (len(r["ids"]), r["tokens"][-1], None) and n
+    pairs = spark.createDataFrame([((([1], None, "a")), ([1], ["x"], "a")), (([1], None, None), ([2], None, None)), (([1], None, None), (None, ["x"], None))], "a struct<ids:array<int>,tokens:array<string>,chars:string>, b struct<ids:array<int>,tokens:array<string>,chars:string>")
+    assert [x["s"] for x in pairs.select(sequences.same("a", "b").alias("s")).collect()] == [True, False, False]
+    t = Tokenizer("TSD", TokenizerConfig(encode_ids_split="no"))
+    t.train(seqs, len(t) + 10)
+    coded = t.encode_ids(seqs)
+    assert coded.where(~sequences.are_encoded(F.col("ids"), len(t.vocabulary))).isEmpty()
+    assert t.complete(coded.withColumn("ids_encoded", F.lit(True))).select("stream", "ids").exceptAll(seqs.select("stream", "ids")).isEmpty()
+    assert "BPE model" in repr(t) and t(seqs).notes.count() > 0
+    assert Tokenizer("TSD", TokenizerConfig(use_time_signatures=True, time_signature_range={4: [4]})).unknown_time_signatures(score).select("num").distinct().count() == 2
