@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tactus.config import TESSITURA, TokenizerConfig
+from tactus.config import CHORD_MAPS, TESSITURA, TokenizerConfig
 from tactus.operators import attributes, augment, batch, compound, decode, encode, folds, grid, preprocess, split, tracks, validate
 from tactus.operators.subword import SubwordModel
-from tactus.plans.vocab import Vocabulary
+from tactus.plans.vocab import Vocabulary, fine_durations, micro_timings
 from tactus.sources import midi
 from tactus.sources.tables import Score, notes_view, score_tables, table
 from tactus.streaming import windows
@@ -413,9 +413,29 @@ SELECT score_id, md5(array_to_string(flatten(list(tokens ORDER BY stream)), ' ')
 )
 
 
-@register("full_options_remi")
+def _unit_rests(gap: str, unit: str) -> str:
+    """Rest tokens of a gap in ticks, where an eighth of a beat is `unit` ticks."""
+    return rests(f"(({gap}) // {unit})")
+
+
+FULL = f"""{N_TS}, {TEMPOS.replace('r.tick // 60', 'r.tick // 30')}, a AS (SELECT *, lag(tick) OVER w AS lt, lag(pitch) OVER w AS lp FROM n WINDOW w AS (PARTITION BY score_id, track_idx ORDER BY ord)),
+i AS (SELECT *, last_value(CASE WHEN lt IS NULL OR lt <> tick OR abs(pitch - lp) > 16 THEN pitch END IGNORE NULLS) OVER (PARTITION BY score_id, track_idx ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ref FROM a),
+ev AS (SELECT score_id, tick, track_idx AS rank, ord AS place, 'Note' AS head, tick + dur AS until, CAST(NULL AS INTEGER) AS sig_den, ['Program_' || program, CASE WHEN is_drum THEN 'PitchDrum_' || pitch WHEN lt = tick AND abs(pitch - lp) <= 16 THEN 'PitchIntervalChord_' || (pitch - lp)
+    WHEN lt <> tick AND tick - lt <= 16 AND abs(pitch - ref) <= 16 THEN 'PitchIntervalTime_' || (pitch - ref) ELSE 'Pitch_' || pitch END, 'Velocity_' || velocity, 'Duration_' || {bin_name('(dur // step)')}] AS own FROM i
+  UNION ALL SELECT score_id, k.tick, -2, k.tick, 'TimeSig', k.tick, k.den, ['TimeSig_' || k.num || '/' || k.den] FROM (SELECT DISTINCT score_id FROM n), (VALUES (0, 4, 4), (5120, 3, 4), (7520, 6, 8)) k(tick, num, den)
+  UNION ALL SELECT score_id, tick, -1, tick, 'Tempo', tick, NULL, ['Tempo_' || qpm] FROM tempos WHERE score_id IN (SELECT score_id FROM n)),
+t1 AS (SELECT *, {BAR_TS.format(t='tick')} AS bar, CASE WHEN tick >= 7520 THEN 1 ELSE 2 END AS step, coalesce(lag(tick) OVER w, 0) AS prev, lag(tick) OVER w AS before, lag(head) OVER w AS last_head, coalesce(lag({BAR_TS.format(t='tick')}) OVER w, -1) AS lb,
+  coalesce(max(until) OVER (PARTITION BY score_id ORDER BY tick, rank, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended,
+  CASE coalesce(last_value(sig_den IGNORE NULLS) OVER (PARTITION BY score_id ORDER BY tick, rank, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4) WHEN 8 THEN 1 ELSE 2 END AS unit FROM ev WINDOW w AS (PARTITION BY score_id ORDER BY tick, rank, place)),
+t2 AS (SELECT *, CASE WHEN tick <> prev AND tick - ended >= unit THEN {_unit_rests('(tick - ended)', 'unit')} ELSE [] END AS rest, ended + (tick - ended) // unit * unit AS reached, before IS NULL OR before <> tick AS new_tick FROM t1),
+t3 AS (SELECT *, CASE WHEN len(rest) > 0 THEN greatest(lb, {BAR_TS.format(t='reached')}) ELSE lb END AS last_bar FROM t2),
+e AS (SELECT *, 0 AS stream, list_concat(list_concat(list_concat(rest, CASE WHEN new_tick AND bar > last_bar THEN flatten([CASE WHEN head = 'TimeSig' AND x = bar THEN ['Bar_None'] ELSE ['Bar_None', 'TimeSig_' || CASE WHEN x < 80 THEN '4/4' WHEN x < 130 THEN '3/4' ELSE '6/8' END] END for x in range(last_bar + 1, bar + 1)]) ELSE [] END),
+  CASE WHEN (new_tick OR last_head = 'TimeSig') AND head <> 'TimeSig' THEN ['Position_' || ((tick - {START_TS.format(b='bar')}) // step)] ELSE [] END), own) AS tokens FROM t3)"""
+
+
+@register("full_options_remi", f"WITH {FULL} {exploded('e', 'tick, rank, place')}")
 def full_options_remi(spark: SparkSession, sf: str) -> DataFrame:
-    """Rests, tempos, time signatures, programs and intervals together; tests decode such sequences note by note."""
+    """Rests, tempos, time signatures, programs and intervals together."""
     c = TokenizerConfig(use_rests=True, use_tempos=True, use_time_signatures=True, use_programs=True, use_pitch_intervals=True)
     return encode.token_rows(encode.encode(score_tables(spark, sf, True), "REMI", c))
 
@@ -615,7 +635,20 @@ def ts_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CHORDS = TokenizerConfig(use_chords=True, chord_unknown=(3, 6))
-register("chords")(lambda s, sf: folds.chords(notes(s, sf).withColumn("tick", F.floor(F.col("tick") / 32).cast("long") * 32), CHORDS))
+CHORD_NAMES = ", ".join(f"('{'-'.join(map(str, m))}', '{k}')" for k, m in CHORD_MAPS.items())
+# few ticks, lengths and pitches, so that there are chords; groups of notes that could be heard together, from each note; then hops from one group to the next
+register("chords", f"""WITH RECURSIVE {N}, q AS (SELECT score_id, track_idx, tick - tick % 64 AS tick, 8 + dur % 4 AS dur, [60, 63, 64, 67, 70][pitch % 5 + 1] AS pitch, velocity FROM n WHERE NOT is_drum),
+s AS (SELECT *, tick + dur AS stop, row_number() OVER (PARTITION BY score_id, track_idx ORDER BY tick, pitch, dur, velocity) AS i FROM q),
+g AS (SELECT a.score_id, a.track_idx, a.i, a.tick, count(*) AS many, max(CASE WHEN abs(b.stop - a.stop) > 4 THEN 1 ELSE 0 END) AS apart, count(*) FILTER (a.dur > 4 OR b.tick = a.tick) AS size,
+   max(b.tick) FILTER (a.dur > 4 OR b.tick = a.tick) AS last_tick, list(b.pitch - a.pitch ORDER BY b.i) FILTER (a.dur > 4 OR b.tick = a.tick) AS steps
+   FROM s a JOIN s b ON b.score_id = a.score_id AND b.track_idx = a.track_idx AND b.i BETWEEN a.i AND a.i + 9 AND b.tick <= a.tick + 2 GROUP BY a.score_id, a.track_idx, a.i, a.tick),
+h AS (SELECT score_id, track_idx, CAST(1 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS last, CAST(NULL AS BIGINT) AS tick, CAST(NULL AS INTEGER[]) AS steps FROM (SELECT DISTINCT score_id, track_idx FROM s)
+  UNION ALL SELECT h.score_id, h.track_idx, CASE WHEN g.tick = h.last THEN h.i + 1 WHEN apart = 1 THEN h.i + many ELSE h.i + size END, CASE WHEN g.tick = h.last OR apart = 1 THEN h.last ELSE last_tick END,
+    CASE WHEN g.tick <> h.last AND apart = 0 THEN g.tick END, CASE WHEN g.tick <> h.last AND apart = 0 THEN g.steps END FROM h JOIN g ON g.score_id = h.score_id AND g.track_idx = h.track_idx AND g.i = h.i)
+SELECT score_id, track_idx, tick, coalesce(name, 'ukn' || len(steps)) AS chord FROM h LEFT JOIN (VALUES {CHORD_NAMES}) c(key, name) ON array_to_string(steps, '-') = c.key
+WHERE len(steps) BETWEEN 3 AND 5 AND steps[-1] <= 24""")(
+    lambda s, sf: folds.chords(notes(s, sf).withColumns({"tick": F.col("tick") - F.col("tick") % 64, "dur": 8 + F.col("dur") % 4, "pitch": F.element_at(F.array(*map(F.lit, (60, 63, 64, 67, 70))), F.col("pitch") % 5 + 1)}), CHORDS)
+)
 DENSITY = """bars AS (SELECT score_id, bar, n_notes * 4.0::DOUBLE AS k, sum(n_notes * 4.0::DOUBLE) OVER (PARTITION BY score_id ORDER BY bar) AS upto, max(bar) OVER (PARTITION BY score_id) AS last FROM per_bar),
 f AS (SELECT score_id, CAST(0 AS BIGINT) AS here, CAST(0 AS BIGINT) AS start, CAST(NULL AS BIGINT) AS first_bar, CAST(NULL AS BIGINT) AS last_bar FROM (SELECT DISTINCT score_id FROM bars)
   UNION ALL SELECT score_id, here + 1, CASE WHEN cut THEN greatest(start + 1, stop - CASE WHEN alone THEN 0 ELSE {overlap} END) ELSE start END, CASE WHEN cut THEN start END, CASE WHEN cut THEN stop - 1 END
@@ -631,7 +664,26 @@ for name, overlap in (("density_split", 1), ("density_split_apart", 0)):
 PERTOK = TokenizerConfig(additional_params={"ticks_per_quarter": 220, "use_microtiming": True, "max_microtiming_shift": 0.25, "num_microtiming_bins": 110})
 
 
-@register("pertok_tokens")
+FINE = sorted({(t, n) for t, n in fine_durations(PERTOK)})
+_values = lambda rows: "VALUES " + ", ".join(f"({', '.join(repr(x) for x in r)})" for r in rows)
+# the error of each shift is carried on, so notes follow each other in a fold
+PERTOK_SQL = f"""{RAW}, {VEL}, fine AS (SELECT * FROM ({_values(FINE)}) v(t, name)), micro AS (SELECT * FROM ({_values([(m,) for m in micro_timings(PERTOK)])}) v(m)),
+near AS (SELECT v, t, name FROM (SELECT v, t, name, row_number() OVER (PARTITION BY v ORDER BY abs(t - v), t) AS r FROM range(0, 1400) r(v), fine) WHERE r = 1),
+mic AS (SELECT v, m FROM (SELECT v, m, row_number() OVER (PARTITION BY v ORDER BY abs(m - v), m) AS r FROM range(-1000, 1001) r(v), micro) WHERE r = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY score_id, track_idx ORDER BY tick, pitch, dur, velocity, is_drum, program) AS i, CAST(floor((tick + {min(t for t, _ in FINE) / 2}) / 880) AS BIGINT) AS bar FROM (
+  SELECT score_id, track_idx, program, is_drum, CAST(round_even(tick * 220 / 480.0, 0) AS BIGINT) AS tick, greatest(CAST(round_even(dur * 220 / 480.0, 0) AS BIGINT), 1) AS dur, pitch, vel.b AS velocity FROM raw JOIN vel ON vel.v = velocity
+  WHERE (is_drum AND pitch BETWEEN 27 AND 88) OR (NOT is_drum AND pitch BETWEEN 21 AND 109))),
+f AS (SELECT score_id, track_idx, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS previous, CAST(-1 AS BIGINT) AS bar, CAST(NULL AS BIGINT) AS shift, CAST(0 AS BIGINT) AS last_bar FROM (SELECT DISTINCT score_id, track_idx FROM n)
+  UNION ALL SELECT score_id, track_idx, i, CASE WHEN shift >= {min(t for t, _ in FINE) / 2} THEN start + near.t ELSE start END, bar, shift, last_bar
+  FROM (SELECT n.score_id, n.track_idx, n.i, n.bar, f.bar AS last_bar, greatest(f.previous, n.bar * 880) AS start, n.tick - greatest(f.previous, n.bar * 880) AS shift FROM f JOIN n ON n.score_id = f.score_id AND n.track_idx = f.track_idx AND n.i = f.i + 1) x JOIN near ON near.v = greatest(shift, 0)),
+e AS (SELECT n.score_id, n.track_idx AS stream, n.i, [{{'tick': b * 880, 'token': 'Bar_None'}} for b in range(f.last_bar + 1, n.bar + 1)] AS bars,
+  [{{'tick': n.tick, 'token': x}} for x in list_concat(CASE WHEN shift >= {min(t for t, _ in FINE) / 2} THEN ['TimeShift_' || near.name] ELSE [] END, [{PITCH}, 'Velocity_' || velocity, 'MicroTiming_' || mic.m, 'Duration_' || d.name])] AS own
+  FROM n JOIN f ON n.score_id = f.score_id AND n.track_idx = f.track_idx AND n.i = f.i JOIN near ON near.v = greatest(shift, 0) JOIN mic ON mic.v = n.tick - f.previous JOIN near d ON d.v = n.dur),
+u AS (SELECT score_id, stream, i, unnest(list_concat(bars, own)) AS x, generate_subscripts(list_concat(bars, own), 1) AS k FROM e)
+SELECT score_id, stream, CAST(row_number() OVER (PARTITION BY score_id, stream ORDER BY i, k) - 1 AS BIGINT) AS pos, x.tick AS tick, x.token AS token FROM u"""
+
+
+@register("pertok_tokens", f"WITH RECURSIVE {PERTOK_SQL}")
 def pertok_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return folds.pertok(preprocess.preprocess_fine(score_tables(spark, sf), PERTOK, 220), PERTOK)
 
