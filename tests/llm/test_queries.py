@@ -90,6 +90,17 @@ def test_media(spark, docs, sf):
         padded = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         r = found.loc[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        # the stored form, chunk by chunk as the PNG specification has it: no filter, rows of 192 grey samples
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        rows = b"".join(b"\0" + padded[k : k + 192] for k in range(0, len(padded), 192))
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 192, len(padded) // 192, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 1)) + chunk(b"IEND", b"")
+        assert (r["media_bytes"], r["media_sha256"]) == (len(png), hashlib.sha256(png).hexdigest())
+        p = [padded.count(v) / len(padded) for v in set(padded)]
+        cuts = [k * len(padded) // 72 for k in range(72)] + [len(padded)]
+        means = [sum(padded[a:b]) / (b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        rise = "".join("1" if means[9 * y + x + 1] > means[9 * y + x] else "0" for y in range(8) for x in range(8))
+        mean, entropy, bits = re.fullmatch(r"mean=([\d.]+);entropy=([\d.]+);rise=([0-9a-f]{16})", r["feature"]).groups()
+        assert abs(float(mean) - sum(padded) / len(padded)) < 1e-4 and abs(float(entropy) + sum(x * np.log2(x) for x in p)) < 1e-4 and int(bits, 2 * 8) == int(rise, 2)
 
 
 def test_token_counts(spark, docs, sf):
@@ -104,21 +115,26 @@ def test_mixing_meets_targets(spark, sf):
     by = found.groupby("source", dropna=False).agg(size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"), own=("size", "sum"))
     assert (by["own"] == by["size"]).all() and ((by["taken"] - by["target"]).abs() <= 0.5).all()
     assert (found["taken"] <= 3 * found["size"]).all() and by["target"].sum() == pytest.approx(by["size"].sum())
-    # targets by resharing, round after round
-    names = sorted(by.index)
+    target = targets(by["size"].to_dict())
+    assert all(by["target"][s] == pytest.approx(target[s]) for s in target)
+
+
+def targets(sizes):
+    """Targets by resharing, round after round."""
+    names = sorted(sizes)
     weight = {s: 1 + i % 3 for i, s in enumerate(names)}
-    target, total = {}, float(by["size"].sum())
+    target, total = {}, float(sum(sizes.values()))
     left = set(names)
     while left:
         w = sum(weight[s] for s in left)
-        over = {s for s in left if total * weight[s] / w > 3 * by["size"][s]}
+        over = {s for s in left if total * weight[s] / w > 3 * sizes[s]}
         if not over:
             target |= {s: total * weight[s] / w for s in left}
             break
-        target |= {s: 3.0 * by["size"][s] for s in over}
+        target |= {s: 3.0 * sizes[s] for s in over}
         total -= sum(target[s] for s in over)
         left -= over
-    assert all(by["target"][s] == pytest.approx(target[s]) for s in names)
+    return target
 
 
 def check_packing(rows, docs):
@@ -170,9 +186,37 @@ def test_pipeline(spark, docs, sf):
     for r, i in zip(components(fps), lines["doc_id"], strict=True):
         least[r] = min(least[r], i)
     assert sorted(near["doc_id"]) == sorted(least.values())
-    assert set(mix["doc_id"]) <= set(near["doc_id"]) and len(mix)
-    packed = before["pack"].toPandas()
-    assert packed["length"].sum() == sum(packed.groupby(["doc_id", "start"])["length"].sum())
+    # mix: each source's words are its target, documents whole, or one a source with its first words
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    texts, sources = dict(zip(near["doc_id"], near["text"], strict=True)), dict(zip(near["doc_id"], near["source"], strict=True))
+    sizes = collections.Counter()
+    for t, s in zip(near["text"], near["source"], strict=True):
+        sizes[s] += words(t)
+    taken, cut, times = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in mix.itertuples(index=False):
+        assert texts[r.doc_id].startswith(r.text) and r.source == sources[r.doc_id] and r.n_chars == len(r.text)
+        taken[r.source] += words(r.text)
+        cut[r.source] += r.text != texts[r.doc_id]
+        times[r.doc_id] += 1
+    want = targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 0.5 and cut[s] <= 1 for s in want)
+    assert max(times.values()) <= 3
+    # pack: every token of every row once, in sequences without padding
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    left = collections.Counter()
+    for i, e in zip(mix["doc_id"], t.encode_batch(list(mix["text"]), add_special_tokens=False), strict=True):
+        left.update((i, k, len(e.ids) + 1) for k in range(len(e.ids) + 1))
+    sequences = collections.defaultdict(list)
+    for r in before["pack"].toPandas().itertuples(index=False):
+        left.subtract((r.doc_id, k, r.doc_tokens) for k in range(r.start, r.start + r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert not any(left.values())
+    for parts in sequences.values():
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+        assert at <= 2048 and at & (at - 1) == 0
 
 
 def test_queries_are_registered():
