@@ -187,7 +187,9 @@ def preprocess(score: Score, config: TokenizerConfig) -> Score:
     signatures = None
     if config.use_time_signatures and score.time_sigs is not None:
         signatures = align_time_signatures(score.time_sigs, config, score.tpq)
-    score = merge_same_program_tracks(score) if config.use_programs else score
+    if config.use_programs:
+        # windows by program, by track and by stream all lie within a score, so one exchange serves them all
+        score = merge_same_program_tracks(dataclasses.replace(score, notes=score.notes.repartition("score_id")))
     notes = preprocess_notes(score.notes, config, score.tpq, signatures)
     tempos = preprocess_tempos(score.tempos, config, score.tpq) if config.use_tempos and score.tempos is not None else None
     pedals = preprocess_pedals(score.pedals, config, score.tpq, signatures) if config.use_sustain_pedals and score.pedals is not None else None
