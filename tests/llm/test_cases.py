@@ -483,7 +483,7 @@ def test_chat_ties_and_tables_without_rows(spark):
 
 
 def test_long_texts_everywhere(spark):
-    text = "\n".join(f"line {i} of a very long text, {i * i}" for i in range(30_000))
+    text = "\n".join(f"line {i} of a very long text, {i * i}" for i in range(6_000))
     docs = spark.createDataFrame([(1, text, "en", "a", len(text)), (2, text, "en", "a", len(text)), (3, "short text of another kind", "de", "b", 1)], DOCS)
     for n, op in OPS.items():
         found = op(docs).collect()
